@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortforge.llm import decontaminate, language_id, license_scan, lm_score, quality, sentencepiece_codec
+from cohortforge.llm import decontaminate, embedding_dedup, language_id, license_scan, lm_score, quality, sentencepiece_codec
 from cohortforge.llm.shared import fold
 from cohortforge.llm.simhash import near_duplicates
 from cohortforge.llm.url_filter import filter_urls
@@ -27,6 +27,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, fold("doc_id", 4) != 2)
@@ -59,6 +63,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filters": op2_url_filters,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
