@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortforge.llm import decontaminate, embedding_dedup, language_id, license_scan, lm_score, quality, sentencepiece_codec
+from cohortforge.llm import decontaminate, embedding_dedup, language_id, license_scan, lm_score, quality, sentencepiece_codec, suffix_dedup
 from cohortforge.llm.shared import fold
 from cohortforge.llm.simhash import near_duplicates
 from cohortforge.llm.url_filter import filter_urls
@@ -51,6 +51,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
 }
