@@ -116,19 +116,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
     per block and never shuffled.
     """
     small_batches(docs.sparkSession)
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct()
-        index = ItemIndex([tuple(r) for r in part.orderBy("item_id", "text").collect()], size, threshold)
+    for index in _indexes(benchmark, size, threshold, block_bytes):
         found = texts.mapInArrow(_searcher(index), "doc_id long, item_id long, n_item long, n_shared long, containment double")
         out = found if out is None else out.union(found)
     return out
 
 
+def _indexes(benchmark: DataFrame, size: int, threshold: float, block_bytes: int) -> list[ItemIndex]:
+    """Indexes of the items, in blocks dealt by hash."""
+    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_bytes))
+    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) for k in range(blocks)]
+    return [ItemIndex([tuple(r) for r in part.orderBy("item_id", "text").collect()], size, threshold) for part in parts]
+
+
 def _searcher(index: ItemIndex):
     def run(batches):
         for batch in chunks(batches):
@@ -145,10 +149,22 @@ def _searcher(index: ItemIndex):
     return run
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents, all columns, that hold no benchmark item.  A null doc_id is kept."""
-    leaks = contaminated(docs, benchmark, size, threshold).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs.doc_id == leaks._leak, "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, all columns, that hold no benchmark item; one pass for each block of items, no shuffle."""
+    small_batches(docs.sparkSession)
+    for index in _indexes(benchmark, size, threshold, block_bytes):
+        docs = docs.mapInArrow(_cleaner(index), docs.schema)
+    return docs
+
+
+def _cleaner(index: ItemIndex):
+    def run(batches):
+        for batch in chunks(batches):
+            clean = np.ones(batch.num_rows, dtype=bool)
+            clean[[row for row, _, _ in index.search(*utf8(batch.column("text")))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
 
 
 ORACLE_SQL = r"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.llm.arrowtext import ALNUM, SPACE, chunks, hash_runs, rows_of, utf8
-from cohortforge.llm.shared import materialise, small_batches
+from cohortforge.llm.shared import small_batches
 
 #: Words are hashed to so many rows, so the vectors have one size however large the corpus is.
 BUCKETS = 1 << 15
@@ -90,33 +90,24 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 FEATURES = 2 * DIMS + 2
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """doc_id and the pooled vector of each whole text: mean, spread, how far neighbours differ, log of the length."""
-    small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(vectors)
-
-    def run(batches):
-        table = held.value
-        for batch in chunks(batches, 1 << 20):
-            word, row = tokens(*utf8(batch.column("text")))
-            n = np.bincount(row, minlength=batch.num_rows)
-            out = np.zeros((batch.num_rows, FEATURES), dtype=np.float32)
-            some = n > 0
-            if some.any():
-                starts = (np.cumsum(n) - n)[some]
-                each = table[word]
-                mean = np.add.reduceat(each, starts, axis=0) / n[some][:, None]
-                square = np.add.reduceat(each * each, starts, axis=0) / n[some][:, None]
-                out[some, :DIMS] = mean
-                out[some, DIMS : 2 * DIMS] = np.sqrt(np.maximum(square - mean * mean, 0))
-                out[some, -2] = np.log1p(n[some]) / 8
-                near = row[1:] == row[:-1]
-                apart = (np.square(each[1:] - each[:-1]).sum(axis=1) * near).astype(np.float64)
-                out[:, -1] = np.bincount(row[1:], weights=apart, minlength=len(n)) / np.maximum(n - 1, 1)
-            values = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), FEATURES).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], ["doc_id", "features"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, features array<float>")
+def pooled(text, vectors: np.ndarray) -> np.ndarray:
+    """Pooled vector of each whole text of a column: mean, spread, log of the length, how far neighbours differ."""
+    word, row = tokens(*utf8(text))
+    n = np.bincount(row, minlength=len(text))
+    out = np.zeros((len(text), FEATURES))
+    some = n > 0
+    if some.any():
+        starts = (np.cumsum(n) - n)[some]
+        each = vectors[word]
+        mean = np.add.reduceat(each, starts, axis=0) / n[some][:, None]
+        square = np.add.reduceat(each * each, starts, axis=0) / n[some][:, None]
+        out[some, :DIMS] = mean
+        out[some, DIMS : 2 * DIMS] = np.sqrt(np.maximum(square - mean * mean, 0))
+        out[some, -2] = np.log1p(n[some]) / 8
+        near = row[1:] == row[:-1]
+        apart = (np.square(each[1:] - each[:-1]).sum(axis=1) * near).astype(np.float64)
+        out[:, -1] = np.bincount(row[1:], weights=apart, minlength=len(n)) / np.maximum(n - 1, 1)
+    return out
 
 
 class Network:
@@ -166,30 +157,72 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train: Column, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """doc_id and score (0 to 1, higher: label 1 likelier) of every document, from its whole text alone.
+class Scorer:
+    """Word vectors and network, as every task holds them; without a network, one constant score."""
+
+    def __init__(self, vectors: np.ndarray, network: Network | None, constant: float = 0.5):
+        self.vectors, self.network, self.constant = vectors, network, constant
+
+    def scores(self, text) -> np.ndarray:
+        if self.network is None:
+            return np.full(len(text), self.constant)
+        return self.network.scores(pooled(text, self.vectors))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column, max_train_rows: int = MAX_TRAIN_ROWS) -> Scorer:
+    """Word vectors from all texts, the network from labelled rows where ``train``, a condition on doc_id, holds.
 
     ``labels`` has doc_id and quality (0 or 1; other values and nulls are ignored; of
-    repeated ids the least label counts).  The network is fitted on at most
-    ``max_train_rows`` labelled rows where ``train``, a condition on doc_id, holds; word
-    vectors come from all texts.  With no labelled rows every score is 0.5; with one
-    label only, its share of one, smoothed.  Null and empty texts have the zero vector.
+    repeated ids the least label counts).  At most ``max_train_rows`` of them are
+    used.  With no labelled text every score is 0.5; with one label only, its
+    smoothed share of one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     vectors = word_vectors(docs)
-    features = materialise(pooled(docs, vectors))
-    wanted = labels.where(F.col("quality").isin(0, 1) & train).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
-    sample = features.join(wanted, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows).toArrow()
+    held = spark.sparkContext.broadcast(vectors)
+    wanted = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
+    wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
+
+    def run(batches):
+        for batch in chunks(batches, 1 << 20):
+            values = pa.array(pooled(batch.column("text"), held.value).astype(np.float32).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.FixedSizeListArray.from_arrays(values, FEATURES).cast(pa.list_(pa.float32()))], ["doc_id", "y", "features"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(wanted), "doc_id").mapInArrow(run, "doc_id long, y int, features array<float>")  # at most max_train_rows ids
+    sample = found.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_train_rows).toArrow()
     y = sample.column("y").to_numpy().astype(np.float64)
     if len(set(y)) < 2:
-        constant = float((y.sum() + 1) / (len(y) + 2))
-        return features.select("doc_id", F.lit(constant).alias("score"))
+        return Scorer(vectors, None, float((y.sum() + 1) / (len(y) + 2)))
     x = np.array(sample.column("features").combine_chunks().values.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(y), FEATURES)
-    held = spark.sparkContext.broadcast(Network(x, y))
+    return Scorer(vectors, Network(x, y))
+
+
+def score_quality(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """doc_id and score (0 to 1, higher: label 1 likelier) of every document, from its whole text alone.
+
+    Null and empty texts have the zero vector.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(scorer)
+
+    def run(batches):
+        for batch in chunks(batches, 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held.value.scores(batch.column("text")))], ["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
+    """The documents, all columns, whose score reaches ``threshold``; one pass, no shuffle."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(scorer)
 
     def run(batches):
-        for batch in batches:
-            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held.value.scores(x))], ["doc_id", "score"])
+        for batch in chunks(batches, 1 << 20):
+            yield batch.filter(pa.array(held.value.scores(batch.column("text")) >= threshold))
 
-    return features.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, docs.schema)

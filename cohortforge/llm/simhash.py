@@ -185,3 +185,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4) -> DataFrame:
     joined = components(spark, link_edges(reps, bits))
     named = materialise(reps.join(joined, reps.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 4, bits: int = 4) -> DataFrame:
+    """The documents, all columns, less those that are not the component_id of their group.
+
+    Rows that repeat a doc_id stay or go together; a row without a doc_id stays.
+    """
+    found = near_duplicates(docs, size, bits)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

@@ -306,57 +306,75 @@ def _sorted_rims(rims: DataFrame, texts: DataFrame) -> DataFrame:
     return parts.repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, "doc_id long, mark long, first long, last long")
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """n_bytes, n_removed, n_spans and kept_sha256 of every document, and with ``keep_text`` the rest of its text.
-
-    A byte goes if a string of LENGTH bytes covers it that also starts earlier: in a
-    document of smaller doc_id, or before in the same one.  Strings are those of the
-    input, overlaps count, and none crosses documents.  Null texts are empty.  Rows
-    that repeat a doc_id and its text are one document, each with its result; other
-    texts of one doc_id come in the order of a hash.  A row without a doc_id is
-    compared with none.  What is left of a character that was cut in two is dropped
-    from ``text``, not from the hash.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _removed_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """doc_id, text (null: empty), ``rest`` (a struct of the columns to keep), and first and last of the removed windows."""
+    small_batches(docs.sparkSession)
+    rest = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("boolean")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     every = every.withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1)))
     texts = every.where(F.col("doc_id").isNotNull())
-    found = materialise(_settled(_posts(texts, crowded_grams(texts))))
+    bare = texts.drop("rest")
+    found = materialise(_settled(_posts(bare, crowded_grams(bare))))
     dealt = texts.repartition("doc_id", "mark")
     rims = found.where(F.col("gram").isNotNull())
     spans = found.where(F.col("gram").isNull()).drop("gram").union(_sorted_rims(rims, dealt))
     spans = spans.groupBy("doc_id", "mark").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
     joined = dealt.join(spans, ["doc_id", "mark"], "left")
-    rest = every.where(F.col("doc_id").isNull()).withColumns({c: F.lit(None).cast("array<long>") for c in ("first", "last")})
-    joined = joined.select("doc_id", "text", "first", "last").union(rest.select("doc_id", "text", "first", "last"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
+    alone = every.where(F.col("doc_id").isNull()).withColumns({c: F.lit(None).cast("array<long>") for c in ("first", "last")})
+    columns = ["doc_id", "text", "rest", "first", "last"]
+    return joined.select(*columns).union(alone.select(*columns))
+
+
+def _kept(batch: pa.RecordBatch):
+    """Number of bytes, removed bytes, removed runs and remaining bytes of each text of a batch."""
+    data, offs = utf8(batch.column("text"))
+    firsts, lasts = batch.column("first"), batch.column("last")
+    for i in range(batch.num_rows):
+        own = data[offs[i] : offs[i + 1]]
+        if not firsts[i].is_valid or not len(firsts[i]):
+            yield len(own), 0, 0, own.tobytes()
+            continue
+        depth = np.zeros(len(own) + 1, dtype=np.int32)
+        np.add.at(depth, firsts[i].values.to_numpy(), 1)
+        np.add.at(depth, lasts[i].values.to_numpy() + LENGTH, -1)
+        gone = np.cumsum(depth[:-1]) > 0
+        yield len(own), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), own[~gone].tobytes()
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """n_bytes, n_removed, n_spans and kept_sha256 of every document.
+
+    A byte goes if a string of LENGTH bytes covers it that also starts earlier: in a
+    document of smaller doc_id, or before in the same one.  Strings are those of the
+    input, overlaps count, and none crosses documents.  Null texts are empty.  Rows
+    that repeat a doc_id and its text are one document, each with its result; other
+    texts of one doc_id come in the order of a hash.  A row without a doc_id is
+    compared with none.
+    """
 
     def run(batches):
         for batch in chunks(batches):
-            data, offs = utf8(batch.column("text"))
-            n, removed, spans, digests, left = np.diff(offs), [], [], [], []
-            firsts, lasts = batch.column("first"), batch.column("last")
-            for i in range(batch.num_rows):
-                own = data[offs[i] : offs[i + 1]]
-                if firsts[i].is_valid and len(firsts[i]):
-                    f, e = firsts[i].values.to_numpy(), lasts[i].values.to_numpy() + LENGTH
-                    depth = np.zeros(len(own) + 1, dtype=np.int32)
-                    np.add.at(depth, f, 1)
-                    np.add.at(depth, e, -1)
-                    gone = np.cumsum(depth[:-1]) > 0
-                    spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                    removed.append(int(gone.sum()))
-                    own = own[~gone]
-                else:
-                    spans.append(0)
-                    removed.append(0)
-                raw = own.tobytes()
-                digests.append(hashlib.sha256(raw).hexdigest())
-                if keep_text:
-                    left.append(raw.decode("utf-8", "ignore"))
-            arrays = [batch.column("doc_id"), pa.array(n), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(left, pa.string())] * keep_text, names + ["text"] * keep_text)
-
-    return joined.mapInArrow(run, schema)
+            n, removed, spans, left = zip(*_kept(batch), strict=True)
+            digests = [hashlib.sha256(raw).hexdigest() for raw in left]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(removed), pa.array(spans), pa.array(digests)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return _removed_spans(docs, []).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def strip_repeats(docs: DataFrame) -> DataFrame:
+    """The documents, all rows and columns, with the text that ``remove_repeats`` leaves.
+
+    What is left of a character that was cut in two is dropped.  ``n_chars``, where
+    there is such a column, is counted anew.  Null texts become empty.
+    """
+
+    def run(batches):
+        for batch in chunks(batches):
+            left = [raw.decode("utf-8", "ignore") for _, _, _, raw in _kept(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(left, pa.string())], ["rest", "text"])
+
+    keep = [c for c in docs.columns if c != "text"]
+    spans = _removed_spans(docs, keep)
+    stripped = spans.mapInArrow(run, "rest " + spans.schema["rest"].dataType.simpleString() + ", text string")
+    count = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in keep else None
+    return stripped.select(*(F.col("text") if c == "text" else count.alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
