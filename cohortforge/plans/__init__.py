@@ -1,6 +1,6 @@
 """Named queries over the tables at hand."""
 
-from cohortforge.plans import analysis, relational  # noqa: F401
+from cohortforge.plans import analysis, fitted, relational  # noqa: F401
 from cohortforge.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
