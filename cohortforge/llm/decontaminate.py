@@ -111,7 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
     shingles of ``size`` words stand in the document: doc_id, item_id, n_item,
     n_shared, containment.  Words are lower-cased runs of letters and digits, so that
     line breaks and punctuation do not hide a passage; a text of fewer words has one
-    shingle.  Nulls and texts without a word match nothing.  The items go to the tasks
+    shingle, so that a shorter item matches only a text of just its words.  Nulls and texts without a word match nothing.  The items go to the tasks
     in blocks of at most about ``block_bytes`` of text; the documents are passed once
     per block and never shuffled.
     """

@@ -193,5 +193,5 @@ def one_of_each(docs: DataFrame, size: int = 4, bits: int = 4) -> DataFrame:
     Rows that repeat a doc_id stay or go together; a row without a doc_id stays.
     """
     found = near_duplicates(docs, size, bits)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
