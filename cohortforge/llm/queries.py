@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortforge.llm import decontaminate, embedding_dedup, language_id, license_scan, lm_score, quality, sentencepiece_codec, suffix_dedup
+from cohortforge.llm import decontaminate, embedding_dedup, language_id, license_scan, lm_score, quality, sentencepiece_codec, suffix_dedup, url_filter
 from cohortforge.llm.shared import fold
 from cohortforge.llm.simhash import near_duplicates
-from cohortforge.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +23,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +78,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": url_filter.oracle_sql(),
     "op5_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op9_license_scan": license_scan.ORACLE_SQL,
 }

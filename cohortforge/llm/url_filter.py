@@ -57,11 +57,11 @@ def _level(child: DataFrame, key: str, parent: str, prior: DataFrame, least: flo
     )
     # Var(bad) = n q (1 - q) (1 + (n - 1) rho), hence rho; the strength of the beta prior is 1 / rho - 1
     rho = F.when(F.col("scale") > 0, F.greatest(F.col("excess") / F.col("scale"), F.lit(1e-9))).otherwise(F.lit(0.5))
-    strength = fit.select(F.least(F.greatest(1 / rho - 1, F.lit(least)), F.lit(most)).alias("strength"))
-    return joined.join(F.broadcast(strength)).select(
-        *[c for c in child.columns],
-        ((F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength"))).alias("mean"),
-        (F.col("n") + F.col("strength")).alias("weight"),
+    strength = fit.select(F.least(F.greatest(1 / rho - 1, F.lit(least)), F.lit(most)).alias("strength")).scalar()
+    return joined.withColumn("weight", F.col("n") + strength).select(
+        *child.columns,
+        ((F.col("bad") + (F.col("weight") - F.col("n")) * F.col("prior")) / F.col("weight")).alias("mean"),
+        "weight",
     )
 
 
@@ -77,7 +77,8 @@ def host_reputation(
     these).  Counts are shrunk from all pages to the suffix (the last
     ``suffix_labels`` labels), to the registered domain (one label more), to the
     host, each level by a beta prior around the level above.  ``lower`` is the
-    one-sided bound mean - z * sd of the host's beta posterior.
+    one-sided bound mean - z * sd of the host's beta posterior.  The posteriors of a
+    level are written before the next one reads them twice.
     """
     labels = F.split("host", r"\.")
     tail = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - (k - 1), F.lit(1)), k), ".")
@@ -86,8 +87,8 @@ def host_reputation(
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("top", F.lit(0))
     top = suffixes.groupBy("top").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean"))
     least, most = strength_bounds
-    by_suffix = _level(suffixes, "suffix", "top", top, least, most)
-    by_domain = _level(domains, "domain", "suffix", by_suffix, least, most)
+    by_suffix = materialise(_level(suffixes, "suffix", "top", top, least, most))
+    by_domain = materialise(_level(domains, "domain", "suffix", by_suffix, least, most))
     by_host = _level(base, "host", "domain", by_domain, least, most)
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
     return by_host.select("host", "domain", "suffix", "n", "bad", "mean", F.greatest(F.col("mean") - z * sd, F.lit(0.0)).alias("lower"))
@@ -111,3 +112,27 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     judged = seen.join(reputation.select("host", F.col("n").alias("n_labelled"), F.col("mean").alias("bad_mean"), F.col("lower").alias("bad_lower")), "host")
     verdict = F.coalesce("ruled", F.when(F.col("bad_lower") > block_above, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "n_labelled", F.round("bad_mean", 6).alias("bad_mean"), F.round("bad_lower", 6).alias("bad_lower"))
+
+
+def oracle_sql(rules: Sequence[tuple[str, str, str]] = RULES, block_above: float = 0.5, z: float = 1.645) -> str:
+    """The same rows in DuckDB SQL."""
+    order = sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r[1] + r[2]))
+    fits = lambda value: " ".join(f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND prefix(path, '{p}') THEN '{value(v, h + p)}'" for v, h, p in order)
+    cte = f"""p AS (SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+m AS (SELECT *, CASE {fits(lambda v, r: r)} END AS rule, CASE {fits(lambda v, r: v)} END AS ruled FROM u),
+l3 AS (SELECT host, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS key2, string_split(host, '.')[-1] AS key1 FROM m GROUP BY host),
+l2 AS (SELECT key2 AS key, key1 AS parent, sum(n) AS n, sum(bad) AS bad FROM l3 GROUP BY ALL),
+l1 AS (SELECT parent AS key, 0 AS parent, sum(n) AS n, sum(bad) AS bad FROM l2 GROUP BY ALL),
+q0 AS (SELECT 0 AS key, (sum(bad) + 1) / (sum(n) + 2)::DOUBLE AS mean FROM l1)"""
+    for k, source in ((1, "l1"), (2, "l2"), (3, "(SELECT host AS key, key2 AS parent, n, bad FROM l3)")):
+        cte += f""",
+j{k} AS (SELECT c.*, q.mean AS prior FROM {source} c JOIN q{k - 1} q ON q.key = c.parent),
+f{k} AS (SELECT sum(pow(bad - n * prior, 2) - n * prior * (1 - prior)) AS excess, sum(n * (n - 1) * prior * (1 - prior)) AS scale FROM j{k} WHERE n > 0),
+s{k} AS (SELECT least(greatest(1 / CASE WHEN scale > 0 THEN greatest(excess / scale, 1e-9) ELSE 0.5::DOUBLE END - 1, 2.0), 200.0) AS strength FROM f{k}),
+q{k} AS (SELECT key, n, (bad + strength * prior) / (n + strength) AS mean, n + strength AS weight FROM j{k}, s{k})"""
+    return f"""WITH {cte},
+h AS (SELECT key, n, mean, greatest(mean - {z} * sqrt(mean * (1 - mean) / (weight + 1)), 0.0::DOUBLE) AS low FROM q3)
+SELECT m.page_id, m.host, m.path, m.rule, coalesce(m.ruled, CASE WHEN h.low > {block_above} THEN 'block' ELSE 'allow' END) AS verdict, h.n AS n_labelled, round(h.mean, 6) AS bad_mean, round(h.low, 6) AS bad_lower
+FROM m JOIN h ON h.key = m.host
+"""

@@ -1,11 +1,16 @@
 """Rules and host reputation against a plain version."""
 
 import math
+import os
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from cohortforge.llm.url_filter import RULES, filter_urls, host_reputation
+from cohortforge.llm.url_filter import RULES, filter_urls, host_reputation, oracle_sql
+
+duckdb = pytest.importorskip("duckdb")
+SF = "/root/testdata/sf0.001"
 
 
 def parts(url):
@@ -109,3 +114,22 @@ def test_shrinkage_is_stronger_with_fewer_labels(spark):
     hosts = spark.createDataFrame([("a.x.com", 1, 1), ("b.x.com", 100, 100), ("c.y.com", 100, 0), ("d.y.com", 0, 0)], "host string, n long, bad long")
     mean = {r.host: r["mean"] for r in host_reputation(hosts).collect()}
     assert mean["b.x.com"] > mean["a.x.com"] > mean["d.y.com"] > mean["c.y.com"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_equals_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from read_parquet('{SF}/pages.parquet')")
+    want = sorted(con.sql(oracle_sql()).fetchall())
+    got = sorted(tuple(r) for r in filter_urls(spark.read.parquet(f"{SF}/pages.parquet")).collect())
+    assert [g[:6] for g in got] == [w[:6] for w in want]
+    assert all(abs(a - b) <= 1e-6 for g, w in zip(got, want, strict=True) for a, b in zip(g[6:], w[6:], strict=True))
+
+
+def test_sql_on_odd_urls(spark):
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(URLS)))
+    want = sorted(con.sql(oracle_sql()).fetchall())
+    got = sorted(tuple(r) for r in filter_urls(spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")).collect())
+    assert [g[:6] for g in got] == [w[:6] for w in want]
