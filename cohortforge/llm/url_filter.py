@@ -42,14 +42,15 @@ def match_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return out
 
 
-def _level(child: DataFrame, key: str, parent: str, prior: DataFrame, least: float, most: float) -> DataFrame:
-    """Posterior mean and weight of each ``key`` from its counts and its parent's posterior mean.
+def _level(child: DataFrame, joined: DataFrame, least: float, most: float) -> DataFrame:
+    """Posterior mean and weight of each key of ``child`` from its counts and its parent's posterior mean.
+
+    ``joined``: the rows of ``child`` with that mean as ``prior``.
 
     The prior strength of a level is fitted by moments: the less the rates of the
     keys differ from their parents' posterior means, beyond binomial noise, the
     stronger the pull.
     """
-    joined = child.join(prior.select(parent, F.col("mean").alias("prior")), parent)
     noise = F.col("prior") * (1 - F.col("prior"))
     fit = joined.where("n > 0").agg(
         F.sum(F.pow(F.col("bad") - F.col("n") * F.col("prior"), 2) - F.col("n") * noise).alias("excess"),
@@ -84,12 +85,12 @@ def host_reputation(
     tail = lambda k: F.array_join(F.slice(labels, F.greatest(F.size(labels) - (k - 1), F.lit(1)), k), ".")
     base = hosts.select("host", "n", "bad", tail(suffix_labels + 1).alias("domain"), tail(suffix_labels).alias("suffix"))
     domains = base.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("top", F.lit(0))
-    top = suffixes.groupBy("top").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean"))
-    least, most = strength_bounds
-    by_suffix = materialise(_level(suffixes, "suffix", "top", top, least, most))
-    by_domain = materialise(_level(domains, "domain", "suffix", by_suffix, least, most))
-    by_host = _level(base, "host", "domain", by_domain, least, most)
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    overall = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean")).scalar()
+    above = lambda table, key: table.select(key, F.col("mean").alias("prior"))
+    by_suffix = materialise(_level(suffixes, suffixes.withColumn("prior", overall), *strength_bounds))
+    by_domain = materialise(_level(domains, domains.join(above(by_suffix, "suffix"), "suffix"), *strength_bounds))
+    by_host = _level(base, base.join(above(by_domain, "domain"), "domain"), *strength_bounds)
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
     return by_host.select("host", "domain", "suffix", "n", "bad", "mean", F.greatest(F.col("mean") - z * sd, F.lit(0.0)).alias("lower"))
 
