@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.columns import clip, logistic
+from cohortforge.operators.running import running_sums
 
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -141,12 +143,22 @@ def cox_newton(x: np.ndarray, time: np.ndarray, event: np.ndarray, penalty: floa
     return beta
 
 
-def cox_by_group(df: DataFrame, by: Sequence[str], time: str, event: str, features: Sequence[str], penalty: float = 0.0) -> DataFrame:
-    """Cox coefficients of each group (a fold, a replicate, a model), one Arrow group each.
+#: Rows of a group that one task fits; where a group has more, every Newton step is a Spark job.
+COX_TASK_ROWS = 200_000
 
-    A group must fit a task; groups are analysis sets, not the population.  A group
+
+def cox_by_group(df: DataFrame, by: Sequence[str], time: str, event: str, features: Sequence[str], penalty: float = 0.0, task_rows: int = COX_TASK_ROWS) -> DataFrame:
+    """Cox coefficients of each group (a fold, a replicate, a model).
+
+    If no group has over ``task_rows`` rows each is one Arrow group; else all are
+    fitted together by ``cox_spread``.  Rows with a null are left out.  A group
     without an event or with fewer than two rows gives null coefficients.
     """
+    kinds = dict(df.dtypes)
+    rows = df.select(*by, time, event, *features)
+    most = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > task_rows:
+        return cox_spread(rows, by, time, event, features, penalty)
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         use = pdf.dropna()
@@ -156,9 +168,84 @@ def cox_by_group(df: DataFrame, by: Sequence[str], time: str, event: str, featur
             beta = cox_newton(use[list(features)].to_numpy(float), use[time].to_numpy(float), use[event].to_numpy(), penalty).tolist()
         return pd.DataFrame({**{b: [k] * len(features) for b, k in zip(by, key, strict=True)}, "feature": list(features), "coefficient": beta})
 
-    kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{b}` {kinds[b]}" for b in by), "feature string", "coefficient double"])
-    return df.select(*by, time, event, *features).groupBy(*by).applyInPandas(fit, schema)
+    return rows.groupBy(*by).applyInPandas(fit, schema)
+
+
+def _efron_terms(batch: pa.RecordBatch, p: int, pairs: list[tuple[int, int]], part: int = 1 << 16) -> list[np.ndarray]:
+    """Gradient and hessian terms of each event time, from the sums of its risk set (s) and of its events (d)."""
+    get = lambda n: batch.column(n).to_numpy(zero_copy_only=False)
+    s0, d0, deaths = get("s"), get("d"), get("deaths").astype(np.int64)
+    s1, d1 = (np.stack([get(f"{k}{i}") for i in range(p)], axis=1) for k in "sd")
+    s2, d2 = (np.stack([get(f"{k}{i}_{j}") for i, j in pairs], axis=1) for k in "sd")
+    gradient = np.stack([get(f"x{i}") for i in range(p)], axis=1)
+    hessian = np.zeros((batch.num_rows, len(pairs)))
+    i, j = (np.array(c) for c in zip(*pairs, strict=True))
+    for row in range(batch.num_rows):
+        for at in range(0, deaths[row], part):
+            f = np.arange(at, min(at + part, deaths[row])) / deaths[row]
+            a0 = s0[row] - f * d0[row]
+            m = (s1[row] - f[:, None] * d1[row]) / a0[:, None]
+            gradient[row] -= m.sum(axis=0)
+            hessian[row] += s2[row] * (1 / a0).sum() - d2[row] * (f / a0).sum() - (m[:, i] * m[:, j]).sum(axis=0)
+    return [*gradient.T, *hessian.T]
+
+
+def cox_spread(df: DataFrame, by: Sequence[str], time: str, event: str, features: Sequence[str], penalty: float = 0.0, steps: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    """The same coefficients where groups are larger than a task: each Newton step sums over rows in Spark.
+
+    Rows are summed by time first and risk sets are running sums along time; the
+    driver gets one gradient and hessian per group.
+    """
+    spark, p = df.sparkSession, len(features)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    kinds = dict(df.dtypes)
+    keys = ", ".join(f"`{b}` {kinds[b]}" for b in by)
+    rows = df.select(*by, F.col(time).cast("double").alias("_t"), F.col(event).cast("int").alias("_e"), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features))).dropna().persist()
+    found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("_e") == 1).alias("d")).collect()
+    key_of = lambda r: tuple(r[b] for b in by)
+    sizes = {key_of(r): r["n"] for r in found}
+    beta = {key_of(r): np.zeros(p) for r in found if r["n"] >= 2 and r["d"]}
+    moving = set(beta)
+    x = [F.col(f"_x{i}") for i in range(p)]
+    dead = F.col("_e") == 1
+    sums = ["s", *(f"s{i}" for i in range(p)), *(f"s{i}_{j}" for i, j in pairs)]
+    out = [*(f"g{i}" for i in range(p)), *(f"h{i}_{j}" for i, j in pairs)]
+
+    def terms(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*(batch.column(b) for b in by), *(pa.array(np.ascontiguousarray(c)) for c in _efron_terms(batch, p, pairs))], [*by, *out])
+
+    for _ in range(steps):
+        if not moving:
+            break
+        now = spark.createDataFrame([(*k, [float(v) for v in beta[k]]) for k in sorted(moving, key=str)], f"{keys}, _b array<double>")
+        w = F.exp(sum((x[i] * F.col("_b")[i] for i in range(p)), F.lit(0.0)))
+        weighed = rows.join(F.broadcast(now), list(by)).withColumn("_w", w)  # a row per group
+        products = {"": F.col("_w"), **{f"{i}": F.col("_w") * x[i] for i in range(p)}, **{f"{i}_{j}": F.col("_w") * x[i] * x[j] for i, j in pairs}}
+        by_time = weighed.groupBy(*by, "_t").agg(
+            F.count_if(dead).alias("deaths"),
+            *(F.sum(F.when(dead, c).otherwise(0.0)).alias(f"x{i}") for i, c in enumerate(x)),
+            *(F.sum(F.when(dead, c).otherwise(0.0)).alias(f"d{n}") for n, c in products.items()),
+            *(F.sum(c).alias(f"_at{n}") for n, c in products.items()),
+        )
+        at_risk = running_sums(by_time, by, "_t", {n: F.col("_at" + n[1:]) for n in sums}, descending=True).where("deaths > 0")
+        each = at_risk.mapInArrow(terms, ", ".join([keys, *(f"{n} double" for n in out)])).groupBy(*by).agg(*(F.sum(n).alias(n) for n in out)).collect()
+        for r in each:
+            k = key_of(r)
+            gradient = np.array([r[f"g{i}"] for i in range(p)]) - penalty * sizes[k] * beta[k]
+            hessian = penalty * sizes[k] * np.eye(p)
+            for i, j in pairs:
+                hessian[i, j] += r[f"h{i}_{j}"]
+                hessian[j, i] = hessian[i, j]
+            step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+            beta[k] = beta[k] + step
+            if np.abs(step).max() < tolerance:
+                moving.discard(k)
+    rows.unpersist()
+    table = [(*key_of(r), c, float(beta[key_of(r)][i]) if key_of(r) in beta else None) for r in found for i, c in enumerate(features)]
+    return spark.createDataFrame(table, f"{keys}, feature string, coefficient double")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, int]:

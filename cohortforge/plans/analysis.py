@@ -68,11 +68,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     "sv_counting_km",
     f"""WITH {COHORT}, s AS (SELECT arm, x2 * 20 AS a, x2 * 20 + time AS b, event, e FROM c), ch AS (SELECT arm, a AS t, e AS en, 0 AS le, 0 AS d FROM s UNION ALL SELECT arm, b, 0, e, CASE WHEN event = 1 THEN e ELSE 0 END FROM s),
  g AS (SELECT arm, t, sum(en) AS en, sum(le) AS le, sum(d) AS d FROM ch GROUP BY 1, 2), r AS (SELECT arm, t, d, coalesce(sum(en - le) OVER (PARTITION BY arm ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS risk FROM g),
- q AS (SELECT * FROM r WHERE d > 0 AND risk > 0 AND t <= 1200) SELECT arm, t AS time, round(risk, 4) AS risk, round(exp(sum(ln(1 - d / risk)) OVER (PARTITION BY arm ORDER BY t)), 6) AS survival FROM q""",
+ q AS (SELECT * FROM r WHERE d > 0 AND risk > 0) SELECT arm, t AS time, round(risk, 4) AS risk, round(exp(sum(ln(1 - d / risk)) OVER (PARTITION BY arm ORDER BY t)), 6) AS survival FROM q""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = cohort(spark, d).withColumns({"a": F.col("x2") * 20, "b": F.col("x2") * 20 + F.col("time")})
-    return V.counting_curve(rows, ["arm"], "a", "b", "event", "e").where("time <= 1200").select("arm", "time", tidy("risk", 4).alias("risk"), tidy("survival").alias("survival"))
+    return V.counting_curve(rows, ["arm"], "a", "b", "event", "e").select("arm", "time", tidy("risk", 4).alias("risk"), tidy("survival").alias("survival"))
 
 
 @query("sv_reverse_km", f"WITH {COHORT}, src AS (SELECT arm, time, 1 - event AS event, 1.0::DOUBLE AS w FROM c), {_KM} SELECT arm, time, round(survival, 6) AS g FROM km")
@@ -318,20 +318,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # ---- accuracy
 
 _RISK = "(x1 / 1000.0 - x3 * 3)"
-_G = f"{COHORT}, s AS (SELECT id, arm, time, event, {_RISK} AS risk FROM c WHERE id % 4 = 0), src AS (SELECT arm, time, 1 - event AS event, 1.0::DOUBLE AS w FROM s), {_KM}"
+_G = f"{COHORT}, s AS (SELECT id, arm, time, event, {_RISK} AS risk FROM c), src AS (SELECT arm, time, 1 - event AS event, 1.0::DOUBLE AS w FROM s), {_KM}"
 _GL = "gl AS (SELECT s.*, coalesce((SELECT arg_max(survival, km.time) FROM km WHERE km.arm = s.arm AND km.time < s.time), 1.0) AS g FROM s)"
 
 
 def risks(spark: SparkSession, d: str) -> DataFrame:
-    return cohort(spark, d).where(F.pmod("id", F.lit(4)) == 0).select("id", "arm", "time", "event", (F.col("x1") / 1000.0 - F.col("x3") * 3).alias("risk"))
+    return cohort(spark, d).select("id", "arm", "time", "event", (F.col("x1") / 1000.0 - F.col("x3") * 3).alias("risk"))
 
 
-@query("md_harrell_c", f"WITH {COHORT}, s AS (SELECT arm, time, event, {_RISK} AS risk FROM c WHERE id % 4 = 0) SELECT a.arm, count(*) AS pairs, round(avg(CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END), 6) AS c_index FROM s a JOIN s b ON a.arm = b.arm AND a.event = 1 AND b.time > a.time GROUP BY 1")
+@query("md_harrell_c", f"WITH {COHORT}, s AS (SELECT arm, time, event, {_RISK} AS risk FROM c) SELECT a.arm, count(*) AS pairs, round(avg(CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END), 6) AS c_index FROM s a JOIN s b ON a.arm = b.arm AND a.event = 1 AND b.time > a.time GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return M.concordance(risks(spark, d), ["arm"], "time", "event", "risk").withColumn("c_index", tidy("c_index"))
 
 
-@query("md_auc_horizon", f"WITH {COHORT}, s AS (SELECT arm, {_RISK} AS risk, CASE WHEN event = 1 AND time <= 730 THEN 1 WHEN time > 730 THEN 0 END AS y FROM c WHERE id % 4 = 0) SELECT a.arm, count(DISTINCT a.rowid_) AS n_cases, count(DISTINCT b.rowid_) AS n_controls, round(avg(CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END), 6) AS auc FROM (SELECT *, row_number() OVER () AS rowid_ FROM s) a JOIN (SELECT *, row_number() OVER () AS rowid_ FROM s) b ON a.arm = b.arm AND a.y = 1 AND b.y = 0 GROUP BY 1")
+@query("md_auc_horizon", f"WITH {COHORT}, s AS (SELECT arm, {_RISK} AS risk, CASE WHEN event = 1 AND time <= 730 THEN 1 WHEN time > 730 THEN 0 END AS y FROM c) SELECT a.arm, count(DISTINCT a.rowid_) AS n_cases, count(DISTINCT b.rowid_) AS n_controls, round(avg(CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END), 6) AS auc FROM (SELECT *, row_number() OVER () AS rowid_ FROM s) a JOIN (SELECT *, row_number() OVER () AS rowid_ FROM s) b ON a.arm = b.arm AND a.y = 1 AND b.y = 0 GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return M.auc_at_horizon(risks(spark, d), ["arm"], "time", "event", "risk", 730.0).withColumn("auc", tidy("auc"))
 
@@ -379,25 +379,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return G.gates(m, {"n": 15000, "events": 1, "share": 0.4})
 
 
-@query("qa_checkpoint_upsert", "SELECT o_custkey AS key, arg_max(v, seq) AS v, max(seq) AS seq FROM (SELECT o_custkey, round(o_totalprice, 2) AS v, o_orderkey AS seq FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, -1.0, o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0) GROUP BY 1")
+@query("qa_checkpoint_upsert", "SELECT o_custkey AS key, arg_max(v, seq) AS v, max(seq) AS seq FROM (SELECT o_custkey, round(o_totalprice, 2) AS v, 2 * o_orderkey AS seq FROM orders UNION ALL SELECT o_custkey, -1.0, 2 * o_orderkey + 1 FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    held = o.where(F.pmod("o_orderkey", F.lit(2)) == 0).select(F.col("o_custkey").alias("key"), F.round("o_totalprice", 2).alias("v"), F.col("o_orderkey").alias("seq"))
-    new = o.where((F.pmod("o_orderkey", F.lit(3)) == 0) & (F.pmod("o_orderkey", F.lit(2)) != 0)).select(F.col("o_custkey").alias("key"), F.lit(-1.0).alias("v"), F.col("o_orderkey").alias("seq"))
+    held = o.select(F.col("o_custkey").alias("key"), F.round("o_totalprice", 2).alias("v"), (F.col("o_orderkey") * 2).alias("seq"))
+    new = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"), F.lit(-1.0).alias("v"), (F.col("o_orderkey") * 2 + 1).alias("seq"))
     return G.upsert(held, new, ["key"], "seq")
 
 
 @query("qa_manifest")
 def _(spark: SparkSession, d: str) -> DataFrame:
     locked = G.manifest(spark, {"nation": table(spark, d, "nation"), "region": table(spark, d, "region"), "gone": table(spark, d, "region")})
-    return G.verify_manifest(locked, G.manifest(spark, {"nation": table(spark, d, "nation"), "region": table(spark, d, "region").where("r_regionkey > 0")}))
+    return G.verify_manifest(locked, G.manifest(spark, {"nation": table(spark, d, "nation"), "region": table(spark, d, "region").withColumn("r_name", F.lower("r_name"))}))
 
 
-@query("qa_identity", "SELECT count(*) FILTER (s_suppkey % 9 = 0) AS only_left, CAST(0 AS BIGINT) AS only_right, 0.5::DOUBLE AS gap_v, 0 AS identical FROM supplier")
+@query("qa_identity", "SELECT count(*) FILTER (s_acctbal < 0) AS only_left, CAST(0 AS BIGINT) AS only_right, 0.5::DOUBLE AS gap_v, 0 AS identical FROM supplier")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").select("s_suppkey", F.round("s_acctbal", 0).alias("v"))
-    t = s.where(F.pmod("s_suppkey", F.lit(9)) != 0).select("s_suppkey", (F.col("v") + F.when(F.pmod("s_suppkey", F.lit(5)) == 0, 0.5).otherwise(0.0)).alias("v"))
-    return G.identity_report(s, t, ["s_suppkey"], ["v"])
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.round("s_acctbal", 0).alias("v"))
+    t = s.where("s_acctbal >= 0").select("s_suppkey", (F.col("v") + F.when(F.pmod("s_suppkey", F.lit(5)) == 0, 0.5).otherwise(0.0)).alias("v"))
+    return G.identity_report(s.drop("s_acctbal"), t, ["s_suppkey"], ["v"])
 
 
 @query("qa_status", f"WITH {REPLICATES} SELECT scenario, method, rep, CASE WHEN low > 0 THEN 'above' WHEN high < 0 THEN 'below' ELSE 'unresolved' END AS status FROM p")
@@ -454,19 +454,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return A.two_modes(table(spark, d, "lineitem"), "l_linenumber").groupBy("l_linenumber", F.col("recovered").cast("double").alias("recovered")).agg(F.count("*").alias("n"))
 
 
-@query("xo_availability", f"WITH l AS (SELECT doc_id, lang AS m FROM documents UNION SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0), z AS (SELECT m, count(*) AS n FROM l GROUP BY 1), i AS (SELECT a.m AS a, b.m AS b, count(*) AS k FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.m < b.m GROUP BY 1, 2) SELECT x.m AS a, y.m AS b, coalesce(k, 0) AS shared, round(coalesce(k, 0) / (x.n + y.n - coalesce(k, 0))::DOUBLE, 6) AS jaccard FROM z x JOIN z y ON x.m < y.m LEFT JOIN i ON i.a = x.m AND i.b = y.m")
+@query("xo_availability", f"WITH l AS (SELECT doc_id, lang AS m FROM documents UNION SELECT doc_id, source FROM documents), z AS (SELECT m, count(*) AS n FROM l GROUP BY 1), i AS (SELECT a.m AS a, b.m AS b, count(*) AS k FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.m < b.m GROUP BY 1, 2) SELECT x.m AS a, y.m AS b, coalesce(k, 0) AS shared, round(coalesce(k, 0) / (x.n + y.n - coalesce(k, 0))::DOUBLE, 6) AS jaccard FROM z x JOIN z y ON x.m < y.m LEFT JOIN i ON i.a = x.m AND i.b = y.m")
 def _(spark: SparkSession, d: str) -> DataFrame:
     from cohortforge.operators.sets import pair_overlaps
 
     docs = table(spark, d, "documents")
-    long = docs.select("doc_id", F.col("lang").alias("m")).union(docs.where(F.pmod("doc_id", F.lit(2)) == 0).select("doc_id", "source"))
+    long = docs.select("doc_id", F.col("lang").alias("m")).union(docs.select("doc_id", "source")).distinct()
     return pair_overlaps(long, "m", "doc_id").select("a", "b", "shared", tidy("jaccard").alias("jaccard"))
 
 
-@query("xo_mutation_grid", "SELECT c.c_custkey, e.t AS gene, CASE WHEN x.user_id IS NULL THEN 0 ELSE 1 END AS mutated FROM (SELECT c_custkey FROM customer WHERE c_custkey <= 200) c CROSS JOIN (SELECT DISTINCT event_type AS t FROM events) e LEFT JOIN (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 6 = 0) x ON x.user_id = c.c_custkey AND x.event_type = e.t")
+@query("xo_mutation_grid", "SELECT c.c_custkey, e.t AS gene, CASE WHEN x.user_id IS NULL THEN 0 ELSE 1 END AS mutated FROM customer c CROSS JOIN (SELECT DISTINCT event_type AS t FROM events) e LEFT JOIN (SELECT DISTINCT user_id, event_type FROM events WHERE value > 50) x ON x.user_id = c.c_custkey AND x.event_type = e.t")
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     genes = e.agg(F.collect_set("event_type").alias("genes"))  # a panel: one row
-    grid = table(spark, d, "customer").where("c_custkey <= 200").select("c_custkey").join(F.broadcast(genes)).select("c_custkey", F.explode("genes").alias("gene"))
-    calls = e.where(F.pmod("event_id", F.lit(6)) == 0).select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("gene"), F.lit(1).alias("hit")).distinct()
+    grid = table(spark, d, "customer").select("c_custkey").join(F.broadcast(genes)).select("c_custkey", F.explode("genes").alias("gene"))
+    calls = e.where("value > 50").select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("gene"), F.lit(1).alias("hit")).distinct()
     return grid.join(calls, ["c_custkey", "gene"], "left").select("c_custkey", "gene", F.coalesce("hit", F.lit(0)).alias("mutated"))

@@ -52,13 +52,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("md_cox")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = scaled(spark, d).where(F.pmod("id", F.lit(4)) == 0)
+    s = scaled(spark, d)
     return D.cox_by_group(s, ["fold"], "time", "event", ["arm", *_Z], 0.001).select("fold", "feature", tidy("coefficient", 5).alias("coefficient"))
 
 
 @query("md_calibration_slope")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = scaled(spark, d).where(F.pmod("id", F.lit(4)) == 0).withColumn("log_risk", F.col("z1") - F.col("z3"))
+    s = scaled(spark, d).withColumn("log_risk", F.col("z1") - F.col("z3"))
     return D.cox_by_group(s, ["arm"], "time", "event", ["log_risk"]).select("arm", tidy("coefficient", 5).alias("slope"))
 
 
@@ -71,9 +71,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rs_refit_bootstrap")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = scaled(spark, d).where(F.pmod("id", F.lit(16)) == 0).select("id", "time", "event", "arm", *_Z)
-    ends = s.agg(F.min("id").alias("lo"), F.count("*").alias("n"))
-    dense = s.join(F.broadcast(ends)).withColumn("pos", ((F.col("id") - F.col("lo")) / 16).cast("long"))
+    s = scaled(spark, d).select("id", "time", "event", "arm", *_Z)
+    dense = s.withColumn("pos", F.col("id") - s.agg(F.min("id")).scalar())
     drawn = R.bootstrap_counts(dense.select("id", "pos"), "id", 12).join(dense, "id")
     copies = drawn.select("replicate", "time", "event", "arm", *_Z, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_c"))
     return D.cox_by_group(copies, ["replicate"], "time", "event", ["arm", *_Z], 0.001).select("replicate", "feature", tidy("coefficient", 5).alias("coefficient"))

@@ -46,11 +46,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("double")
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("patient"), "event_id", F.col("event_type").alias("family"), F.when(F.pmod("event_id", F.lit(10)) == 0, F.lit(None)).otherwise(day - F.lit(2.0)).cast("double").alias("day")
-    ).where(F.pmod("event_id", F.lit(7)) < 3)
+    )
 
 
 RECORDS = """r AS (SELECT user_id AS patient, event_id, event_type AS family, CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS DOUBLE) - 2.0::DOUBLE END AS day
- FROM events WHERE event_id % 7 < 3)"""
+ FROM events)"""
 
 
 def starts(spark: SparkSession, sf_dir: str) -> DataFrame:

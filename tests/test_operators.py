@@ -192,6 +192,19 @@ def test_cox_solves_the_score_equation():
     assert all(abs(loglik(b + h * u) - loglik(b - h * u)) / (2 * h) < 1e-3 for u in np.eye(2))
 
 
+def test_cox_over_many_tasks_equals_one_group_in_a_task(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 2))
+    t = np.ceil(rng.exponential(1 / np.exp(x @ np.array([0.7, -0.4]))) * 8)
+    e = (rng.random(240) < 0.7).astype(int)
+    rows = [("ab"[i % 2], float(t[i]), int(e[i]), float(x[i, 0]), float(x[i, 1])) for i in range(240)] + [("c", 1.0, 0, 1.0, 1.0), ("c", 2.0, 0, 1.0, 2.0), ("a", 1.0, 1, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, t double, e int, u double, v double")
+    one = {(r.g, r.feature): r.coefficient for r in D.cox_by_group(df, ["g"], "t", "e", ["u", "v"], 0.01).collect()}
+    many = {(r.g, r.feature): r.coefficient for r in D.cox_by_group(df, ["g"], "t", "e", ["u", "v"], 0.01, task_rows=50).collect()}
+    assert one.keys() == many.keys() and one["c", "u"] is None and many["c", "u"] is None
+    assert all(abs(one[k] - many[k]) < 1e-7 for k in one if one[k] is not None)
+
+
 def test_logistic_mle_and_tilt(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=500)
