@@ -54,14 +54,15 @@ def concordance(df: DataFrame, by: Sequence[str], time: str, event: str, risk: s
     running count of the right half along the risk serves all events of the left.
     Work is n log n and spread over the nodes.
     """
-    cells = _cells(df, by, time, event, risk)
+    bare = _cells(df, by, time, event, risk)
     if weight is not None:
         curve = censoring_survival(df, by, time, event)
-        cells = step_lookup(cells, curve, by, "t", "time", "g", left_limit=True).withColumn("w", weight * F.col("d"))
+        cells = step_lookup(bare, curve, by, "t", "time", "g", left_limit=True).withColumn("w", weight * F.col("d"))
     else:
-        cells = cells.withColumn("w", F.col("d").cast("double"))
-    times = running_sums(cells.select(*by, "t").distinct(), by, "t", {"_number": F.lit(1)}).select(*by, "t", (F.col("_number") - 1).cast("long").alias("_number"))
-    bits = times.agg(F.ceil(F.log2(F.max("_number") + 2)).cast("int").alias("_bits"))
+        cells = bare.withColumn("w", F.col("d").cast("double"))
+    # times and their number come from the bare cells: the plan then holds the curve once
+    times = running_sums(bare.select(*by, "t").distinct(), by, "t", {"_number": F.lit(1)}).select(*by, "t", (F.col("_number") - 1).cast("long").alias("_number"))
+    bits = bare.agg(F.ceil(F.log2(F.count_distinct("t") + 1)).cast("int").alias("_bits"))
     numbered = cells.join(times, [*by, "t"]).join(F.broadcast(bits))  # one row
     level = F.explode(F.sequence(F.lit(0), F.greatest(F.col("_bits") - 1, F.lit(0)))).alias("level")
     nodes = numbered.select(*by, "r", "n", "d", "w", "_number", level)
