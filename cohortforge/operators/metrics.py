@@ -32,9 +32,9 @@ def auc_at_horizon(df: DataFrame, by: Sequence[str], time: str, event: str, risk
     return auc(df.withColumn("_label", label), by, "_label", risk)
 
 
-def censoring_survival(df: DataFrame, by: Sequence[str], time: str, event: str) -> DataFrame:
+def censoring_survival(df: DataFrame, by: Sequence[str], time: str, event: str, name: str = "g") -> DataFrame:
     """Kaplan-Meier curve of the censoring times: the event flag turned round."""
-    return weighted_curve(df.withColumns({"_c": F.lit(1) - F.col(event), "_one": F.lit(1.0)}), by, time, "_c", "_one").select(*by, "time", F.col("survival").alias("g"))
+    return weighted_curve(df.withColumns({"_c": F.lit(1) - F.col(event), "_one": F.lit(1.0)}), by, time, "_c", "_one").select(*by, "time", F.col("survival").alias(name))
 
 
 def _cells(df: DataFrame, by: Sequence[str], time: str, event: str, risk: str) -> DataFrame:
@@ -45,8 +45,8 @@ def concordance(df: DataFrame, by: Sequence[str], time: str, event: str, risk: s
     """Weighted share of pairs (an event, any subject with a later time) in which the event has the higher risk; ties count half.
 
     Without a weight Harrell's index in the form that compares later times only.  The
-    weight is an expression of the cell columns ``t`` and ``g`` of the event, where
-    ``g`` is the left limit of the censoring curve; 1 / g^2 gives Uno's index.
+    weight is an expression of the cell columns ``t`` and ``_g`` of the event, where
+    ``_g`` is the left limit of the censoring curve; 1 / g^2 gives Uno's index.
 
     Pairs are counted, not built.  Distinct times are numbered; two numbers differ first
     at one bit, so each pair meets in just one node of a binary tree over the numbers,
@@ -56,8 +56,8 @@ def concordance(df: DataFrame, by: Sequence[str], time: str, event: str, risk: s
     """
     bare = _cells(df, by, time, event, risk)
     if weight is not None:
-        curve = censoring_survival(df, by, time, event)
-        cells = step_lookup(bare, curve, by, "t", "time", "g", left_limit=True).withColumn("w", weight * F.col("d"))
+        curve = censoring_survival(df, by, time, event, "_g")
+        cells = step_lookup(bare, curve, by, "t", "time", "_g", left_limit=True).withColumn("w", weight * F.col("d"))
     else:
         cells = bare.withColumn("w", F.col("d").cast("double"))
     # times and their number come from the bare cells: the plan then holds the curve once
@@ -76,15 +76,15 @@ def concordance(df: DataFrame, by: Sequence[str], time: str, event: str, risk: s
 
 
 def uno(df: DataFrame, by: Sequence[str], time: str, event: str, risk: str, floor: float = 1e-6) -> DataFrame:
-    g = clip("g", floor, 1.0)
+    g = clip("_g", floor, 1.0)
     return concordance(df, by, time, event, risk, F.lit(1.0) / (g * g))
 
 
 def dynamic_auc(df: DataFrame, by: Sequence[str], time: str, event: str, risk: str, horizon: float, floor: float = 1e-6) -> DataFrame:
     """AUC at a horizon with events weighted by 1 / G(t-): running counts of survivors over the ranks of risk, no pairs."""
-    curve = censoring_survival(df, by, time, event)
-    cells = step_lookup(_cells(df, by, time, event, risk), curve, by, "t", "time", "g", left_limit=True)
-    by_risk = cells.groupBy(*by, "r").agg(F.sum(F.when(F.col("t") <= horizon, F.col("d") / clip("g", floor, 1.0)).otherwise(0.0)).alias("case_w"), F.sum(F.when(F.col("t") > horizon, F.col("n")).otherwise(0)).cast("double").alias("controls"))
+    curve = censoring_survival(df, by, time, event, "_g")
+    cells = step_lookup(_cells(df, by, time, event, risk), curve, by, "t", "time", "_g", left_limit=True)
+    by_risk = cells.groupBy(*by, "r").agg(F.sum(F.when(F.col("t") <= horizon, F.col("d") / clip("_g", floor, 1.0)).otherwise(0.0)).alias("case_w"), F.sum(F.when(F.col("t") > horizon, F.col("n")).otherwise(0)).cast("double").alias("controls"))
     upto = running_sums(by_risk, by, "r", {"_upto": F.col("controls")})
     below = F.col("_upto") - F.col("controls") / 2
     total = upto.groupBy(*by).agg(F.sum(F.col("case_w") * below).alias("_u"), F.sum("case_w").alias("_c"), F.sum("controls").alias("_k"))
@@ -96,13 +96,13 @@ def ipcw_brier(df: DataFrame, by: Sequence[str], time: str, event: str, predicte
 
     Events by the horizon weigh 1 / G(t-), survivors 1 / G(horizon), others nothing.
     """
-    curve = censoring_survival(df, by, time, event)
-    own = step_lookup(df.select(*by, F.col(time).cast("double").alias("t"), F.col(event).alias("_e"), F.col(predicted_survival).alias("_p")), curve, by, "t", "time", "g", left_limit=True)
+    curve = censoring_survival(df, by, time, event, "_g")
+    own = step_lookup(df.select(*by, F.col(time).cast("double").alias("t"), F.col(event).alias("_e"), F.col(predicted_survival).alias("_p")), curve, by, "t", "time", "_g", left_limit=True)
     ends = df.select(*by).distinct().select(*by, F.explode(F.array(*(F.lit(float(h)) for h in horizons))).alias("horizon")) if by else df.sparkSession.createDataFrame([(float(h),) for h in horizons], "horizon double")
-    ends = step_lookup(ends, curve, by, "horizon", "time", "g").withColumnRenamed("g", "_gh")
+    ends = step_lookup(ends, curve, by, "horizon", "time", "_g").withColumnRenamed("_g", "_gh")
     both = own.join(F.broadcast(ends), list(by)) if by else own.join(F.broadcast(ends))  # a row per group and horizon
     dead = (F.col("t") <= F.col("horizon")) & (F.col("_e") == 1)
     alive = F.col("t") > F.col("horizon")
     p = F.col("_p")
-    score = F.when(dead, p * p / clip("g", floor, 1.0)).when(alive, (1 - p) * (1 - p) / clip("_gh", floor, 1.0)).otherwise(0.0)
+    score = F.when(dead, p * p / clip("_g", floor, 1.0)).when(alive, (1 - p) * (1 - p) / clip("_gh", floor, 1.0)).otherwise(0.0)
     return both.groupBy(*by, "horizon").agg(F.avg(score).alias("brier"), F.count("*").alias("n"))
