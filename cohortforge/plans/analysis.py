@@ -68,7 +68,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     "sv_counting_km",
     f"""WITH {COHORT}, s AS (SELECT arm, x2 * 20 AS a, x2 * 20 + time AS b, event, e FROM c), ch AS (SELECT arm, a AS t, e AS en, 0 AS le, 0 AS d FROM s UNION ALL SELECT arm, b, 0, e, CASE WHEN event = 1 THEN e ELSE 0 END FROM s),
  g AS (SELECT arm, t, sum(en) AS en, sum(le) AS le, sum(d) AS d FROM ch GROUP BY 1, 2), r AS (SELECT arm, t, d, coalesce(sum(en - le) OVER (PARTITION BY arm ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS risk FROM g),
- q AS (SELECT * FROM r WHERE d > 0 AND risk > 0) SELECT arm, t AS time, round(risk, 4) AS risk, round(exp(sum(ln(1 - d / risk)) OVER (PARTITION BY arm ORDER BY t)), 6) AS survival FROM q""",
+ q AS (SELECT * FROM r WHERE d > 0 AND risk > 0) SELECT arm, t AS time, round(risk, 4) AS risk, round(CASE WHEN bool_or(1 - d / risk <= 1e-12) OVER o THEN 0 ELSE exp(sum(CASE WHEN 1 - d / risk <= 1e-12 THEN 0 ELSE ln(1 - d / risk) END) OVER o) END, 6) AS survival FROM q WINDOW o AS (PARTITION BY arm ORDER BY t)""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = cohort(spark, d).withColumns({"a": F.col("x2") * 20, "b": F.col("x2") * 20 + F.col("time")})
