@@ -215,3 +215,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     named = materialise(named.select("lab", "v", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     out = good.join(named, ["lab", "v"]).select("vec_id", "n_links", "component_id").union(alone)
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+good AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+reach(node, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT r.node AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(r.other) AS component_id, r.node = min(r.other) AS kept
+FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY 1) k ON k.a = r.node GROUP BY r.node
+"""

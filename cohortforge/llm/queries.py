@@ -79,6 +79,8 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": url_filter.oracle_sql(),
+    "op3_embedding_near_dedup": embedding_dedup.ORACLE_SQL,
     "op5_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op8_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
     "op9_license_scan": license_scan.ORACLE_SQL,
 }

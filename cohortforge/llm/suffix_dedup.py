@@ -378,3 +378,16 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     stripped = spans.mapInArrow(run, "rest " + spans.schema["rest"].dataType.simpleString() + ", text string")
     count = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in keep else None
     return stripped.select(*(F.col("text") if c == "text" else count.alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT doc_id, s, md5(t[s + 1 : s + 100]) AS k FROM (SELECT doc_id, t, unnest(range(0, octet_length(t) - 99)) AS s FROM d WHERE octet_length(t) >= 100)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM w) WHERE nth > 1),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM r)),
+g AS (SELECT doc_id, island, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY ALL),
+c AS (SELECT doc_id, coalesce(lag(b) OVER o, 0) AS a, a AS b FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY island) UNION ALL SELECT d.doc_id, coalesce(m.b, 0), octet_length(t) FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM g GROUP BY 1) m ON m.doc_id = d.doc_id),
+p AS (SELECT d.doc_id, sha256(unhex(string_agg(hex(t[c.a + 1 : c.b]), '' ORDER BY c.a))) AS kept_sha256 FROM d JOIN c ON c.doc_id = d.doc_id GROUP BY 1)
+SELECT d.doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, kept_sha256
+FROM d JOIN p ON p.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM g GROUP BY 1) q ON q.doc_id = d.doc_id
+"""

@@ -66,6 +66,17 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, empty, SF).collect() == []
 
 
+@pytest.mark.parametrize("name", ["op3_embedding_near_dedup", "op8_suffix_array_dedup"])
+def test_query_equals_sql(spark, name):
+    from cohortforge.llm.queries import ORACLE_SQL, QUERIES
+
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    assert sorted(tuple(r) for r in QUERIES[name](spark, SF).collect()) == sorted(con.sql(ORACLE_SQL[name]).fetchall())
+
+
 def test_one_query_for_each_number():
     import __spark_entry__ as entry
 
