@@ -91,8 +91,8 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
+        for at in (a, b, root[a], root[b]):
+            np.minimum.at(new, at, low)
         new = np.minimum(new, new[new])
         if (new == root).all():
             return root
