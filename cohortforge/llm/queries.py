@@ -56,7 +56,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.CATALOGUE, license_scan.ORDERED, inside=True)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

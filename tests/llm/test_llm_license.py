@@ -65,3 +65,52 @@ def test_equals_sql(spark):
     want = sorted(duckdb.sql(license_scan.ORACLE_SQL).fetchall())
     assert sorted(tuple(r) for r in license_scan.scan(spark.read.parquet(f"{SF}/documents.parquet")).collect()) == want
     assert any(w[1] for w in want)
+
+
+BSD3 = """Copyright (c) 2020, X. All rights reserved.
+Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of
+   conditions and the following disclaimer in the documentation and/or other materials
+   provided with the distribution.
+"""
+ENDORSE = """3. Neither the name of X nor the names of its contributors may be used to endorse or
+   promote products derived from this software without specific prior written permission."""
+
+
+@pytest.mark.parametrize(
+    "text, licences, group",
+    [
+        ("This project is licensed under the MIT License.", "MIT", "permissive"),
+        ("Licensed under the MIT License, see LICENSE", "MIT", "permissive"),
+        ("Copyright 2020 X, all rights reserved", "proprietary", "restricted"),
+        ("It is unlicensed under the MIT License", "", "none"),
+        (BSD3 + ENDORSE, "BSD-3-Clause", "permissive"),
+        (BSD3, "BSD-2-Clause", "permissive"),
+        ("you can redistribute it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later", "copyleft"),
+        ("We are covered by the GNU Affero General Public License v3.", "AGPL-3.0", "copyleft"),
+        ("This is subject to the terms of the Mozilla Public License, v. 2.0; docs: CC0", "MPL-2.0", "copyleft"),
+        ("License: ISC. Parts are released under the EPL 2.0 and under the Unlicense.", "ISC,EPL-2.0", "copyleft"),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND CC0-1.0\nx", "MIT,Apache-2.0,CC0-1.0", "permissive"),
+        ("\n".join(MIT.split()), "MIT", "permissive"),
+    ],
+)
+def test_clauses_inside_sentences(text, licences, group):
+    rec = Recogniser(license_scan.CATALOGUE, license_scan.ORDERED, inside=True)
+    got = rec.licences(rec.identifiers(text))
+    assert ",".join(x for x, _ in got) == licences
+    assert next((g for g in license_scan._ORDER if any(x == g for _, x in got)), "none") == group
+
+
+def test_a_sentence_of_any_number_of_pieces():
+    assert Recogniser(SENTENCES, RULES).identifiers("\n".join(MIT.split())) == ["mit-grant", "mit-notice"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_query_equals_sql(spark):
+    from cohortforge.llm.queries import op9_license_scan
+
+    duckdb.sql(f"create or replace view documents as select * from read_parquet('{SF}/documents.parquet')")
+    assert sorted(tuple(r) for r in op9_license_scan(spark, SF).collect()) == sorted(duckdb.sql(license_scan.ORACLE_SQL).fetchall())
