@@ -303,7 +303,7 @@ def partial_p(corr: np.ndarray, n: int, i: int, j: int, given: Sequence[int]) ->
 
 
 def markov_blanket(df: DataFrame, target: str, features: Sequence[str], alpha: float = 0.05, most: int = 20) -> list[str]:
-    """IAMB: grow by the smallest significant p-value, then drop what the others make needless.
+    """IAMB: grow by the smallest significant p-value, then drop what the others make needless until none is.
 
     Spark gives the correlation matrix once; the search runs on it.
     """
@@ -315,9 +315,13 @@ def markov_blanket(df: DataFrame, target: str, features: Sequence[str], alpha: f
         if not scored or min(scored)[0] >= alpha:
             break
         chosen.append(min(scored)[1])
-    for j in list(chosen):
-        if partial_p(corr, n, 0, j, [k for k in chosen if k != j]) >= alpha:
-            chosen.remove(j)
+    changed = True
+    while changed:
+        changed = False
+        for j in list(chosen):
+            if not partial_p(corr, n, 0, j, [k for k in chosen if k != j]) < alpha:
+                chosen.remove(j)
+                changed = True
     return [features[j - 1] for j in chosen]
 
 
