@@ -26,22 +26,22 @@ _FOLD[128:] = np.arange(128, 256)
 def ngrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the byte trigrams of each text, and the start of each text's share (n + 1).
 
-    The third value is the row of each gram.  Grams that stand in two texts, or hold
-    two spaces, are left out.
+    The third value is the row of each gram.  A text stands between two spaces, so that
+    a single letter has a gram too.  Grams that hold two spaces side by side are left
+    out, and with them all that cross texts.
     """
-    low = _FOLD[data].astype(np.uint32)
-    n = len(low)
-    if n < 3:
+    offs = np.asarray(offs)
+    rows = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    low = np.full(len(data) + 2 * (len(offs) - 1), 32, dtype=np.uint32)
+    low[np.arange(len(data)) + 2 * rows + 1] = _FOLD[data]
+    offs = offs + 2 * np.arange(len(offs))
+    if len(low) < 3:
         empty = np.zeros(0, np.int64)
         return empty, np.zeros(len(offs), np.int64), empty
     code = (low[:-2] << np.uint32(16)) | (low[1:-1] << np.uint32(8)) | low[2:]
     code = (code * np.uint32(2654435761)) >> np.uint32(16)
     space = low == 32
-    good = ~((space[:-2] & space[1:-1]) | (space[1:-1] & space[2:]) | (space[:-2] & space[2:]))
-    for edge in (1, 2):
-        cut = offs[1:-1] - edge
-        good[cut[(cut >= 0) & (cut < len(good))]] = False
-    at = np.flatnonzero(good)
+    at = np.flatnonzero(~((space[:-2] & space[1:-1]) | (space[1:-1] & space[2:])))
     share = np.searchsorted(at, offs)
     return code[at].astype(np.int64), share, np.repeat(np.arange(len(offs) - 1), np.diff(share))
 
