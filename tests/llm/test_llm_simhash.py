@@ -46,8 +46,8 @@ def test_equals_all_pairs(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == plain(rows)
 
 
-@pytest.mark.parametrize("block", [4096, 8])
-def test_index_finds_every_link(spark, block):
+@pytest.mark.parametrize("block, key_bytes", [(4096, 3), (8, 3), (8, 4)])
+def test_index_finds_every_link(spark, block, key_bytes):
     """Chains of fingerprints a few bits apart, in lists that are whole or dealt out in blocks."""
     rng = random.Random(block)
     marks = set()
@@ -59,8 +59,8 @@ def test_index_finds_every_link(spark, block):
                 x ^= 1 << b
     marks = sorted(marks)
     signed = [m - (1 << 64) if m >> 63 else m for m in marks]
-    reps = spark.createDataFrame([(m, i) for i, m in enumerate(signed)], "fp long, rep long")
-    edges = [(r.a, r.b) for r in simhash.link_edges(reps, 4, block=block).collect()]
+    at = {m: i for i, m in enumerate(signed)}
+    edges = [(at[r.a], at[r.b]) for r in simhash.link_edges(spark.createDataFrame([(m,) for m in signed], "fp long"), 4, key_bytes, block).collect()]
     assert all((marks[a] ^ marks[b]).bit_count() <= 4 for a, b in edges)
     both = {*edges, *((b, a) for a, b in edges)}
     ids = list(range(len(marks)))
@@ -70,8 +70,9 @@ def test_index_finds_every_link(spark, block):
 def test_position_sets_cover_all_shared_positions():
     from itertools import combinations
 
-    sets = simhash.position_sets(4, 3)
-    assert all(any(set(s) <= set(n) for s in sets) for n in combinations(range(8), 4))
+    for size in (3, 4):
+        sets = simhash.position_sets(4, size)
+        assert all(any(set(s) <= set(n) for s in sets) for n in combinations(range(8), 4))
 
 
 def test_one_of_each_keeps_the_smallest_id(spark):
@@ -89,6 +90,32 @@ def test_empty_table_and_null_ids(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
 
 
+def test_rows_without_an_id_link_and_name_no_group(spark):
+    """Two near fingerprints, a third whose only holder has no id between or beside them, repeated rows, and one alone."""
+    rng = random.Random(3)
+    base = prose(rng, 300).split()
+    near = list(base)
+    near[7] = "changed"
+    far = prose(rng, 300)
+    rows = [(5, " ".join(base)), (5, " ".join(base)), (None, " ".join(near)), (None, far), (None, far), (8, "")]
+    want = {t: fingerprint(t) for _, t in rows}
+    assert (want[rows[0][1]] ^ want[rows[2][1]]).bit_count() <= 4
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(documents(spark, rows, clashes=True)).collect()), key=str)
+    assert got == sorted(((i, f"{want[t]:016x}", {rows[0][1]: 5, rows[2][1]: 5, far: None, "": 8}[t]) for i, t in rows), key=str)
+
+
+def test_a_fingerprint_of_most_rows(spark, monkeypatch):
+    """Keys of a large share of the rows are joined by broadcast, the others by a shuffle, with the same rows."""
+    from cohortforge.llm import shared
+
+    rows = [(i, "") for i in range(1, 61)] + [(100 + i, prose(random.Random(i), 50)) for i in range(20)]
+    monkeypatch.setattr(shared, "HOT_SHARE", 0.2)
+    monkeypatch.setattr(shared, "max", lambda a, b: b, raising=False)  # without the floor of 10,000 rows
+    got = simhash.near_duplicates(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == plain(rows)
+
+
 def test_long_text_majority_is_exact():
     import numpy as np
 
