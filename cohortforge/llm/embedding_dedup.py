@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from cohortforge.llm.components import components
 from cohortforge.llm.grouped import bounds, whole_groups
-from cohortforge.llm.shared import materialise, small_batches
+from cohortforge.llm.shared import join_keys, materialise, small_batches
 
 #: The quantisers are fitted on at most so many vectors (those of the least hash of vec_id).
 SAMPLE = 32_768
-#: Vectors for one inverted list on average, and most lists.
-PER_LIST, MAX_LISTS = 4096, 8192
+#: Vectors for one inverted list on average, and most coarse centroids.  Where these are too few,
+#: lists are parted by the codewords of their first subspaces, as many as it takes.
+PER_LIST, CENTROIDS = 4096, 8192
 SUBSPACES, CODEWORDS = 8, 64
 #: Base and query rows that one group of a task holds on average at most.
-BASE_BLOCK, QUERY_BLOCK = 512, 4096
+BASE_BLOCK, QUERY_BLOCK = 8192, 8192
+#: Rows whose distances to all centroids or codes are held at once.
+ROWS = 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -25,7 +28,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = nearest(x, centre)[0]
+        near = nearest_index(x, centre)
         n = np.bincount(near, minlength=len(centre))
         total = np.zeros_like(centre)
         np.add.at(total, near, x)
@@ -39,23 +42,33 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d.argmin(axis=1), d
 
 
+def nearest_index(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Index of the nearest centroid, ``ROWS`` rows of x at a time."""
+    return np.concatenate([nearest(x[at : at + ROWS], centre)[0] for at in range(0, len(x), ROWS)]) if len(x) else np.zeros(0, np.int64)
+
+
+def near_planes(d: np.ndarray, own: int, centre: np.ndarray, radius: float) -> np.ndarray:
+    """Which centroids can be nearest to a vector within ``radius`` of one whose squared distances are ``d`` and whose nearest is ``own``.
+
+    A vector belongs to its nearest centroid, so c holds one near x only if x is at
+    most ``radius`` from the plane between c and x's own centroid.
+    """
+    gap = centre - centre[own]
+    apart = np.sqrt((gap * gap).sum(axis=1))
+    out = (d - d[own]) / (2 * np.maximum(apart, 1e-12)) <= radius + 1e-9
+    out[own] = True
+    return out
+
+
 class Quantiser:
-    """Coarse centroids, and codewords of the residuals in each subspace."""
+    """Coarse centroids, and codewords of the residuals in each subspace; a list is a centroid and ``depth`` first codewords."""
 
-    def __init__(self, sample: np.ndarray, lists: int):
+    def __init__(self, sample: np.ndarray, lists: int, depth: int = 0):
+        self.depth = depth
         self.centre = kmeans(sample, lists)
-        residual = sample - self.centre[nearest(sample, self.centre)[0]]
+        residual = sample - self.centre[nearest_index(sample, self.centre)]
         self.parts = [p for p in np.array_split(np.arange(sample.shape[1]), SUBSPACES) if len(p)]
         self.words = [kmeans(np.ascontiguousarray(residual[:, p]), CODEWORDS) for p in self.parts]
-        gap = self.centre[:, None, :] - self.centre[None, :, :] if len(self.centre) <= 512 else None
-        self._apart = None if gap is None else np.sqrt((gap * gap).sum(axis=2))
-
-    def apart(self, own: int) -> np.ndarray:
-        if self._apart is not None:
-            return self._apart[own]
-        gap = self.centre - self.centre[own]
-        return np.sqrt((gap * gap).sum(axis=1))
-
     def encode(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and how far each residual is from what its code stands for."""
         codes = np.stack([nearest(residual[:, p], w)[0] for p, w in zip(self.parts, self.words, strict=True)], axis=1).astype(np.uint8)
@@ -64,39 +77,70 @@ class Quantiser:
             rest[:, p] -= w[codes[:, m]]
         return codes, np.sqrt((rest * rest).sum(axis=1))
 
-    def probes(self, d: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray]:
-        """Lists that can hold a vector within ``radius``: those whose half-space comes that near.
+    def lists(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Number of the list of each vector."""
+        out = own.astype(np.int64)
+        for m in range(self.depth):
+            out = out * CODEWORDS + codes[:, m]
+        return out
+
+    def probes(self, x: np.ndarray, d: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray]:
+        """Lists that can hold a vector within ``radius``, by the planes between centroids and between codewords.
 
-        A vector belongs to the list of its nearest centroid, so list c holds one near x
-        only if x is at most ``radius`` from the plane between c and x's own centroid.
+        The residual of such a vector to one centroid is within ``radius`` of x's to the
+        same centroid, and so it is in each subspace.
         """
         out = []
         for i, a in enumerate(own):
-            to_plane = (d[i] - d[i, a]) / (2 * np.maximum(self.apart(a), 1e-12))
-            out.append(np.flatnonzero((to_plane <= radius + 1e-9) | (np.arange(len(self.centre)) == a)))
+            found = [np.flatnonzero(near_planes(d[i], int(a), self.centre, radius))]
+            for m in range(self.depth):
+                part, w = self.parts[m], self.words[m]
+                deeper = []
+                for at in found[-1].tolist():
+                    rest = x[i : i + 1] - self.centre[at // CODEWORDS**m]
+                    nearest_word, to_words = nearest(rest[:, part], w)
+                    deeper.append(at * CODEWORDS + np.flatnonzero(near_planes(to_words[0], int(nearest_word[0]), w, radius)))
+                found.append(np.concatenate(deeper))
+            out.append(found[-1].astype(np.int64))
         return out
 
     def distances(self, query: np.ndarray, lst: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances from tables: exact query residual to the coded residuals of a list."""
-        residual = query - self.centre[lst]
+        residual = query - self.centre[lst // CODEWORDS**self.depth]
         total = np.zeros((len(query), len(codes)))
         for m, (p, w) in enumerate(zip(self.parts, self.words, strict=True)):
             total += nearest(residual[:, p], w)[1][:, codes[:, m]]
         return np.sqrt(total)
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least index that each of n nodes reaches by the links (a, b)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        for at in (a, b, root[a], root[b]):
-            np.minimum.at(new, at, low)
-        new = np.minimum(new, new[new])
-        if (new == root).all():
-            return root
-        root = new
+class Forest:
+    """Components of nodes whose links come in parts."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = np.unique(ids)
+        self.root = np.arange(len(self.ids))
+        self.seen = np.zeros(len(self.ids), bool)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        if not len(a):
+            return
+        a, b = np.searchsorted(self.ids, a), np.searchsorted(self.ids, b)
+        self.seen[a] = self.seen[b] = True
+        root = self.root
+        while True:
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            for at in (a, b, root[a], root[b]):
+                np.minimum.at(new, at, low)
+            new = np.minimum(new, new[new])
+            if (new == root).all():
+                break
+            root = new
+        self.root = root
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each node that has a link, and the least node that it reaches."""
+        return self.ids[self.seen], self.ids[self.root[self.seen]]
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -119,14 +163,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     and their cosine in double precision is at least ``threshold``.  A vector that is
     null, empty, zero or holds a null or non-finite component links with nothing.
     Equal vectors of one label are one node with a multiplicity, and link with each
-    other.  n_links counts the other rows linked directly; component_id is the least
-    vec_id reachable; kept marks the row that is it.
+    other, so repeated rows do too.  n_links counts the other rows linked directly;
+    component_id is the least vec_id reachable; kept marks the row that is it.  A row
+    without a vec_id links like any other: it is kept only where no row of its group has
+    an id, and component_id is null then.  Other columns are not looked at.
 
     Each vector stands once, in the list of its nearest centroid, and looks into all
-    lists that can hold a neighbour.  There the table-lookup distance, less the known
-    error of the code, is a lower bound; what it lets through is compared exactly, so
-    no link is lost.  Lists of many vectors are dealt out in blocks.  Of the links
-    inside a group only a spanning forest is passed on, and their number.
+    lists that can hold a neighbour.  First only the codes of a list meet the vectors
+    that look into it: the table-lookup distance, less the known error of the code, is
+    a lower bound.  Vectors that it lets through are then sent to meet and compared
+    exactly, so no link is lost.  Lists of many vectors are dealt out in blocks.  Of the
+    links inside a group only a spanning forest is passed on, and their number.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4096)
@@ -134,87 +181,115 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.col("lab").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
     good = rows.where(valid)
-    reps = materialise(good.groupBy("lab", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
+    # nodes are numbered by their place in the written table: a vec_id may be null
+    reps = materialise(good.groupBy("lab", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult")).withColumn("rep", F.monotonically_increasing_id()))
     n, width = reps.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     alone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if not n:
         return alone.withColumn("kept", F.lit(True))
-    sample = reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow().column("v").combine_chunks()
+    sample = reps.select("v").orderBy(F.xxhash64("lab", "v"), "lab").limit(SAMPLE).toArrow().column("v").combine_chunks()
     unit = _matrix(sample, width)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    held = spark.sparkContext.broadcast(Quantiser(unit, int(min(max(round(n / PER_LIST), 1), MAX_LISTS))))
+    lists, depth = max(round(n / PER_LIST), 1), 0
+    while lists > CENTROIDS * CODEWORDS**depth and depth < min(SUBSPACES, width):
+        depth += 1
+    held = spark.sparkContext.broadcast(Quantiser(unit, min(lists, CENTROIDS), depth))
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
 
     def place(batches):
         q = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("v"), width)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            own, d = nearest(x, q.centre)
-            codes, error = q.encode(x - q.centre[own])
-            probes = q.probes(d, own, radius)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("lab", "rep", "mult", "v")), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))],
-                ["lab", "rep", "mult", "v", "list", "code", "error", "probes"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                x = _matrix(batch.column("v"), width)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                own, d = nearest(x, q.centre)
+                codes, error = q.encode(x - q.centre[own])
+                probes = q.probes(x, d, own, radius)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("lab", "rep", "mult", "v")), pa.array(q.lists(own, codes)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int64()))],
+                    ["lab", "rep", "mult", "v", "list", "code", "error", "probes"],
+                )
 
     kind = dict(reps.dtypes)["v"]
-    placed = materialise(reps.mapInArrow(place, f"lab string, rep long, mult long, v {kind}, list int, code binary, error double, probes array<int>").withColumn("dim", F.size("v")))
+    placed = materialise(reps.mapInArrow(place, f"lab string, rep long, mult long, v {kind}, list long, code binary, error double, probes array<long>").withColumn("dim", F.size("v")))
     key = ["lab", "dim", "list"]
-    asked = placed.select("lab", "dim", F.explode("probes").alias("list")).groupBy(*key).agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("nq"))
-    sizes = materialise(placed.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(BASE_BLOCK)).cast("int").alias("nb")).join(asked, key))
-    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    base = placed.join(sizes, key).select(*key, deal("nb").alias("b"), each("nq").alias("q"), F.lit(0).alias("kind"), "rep", "mult", "v", "code", "error")
-    query = placed.select("lab", "dim", F.explode("probes").alias("list"), "rep", "mult", "v").join(sizes, key)
-    query = query.select(*key, each("nb").alias("b"), deal("nq").alias("q"), F.lit(1).alias("kind"), "rep", "mult", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"))
     groups = [*key, "b", "q"]
 
-    def search(batches):
-        quantiser = held.value
+    def dealt(base: DataFrame, query: DataFrame) -> DataFrame:
+        """Base and query rows of each list in blocks, each base block beside each query block."""
+        size = lambda table, block, name: table.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
+        sizes = materialise(size(base, BASE_BLOCK, "nb").join(size(query, QUERY_BLOCK, "nq"), key))
+        deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rest = [c for c in base.columns if c not in key]
+        b = base.join(sizes, key).select(*key, deal("nb").alias("b"), each("nq").alias("q"), F.lit(0).alias("kind"), *rest)
+        q = query.join(sizes, key).select(*key, each("nb").alias("b"), deal("nq").alias("q"), F.lit(1).alias("kind"), *(F.col(c) if c in query.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in rest))
+        return b.union(q).repartition(*groups).sortWithinPartitions(*groups, "kind")
+
+    def parts(batches):
+        """Whole groups of base and query rows."""
         for table in whole_groups(batches, groups, 8192):
             cols = [table.column(c).to_numpy(zero_copy_only=False) for c in groups]
+            kinds = table.column("kind").to_numpy()
             at = bounds(*cols)
-            kinds, ids, mult = (table.column(c).to_numpy() for c in ("kind", "rep", "mult"))
-            x = _matrix(table.column("v").combine_chunks(), width)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            error = table.column("error").to_numpy(zero_copy_only=False)
-            code = table.column("code").to_pylist()
-            out = []
             for s, e in zip(at[:-1], at[1:], strict=True):
                 cut = s + int((kinds[s:e] == 0).sum())
-                if cut in (s, e):
-                    continue
-                codes = np.frombuffer(b"".join(code[s:cut]), np.uint8).reshape(cut - s, -1)
-                bound = quantiser.distances(x[cut:e], int(cols[2][s]), codes) - error[s:cut][None, :]
-                qi, bi = np.nonzero(bound <= radius + 1e-7)
-                qi, bi = qi + cut, bi + s
-                keep = ids[qi] != ids[bi]
-                qi, bi = qi[keep], bi[keep]
-                keep = np.einsum("ij,ij->i", x[qi], x[bi]) >= threshold
-                qi, bi = qi[keep], bi[keep]
-                if not len(qi):
-                    continue
-                linked = np.bincount(qi - cut, weights=mult[bi], minlength=e - cut).astype(np.int64)
-                nodes, inverse = np.unique(np.concatenate((ids[qi], ids[bi])), return_inverse=True)
-                root = nodes[_local_roots(len(nodes), inverse[: len(qi)], inverse[len(qi) :])]
-                some = np.flatnonzero(linked)
-                out.append((ids[cut + some], linked[some], ids[cut + some]))
-                out.append((nodes, np.zeros(len(nodes), np.int64), root))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "n", "b"])
-
-    columns = [*groups, "kind", "rep", "mult", "v", "code", "error"]
-    dealt = base.select(*columns).union(query.select(*columns)).repartition(*groups).sortWithinPartitions(*groups, "kind")
-    found = materialise(dealt.mapInArrow(search, "a long, n long, b long"))
+                if cut not in (s, e):
+                    yield table.slice(s, cut - s), table.slice(cut, e - cut), int(cols[2][s])
+
+    def unit_rows(table) -> np.ndarray:
+        x = _matrix(table.column("v").combine_chunks(), width)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def meet(batches):
+        """(rep, list, side) of the base rows and query rows that have a partner by the lower bound."""
+        quantiser = held.value
+        for base, query, lst in parts(batches):
+            codes = np.frombuffer(b"".join(base.column("code").to_pylist()), np.uint8).reshape(len(base), -1)
+            error = base.column("error").to_numpy(zero_copy_only=False)
+            x, ids, asks = unit_rows(query), base.column("rep").to_numpy(), query.column("rep").to_numpy()
+            found, asking = np.zeros(len(base), bool), np.zeros(len(query), bool)
+            for at in range(0, len(x), ROWS):
+                near = quantiser.distances(x[at : at + ROWS], lst, codes) - error[None, :] <= radius + 1e-7
+                near &= asks[at : at + ROWS, None] != ids[None, :]
+                found |= near.any(axis=0)
+                asking[at : at + ROWS] = near.any(axis=1)
+            some = np.concatenate((ids[found], asks[asking]))
+            if len(some):
+                side = np.concatenate((np.zeros(found.sum(), np.int32), np.ones(asking.sum(), np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), lst, np.int64)), pa.array(side)], ["rep", "list", "kind"])
+
+    coded = placed.select(*key, "rep", "code", "error", F.lit(None).cast(kind).alias("v"))
+    looking = placed.select("lab", "dim", F.explode("probes").alias("list"), "rep", "v")
+    passed = materialise(dealt(coded, looking).mapInArrow(meet, "rep long, list long, kind int").distinct())
+
+    def search(batches):
+        for base, query, _ in parts(batches):
+            x, y, ids, asks, mult = unit_rows(query), unit_rows(base), base.column("rep").to_numpy(), query.column("rep").to_numpy(), base.column("mult").to_numpy()
+            linked, root = np.zeros(len(query), np.int64), Forest(np.concatenate((asks, ids)))
+            for at in range(0, len(x), ROWS):
+                qi, bi = np.nonzero((x[at : at + ROWS] @ y.T >= threshold - 1e-9) & (asks[at : at + ROWS, None] != ids[None, :]))
+                keep = np.einsum("ij,ij->i", x[qi + at], y[bi]) >= threshold
+                qi, bi = qi[keep] + at, bi[keep]
+                linked += np.bincount(qi, weights=mult[bi], minlength=len(query)).astype(np.int64)
+                root.join(asks[qi], ids[bi])
+            some = linked > 0
+            if some.any():
+                nodes, least = root.links()
+                a, b = np.concatenate((asks[some], nodes)), np.concatenate((asks[some], least))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate((linked[some], np.zeros(len(nodes), np.int64)))), pa.array(b)], ["a", "n", "b"])
+
+    whole = placed.select("lab", "dim", "rep", "mult", "v")
+    side = lambda k: passed.where(F.col("kind") == k).select("rep", "list").join(whole, "rep").select(*key, "rep", "mult", "v")
+    found = materialise(dealt(side(0), side(1)).mapInArrow(search, "a long, n long, b long"))
     linked = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    joined = components(spark, found.select("a", "b"))
-    named = reps.join(linked, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    named = materialise(named.select("lab", "v", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    out = good.join(named, ["lab", "v"]).select("vec_id", "n_links", "component_id").union(alone)
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    joined = components(spark, found.select("a", "b")).withColumnRenamed("node", "rep")
+    named = materialise(reps.join(linked, "rep", "left").join(joined, "rep", "left").select("lab", "v", "mult", "least", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialise(named.drop("least").join(least, "component").select(F.struct("lab", "v").alias("key"), "mult", "n_links", "component_id"))
+    out = join_keys(good.select("vec_id", F.struct("lab", "v").alias("key")), named, "key", "mult").select("vec_id", "n_links", "component_id").union(alone)
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 ORACLE_SQL = """

@@ -41,8 +41,11 @@ def clustered(seed, n, width=24):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_all_pairs(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, centroids, words", [(1, 8192, 64), (2, 3, 4)])
+def test_equals_all_pairs(spark, seed, centroids, words, monkeypatch):
+    """The second way has few centroids, so lists are parted by codewords too."""
+    monkeypatch.setattr(embedding_dedup, "CENTROIDS", centroids)
+    monkeypatch.setattr(embedding_dedup, "CODEWORDS", words)
     monkeypatch.setattr(embedding_dedup, "PER_LIST", 40)  # several lists, and blocks of them, on few rows
     monkeypatch.setattr(embedding_dedup, "BASE_BLOCK", 16)
     monkeypatch.setattr(embedding_dedup, "QUERY_BLOCK", 32)
@@ -63,6 +66,14 @@ def test_odd_vectors(spark):
     assert got == plain(rows)
 
 
+def test_rows_without_an_id_and_repeated_rows(spark):
+    v, near, far, other = [1.0, 2.0, 3.0], [1.0, 2.0, 3.05], [3.0, -1.0, 0.5], [-2.0, 0.1, 1.0]
+    rows = [(4, 0, v), (4, 0, v), (None, 0, near), (None, 0, far), (None, 0, far), (7, 0, other), (None, None, v)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, KIND)).collect()), key=str)
+    want = [(4, 2, 4, True), (4, 2, 4, True), (None, 2, 4, False), (None, 1, None, True), (None, 1, None, True), (7, 0, 7, True), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_tables_without_a_usable_vector(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], KIND)).collect() == []
     got = embedding_dedup.near_duplicates(spark.createDataFrame([(1, None, [1.0]), (2, 0, None)], KIND)).collect()
