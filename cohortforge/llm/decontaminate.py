@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.llm.arrowtext import ALNUM, LOWER, chunks, hash_runs, rows_of, runs, shingle_hashes, utf8
-from cohortforge.llm.shared import small_batches
+from cohortforge.llm.shared import materialise, small_batches
 
 _U = np.uint64
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -36,13 +38,15 @@ def word_shingles(text: bytes, size: int) -> set[bytes]:
 
 
 class ItemIndex:
-    """Sketches of a block of items.
+    """MinHash sketches of a block of items, by size class.
 
     An item of q distinct shingles needs c = ceil(threshold * q) of them in a
-    document, so of any q - c + 1 of its shingles at least one is there.  The sketch
-    is the q - c + 1 least hashes (bottom-k MinHash), k set by the item's size class;
-    a document is a candidate for an item if it holds one hash of the sketch, and a
-    hash above the largest of its class is never looked up.
+    document.  Items whose q is of one power of two share a hash bound: the least that
+    leaves each of them at least q - c + 1 hashes, its sketch.  The sketch of a
+    document for that class is all its hashes up to the bound, so a long document has
+    a longer sketch and the overlap of the two is that of their MinHashes.  Of an item's
+    m sketched shingles at most q - c may be missing, so a document is a candidate if
+    its sketch holds m - (q - c) of them, one at least; none that holds the item is lost.
     """
 
     def __init__(self, items: list[tuple[int, str | None]], size: int, threshold: float):
@@ -55,16 +59,18 @@ class ItemIndex:
         row, h = pairs[:, 0].astype(np.int64), pairs[:, 1]
         self.count = np.bincount(row, minlength=len(items)).astype(np.int64)
         self.need = np.ceil(self.count * threshold - 1e-9).astype(np.int64)
-        rank = np.arange(len(h)) - np.concatenate(([0], np.cumsum(self.count)[:-1]))[row]
-        probe = rank < (self.count - self.need + 1)[row]
-        self.classes = []
+        spare = self.count - self.need
+        first = np.concatenate(([0], np.cumsum(self.count)[:-1])).astype(np.int64)
         size_class = np.frexp(np.maximum(self.count, 1))[1]
+        self.shared = np.zeros(len(items), dtype=np.int64)  # sketched shingles that a document must hold
+        self.classes = []
         for c in np.unique(size_class[row]) if len(row) else []:
-            of = probe & (size_class[row] == c)
+            own = np.flatnonzero((size_class == c) & (self.count > 0))
+            bound = h[(first + spare)[own]].max()
+            of = (size_class[row] == c) & (h <= bound)
+            self.shared[own] = np.bincount(row[of], minlength=len(items))[own] - spare[own]
             order = np.argsort(h[of], kind="stable")
-            self.classes.append((h[of][order], row[of][order]))
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.rows = h[order], row[order]
+            self.classes.append((bound, h[of][order], row[of][order]))
 
     @staticmethod
     def _pairs(h: np.ndarray, doc: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -79,23 +85,17 @@ class ItemIndex:
     def search(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, item, shared shingles) of all texts that hold an item."""
         h, doc = text_shingles(data, offs, self.size)
-        found = []
-        for keys, rows in self.classes:
-            low = h <= keys[-1]
-            found.append(self._pairs(h[low], doc[low], keys, rows))
-        candidates = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        if not len(candidates):
-            return []
-        # containment by hash, for the documents that have a candidate
-        inside = np.isin(doc, candidates[:, 0])
-        known = np.unique(np.stack([doc[inside].astype(_U), h[inside]], axis=1), axis=0)
-        shared = self._pairs(known[:, 1], known[:, 0].astype(np.int64), self.hashes, self.rows)
-        pairs, n = np.unique(shared, axis=0, return_counts=True)
+        candidates = [np.zeros((0, 2), np.int64)]
+        for bound, keys, rows in self.classes:
+            low = h <= bound
+            sketch = np.unique(np.stack([doc[low].astype(_U), h[low]], axis=1), axis=0)
+            pairs, n = np.unique(self._pairs(sketch[:, 1], sketch[:, 0].astype(np.int64), keys, rows), axis=0, return_counts=True)
+            candidates.append(pairs[n >= self.shared[pairs[:, 1]]])
+        pairs = np.concatenate(candidates)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         # then word by word
         out, at, held = [], -1, set()
-        for (row, item), k in zip(pairs.tolist(), n.tolist(), strict=True):
-            if k < self.need[item]:
-                continue
+        for row, item in pairs.tolist():
             if row != at:
                 at, held = row, word_shingles(data[offs[row] : offs[row + 1]].tobytes(), self.size)
             exact = len(held & word_shingles(self.texts[item], self.size))
@@ -111,30 +111,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
     shingles of ``size`` words stand in the document: doc_id, item_id, n_item,
     n_shared, containment.  Words are lower-cased runs of letters and digits, so that
     line breaks and punctuation do not hide a passage; a text of fewer words has one
-    shingle, so that a shorter item matches only a text of just its words.  Nulls and texts without a word match nothing.  The items go to the tasks
-    in blocks of at most about ``block_bytes`` of text; the documents are passed once
-    per block and never shuffled.
+    shingle, so that a shorter item matches only a text of just its words.  Nulls and
+    texts without a word match nothing; an item without an id is left out; a document
+    without one has a null doc_id.  Repeated rows of documents have a row each, repeated
+    items one.  Other columns are not looked at.  The items go to the tasks in blocks of
+    at most about ``block_bytes`` of text, one block at a time, whose result is written
+    before the next is made; the documents are passed once per block and never shuffled.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for index in _indexes(benchmark, size, threshold, block_bytes):
+    for index, last in _indexes(benchmark, size, threshold, block_bytes):
         found = texts.mapInArrow(_searcher(index), "doc_id long, item_id long, n_item long, n_shared long, containment double")
+        found = found if last else materialise(found)
         out = found if out is None else out.union(found)
     return out
 
 
-def _indexes(benchmark: DataFrame, size: int, threshold: float, block_bytes: int) -> list[ItemIndex]:
-    """Indexes of the items, in blocks dealt by hash."""
+def _indexes(benchmark: DataFrame, size: int, threshold: float, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Indexes of the items, in blocks dealt by hash, made when they are asked for; and whether it is the last."""
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) for k in range(blocks)]
-    return [ItemIndex([tuple(r) for r in part.orderBy("item_id", "text").collect()], size, threshold) for part in parts]
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # a block
+        yield benchmark.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in part], size, threshold)), k + 1 == blocks
 
 
-def _searcher(index: ItemIndex):
+def _searcher(held: Broadcast):
     def run(batches):
+        index = held.value
         for batch in chunks(batches):
             data, offs = utf8(batch.column("text"))
             hits = index.search(data, offs)
@@ -150,15 +157,21 @@ def _searcher(index: ItemIndex):
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, all columns, that hold no benchmark item; one pass for each block of items, no shuffle."""
+    """The documents, all rows and columns whatever their names, that hold no benchmark item.
+
+    One pass for each block of items, written before the next, no shuffle.  Rows
+    without an id or a text, and repeated rows, are judged by their texts like any other.
+    """
     small_batches(docs.sparkSession)
-    for index in _indexes(benchmark, size, threshold, block_bytes):
+    for index, last in _indexes(benchmark, size, threshold, block_bytes):
         docs = docs.mapInArrow(_cleaner(index), docs.schema)
+        docs = docs if last else materialise(docs)
     return docs
 
 
-def _cleaner(index: ItemIndex):
+def _cleaner(held: Broadcast):
     def run(batches):
+        index = held.value
         for batch in chunks(batches):
             clean = np.ones(batch.num_rows, dtype=bool)
             clean[[row for row, _, _ in index.search(*utf8(batch.column("text")))]] = False

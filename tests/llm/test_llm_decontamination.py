@@ -54,6 +54,39 @@ def test_equals_sets_of_shingles(spark, block_bytes):
     assert {d for d, *_ in want} >= {1000 + k for k, t in items if t and k is not None and len(t.split()) >= 5}
 
 
+def test_no_document_that_holds_an_item_is_missed_by_the_sketches():
+    """Any 0.8 of an item's shingles, whichever are missing, make its document a candidate; the sketch of a class is part of the hashes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cohortforge.llm.arrowtext import utf8
+
+    rng = random.Random(5)
+    items = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for k, n in enumerate([5, 7, 14, 30, 60, 200, 500] * 4)]
+    index = decontaminate.ItemIndex(items, 5, 0.8)
+    assert all(1 <= index.shared[k] <= index.need[k] for k, _ in items)
+    sketched = sum(len(keys) for _, keys, _ in index.classes)
+    assert sketched < 0.8 * index.count.sum()
+    for k, text in items:
+        words = text.split()
+        for _ in range(6):
+            cut = rng.sample(range(len(words)), max(0, len(words) // 30))
+            doc = " ".join("gone" if i in cut else w for i, w in enumerate(words))
+            want = len(shingles(doc) & shingles(text)) >= 0.8 * len(shingles(text)) - 1e-9
+            hits = index.search(*utf8(pa.array([prose(rng, 300) + " " + doc])))
+            assert (k in {item for _, item, _ in hits}) == want
+    assert np.all(index.shared > 0)
+
+
+def test_rows_without_an_id_and_repeated_rows(spark):
+    item = "one two three four five six seven eight"
+    docs = documents(spark, [(None, "so: " + item), (3, item), (3, item), (4, None), (None, None)], clashes=True)
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item)], "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.n_item, r.n_shared) for r in got) == [("3", 1, 4, 4), ("3", 1, 4, 4), ("None", 1, 4, 4)]
+    assert sorted(str(r.doc_id) for r in decontaminate.clean_documents(docs, bench).collect()) == ["4", "None"]
+
+
 def test_clean_documents_are_the_rest(spark):
     docs, items = planted(9)
     frame = documents(spark, docs, clashes=True)
