@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -11,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.llm.arrowtext import LOWER, chunks, utf8
-from cohortforge.llm.shared import small_batches
+from cohortforge.llm.shared import materialise, small_batches
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 512
+SMOOTHING = 0.5
+#: Languages whose counts a task holds before it passes them on.
+HELD_LANGUAGES = 64
 
 #: Letters (and all bytes of non-ASCII characters) in lower case; any other byte becomes a space.
 _FOLD = np.full(256, 32, dtype=np.uint8)
@@ -46,12 +49,12 @@ def ngrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return code[at].astype(np.int64), share, np.repeat(np.arange(len(offs) - 1), np.diff(share))
 
 
-def codewords(n: int, max_bits: int = 63) -> np.ndarray:
-    """Codewords of +1 and -1, one row per language.
+def codewords(n: int) -> np.ndarray:
+    """Codewords of +1 and -1, one row per language, for any number of them.
 
     Up to seven languages: the exhaustive code, all ways to part them in two.  More:
-    ``max_bits`` balanced columns drawn with a fixed seed, the draw of the largest
-    least distance among 50.
+    15 log2(n) balanced columns, 63 at least, drawn with a fixed seed; of several draws
+    the one of the largest least distance.
     """
     if n < 2:
         return np.ones((n, 1), dtype=np.int8)
@@ -59,10 +62,13 @@ def codewords(n: int, max_bits: int = 63) -> np.ndarray:
         columns = [[1 if i == 0 or i in s else -1 for i in range(n)] for k in range(n - 1) for s in combinations(range(1, n), k)]
         return np.array(columns, dtype=np.int8).T
     rng = np.random.default_rng(7)
-    best, far = None, -1
-    for _ in range(50):
-        code = np.stack([rng.permutation(np.where(np.arange(n) < n // 2, 1, -1)) for _ in range(max_bits)], axis=1).astype(np.int8)
-        gap = min(int((code[i] != code[j]).sum()) for i, j in combinations(range(n), 2))
+    bits = max(63, math.ceil(15 * math.log2(n)))
+    best, far = None, -1.0
+    for _ in range(50 if n <= 256 else 4):
+        code = np.stack([rng.permutation(np.where(np.arange(n) < n // 2, 1, -1)) for _ in range(bits)], axis=1).astype(np.int8)
+        alike = code.astype(np.float32) @ code.T.astype(np.float32)
+        np.fill_diagonal(alike, -bits)
+        gap = (bits - float(alike.max())) / 2
         if gap > far:
             best, far = code, gap
     return best
@@ -71,19 +77,12 @@ def codewords(n: int, max_bits: int = 63) -> np.ndarray:
 class Model:
     """One linear n-gram classifier per bit of the codewords."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, smoothing: float = 0.5):
-        """``counts``: grams by language and bucket, over all training texts."""
-        self.languages = languages
-        self.code = codewords(len(languages))
-        rates = (counts + smoothing) / (counts + smoothing).sum(axis=1, keepdims=True)
-        weights, trust = [], []
-        for bit in self.code.T:
-            plus, minus = rates[bit > 0].mean(axis=0), rates[bit < 0].mean(axis=0) if (bit < 0).any() else rates.mean(axis=0)
-            w = np.log(plus) - np.log(minus)
-            weights.append(w)
-            trust.append(float(((plus - minus) * w).sum()) / 2)  # mean margin of a gram: the bit's power to tell
-        self.weights = np.stack(weights, axis=1).astype(np.float32)
-        trust = np.array(trust)
+    def __init__(self, languages: list[str], code: np.ndarray, plus: np.ndarray, minus: np.ndarray):
+        """``plus`` and ``minus``: mean rate of each bucket (rows) in the languages on either side of each bit (columns)."""
+        self.languages, self.code = languages, code
+        w = np.log(plus) - np.log(minus)
+        trust = ((plus - minus) * w).sum(axis=0) / 2  # mean margin of a gram: the bit's power to tell
+        self.weights = w.astype(np.float32)
         self.trust = trust / trust.sum() if trust.sum() > 0 else np.full(len(trust), 1 / len(trust))
 
     def predict(self, data: np.ndarray, offs: np.ndarray, most: float = 60.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,36 +111,54 @@ class Model:
 def fit(docs: DataFrame, train: Column) -> Model | None:
     """The classifiers, from the texts and languages of all rows where ``train`` holds.
 
-    The driver gets one count per language and bucket, however many documents there
-    are.  Null where no row can be learned from.
+    Spark counts grams by language and adds up rates over the languages of either side
+    of each bit; the driver gets two sums for each bucket and bit, however many
+    documents and languages there are.  Null where no row can be learned from.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
+
+        def flush():
+            for name, counts in total.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
+            total.clear()
+
         for batch in chunks(batches):
-            gram, _, row = ngrams(*utf8(batch.column("text")))
+            gram, share, _ = ngrams(*utf8(batch.column("text")))
             lang = batch.column("lang").dictionary_encode()
             index, names = lang.indices.to_numpy(zero_copy_only=False), lang.dictionary.to_pylist()
-            flat = np.bincount(index[row].astype(np.int64) * BUCKETS + gram, minlength=len(names) * BUCKETS)
+            of = np.repeat(index, np.diff(share))
             for k, name in enumerate(names):
-                total[name] = total.get(name, 0) + flat[k * BUCKETS : (k + 1) * BUCKETS]
-        for name, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
-
-    counted = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()
-    languages = sorted(set(table.column("lang").to_pylist()))
+                total[name] = total.get(name, 0) + np.bincount(gram[of == k], minlength=BUCKETS)
+                if len(total) > HELD_LANGUAGES:
+                    yield from flush()
+        yield from flush()
+
+    every = rows.select("lang").distinct().withColumns({"bucket": F.lit(None).cast("int"), "n": F.lit(0).cast("long")})  # one that has no gram is a language too
+    counted = materialise(rows.mapInArrow(run, "lang string, bucket int, n long").union(every).groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").toArrow()
+    languages = totals.column("lang").to_pylist()
     if not languages:
         return None
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES}")
-    counts = np.zeros((len(languages), BUCKETS))
-    at = {name: k for k, name in enumerate(languages)}
-    counts[[at[x] for x in table.column("lang").to_pylist()], table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    return Model(languages, counts)
+    code = codewords(len(languages))
+    scale = 1.0 / (totals.column("n").to_numpy() + SMOOTHING * BUCKETS)
+    table = spark.createDataFrame([(name, float(s), row) for name, s, row in zip(languages, scale, code.tolist(), strict=True)], "lang string, scale double, code array<int>")
+    bits = code.shape[1]
+    rated = counted.where("bucket is not null").join(F.broadcast(table), "lang").select("bucket", "code", (F.col("n") * F.col("scale")).alias("rate"))  # a row for each language
+    side = lambda k, s: F.sum(F.when(F.col("code")[k] == s, F.col("rate")).otherwise(0.0))
+    sums = rated.groupBy("bucket").agg(F.array(*(side(k, s) for s in (1, -1) for k in range(bits))).alias("x")).toArrow()
+    rates = np.zeros((BUCKETS, 2 * bits))
+    rates[sums.column("bucket").to_numpy()] = sums.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 2 * bits)
+    on = np.concatenate((code > 0, code < 0), axis=1).astype(float)
+    rates += (SMOOTHING * scale)[None, :] @ on
+    mean = rates / np.maximum(on.sum(axis=0), 1)
+    plus, minus = mean[:, :bits], mean[:, bits:]
+    return Model(languages, code, plus, np.where(on.sum(axis=0)[bits:] > 0, minus, plus))
 
 
 def identify(docs: DataFrame, model: Model | None, ambiguous_below: float = 0.1) -> DataFrame:
@@ -149,7 +166,9 @@ def identify(docs: DataFrame, model: Model | None, ambiguous_below: float = 0.1)
 
     ``und`` with score 0 if the text is null, has no letter, or no language was
     learned.  ``ambiguous``: the two nearest codewords are less than
-    ``ambiguous_below`` apart in score.
+    ``ambiguous_below`` apart in score.  Of equal scores the first language by name is
+    taken.  A row without a doc_id and rows that repeat have a row each; other columns
+    are not looked at.
     """
     small_batches(docs.sparkSession)
 

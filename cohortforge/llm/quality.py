@@ -202,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_train_rows: int =
 def score_quality(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id and score (0 to 1, higher: label 1 likelier) of every document, from its whole text alone.
 
-    Null and empty texts have the zero vector.
+    Null and empty texts have the zero vector.  A row without a doc_id and rows that
+    repeat have a row each, equal texts equal scores; other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -216,7 +217,10 @@ def score_quality(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
-    """The documents, all columns, whose score reaches ``threshold``; one pass, no shuffle."""
+    """The documents, all columns whatever their names, whose score reaches ``threshold``; one pass, no shuffle.
+
+    Rows without an id or a text, and repeated rows, are judged by their texts like any other.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(scorer)
