@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cohortforge.llm.url_filter import RULES, filter_urls, host_reputation, oracle_sql
+from cohortforge.llm.url_filter import RULES, SECOND_LEVEL, domain_keys, filter_urls, host_reputation, oracle_sql
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
@@ -28,6 +28,31 @@ def rule_of(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
+def keys(host):
+    """Registered domain and public suffix."""
+    bare = host.rpartition("@")[2]
+    bare = bare[: bare.rindex(":")] if ":" in bare and bare.rpartition(":")[2].strip("0123456789") == "" else bare
+    bare = bare.rstrip(".")
+    labels = bare.split(".")
+    if bare.startswith("[") and bare.endswith("]") or len(labels) == 4 and all(x.isdigit() and x.isascii() and len(x) <= 3 for x in labels):
+        return bare, "ip"
+    deep = 2 if ".".join(labels[-2:]) in SECOND_LEVEL else 1
+    return ".".join(labels[-deep - 1 :]), ".".join(labels[-deep:])
+
+
+@pytest.mark.parametrize(
+    "host, domain, suffix",
+    [
+        ("a.co.uk", "a.co.uk", "co.uk"), ("x.b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("www.example.com", "example.com", "com"), ("10.0.0.1", "10.0.0.1", "ip"), ("10.0.0.1:80", "10.0.0.1", "ip"),
+        ("[2001:db8::1]:443", "[2001:db8::1]", "ip"), ("me:pw@shop.net:8080", "shop.net", "net"), ("example.org.", "example.org", "org"), ("localhost", "localhost", "localhost"), ("", "", ""), ("1000.0.0.1", "0.1", "1"),
+    ],
+)
+def test_registered_domain(spark, host, domain, suffix):
+    assert keys(host) == (domain, suffix)
+    d, x = domain_keys(F.col("host"))
+    assert tuple(spark.createDataFrame([(host,)], "host string").select(d, x).first()) == (domain, suffix)
+
+
 def level(keys, parent_mean):
     """Posterior mean and weight by key, from {key: (n, bad, parent)}."""
     excess = scale = 0.0
@@ -49,8 +74,7 @@ def plain(urls, z=1.645):
         counted[host][0] += verdict is not None
         counted[host][1] += verdict == "block"
     for host, (n, bad) in counted.items():
-        labels = host.split(".")
-        domain, suffix = ".".join(labels[-2:]), labels[-1]
+        domain, suffix = keys(host)
         hosts[host] = (n, bad, domain)
         for table, key, up in ((domains, domain, suffix), (suffixes, suffix, 0)):
             table[key][0] += n
@@ -75,6 +99,7 @@ URLS = (
     + ["http://example.net/de/", "http://example.net/en", "ftp://example.com/de/a", "ftp://www.EXAMPLE.com/fr/a", "http://notexample.com/de/", "http://x.org/fr/1", "http://x.org/fr", "http://net", "http://net/", "http://anet/"]
     + ["http://", "://host/p", "no scheme", None, "", "a://b://c/d", "http://h?x=/y", "http://h#/y", "http://h/p\nq?z", "http://ÄB.org/fr/ü"]
     + [f"http://b.bad.net?n={i}" for i in range(5)]
+    + ["http://a.co.uk/x", "http://b.co.uk/", "http://10.0.0.1/a", "http://10.0.0.1:8080/a", "http://u:p@bad.net:99/q", "http://bad.net./", "http://[::1]:8/x", "http://example.net:80/en/"]
 )
 
 
@@ -104,6 +129,17 @@ def test_odd_tables(spark):
     assert got[1] == got[2] == (1, "a.net", "net/", "block")
 
 
+def test_a_host_of_most_pages(spark, monkeypatch):
+    """Hosts of a large share of the pages are joined by broadcast, the others by a shuffle, with the same rows."""
+    from cohortforge.llm import shared
+
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*URLS, *["http://a.bad.net/x"] * 200])], "page_id long, url string")
+    want = sorted(tuple(r) for r in filter_urls(pages).collect())
+    monkeypatch.setattr(shared, "HOT_SHARE", 0.2)
+    monkeypatch.setattr(shared, "max", lambda a, b: b, raising=False)  # without the floor of 10,000 rows
+    assert sorted(tuple(r) for r in filter_urls(pages).collect()) == want
+
+
 def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     plan = filter_urls(pages)._jdf.queryExecution().toString()
