@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.columns import finite, ratio
+from cohortforge.operators.running import exact_quantiles
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -125,8 +126,9 @@ def confusion(df: DataFrame, truth: str, derived: str) -> DataFrame:
 def impute_scale(df: DataFrame, train: Column, columns: Sequence[str], fallback: float = 0.0) -> DataFrame:
     """Columns with medians in place of nulls, centred and scaled by population moments; all fitted where ``train`` holds."""
     fitted = df.where(train)
-    medians = fitted.agg(*(F.coalesce(F.expr(f"percentile(cast(`{c}` as double), 0.5)"), F.lit(fallback)).alias(f"_md_{c}") for c in columns))
-    filled = df.join(F.broadcast(medians)).withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"_md_{c}")) for c in columns})
+    medians = exact_quantiles(unpivot(fitted, [], columns), ["feature"], "value", {"_md": 0.5})
+    wide = medians.agg(*(F.coalesce(F.max(F.when(F.col("feature") == c, F.col("_md"))), F.lit(fallback)).alias(f"_md_{c}") for c in columns))
+    filled = df.join(F.broadcast(wide)).withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"_md_{c}")) for c in columns})  # one row
     moments = filled.where(train).agg(*(x for c in columns for x in (F.avg(f"_f_{c}").alias(f"_mu_{c}"), F.stddev_pop(f"_f_{c}").alias(f"_sd_{c}"))))
     scaled = filled.join(F.broadcast(moments)).withColumns({c: (F.col(f"_f_{c}") - F.col(f"_mu_{c}")) / F.when(F.col(f"_sd_{c}") > 1e-12, F.col(f"_sd_{c}")).otherwise(1.0) for c in columns})
     return scaled.select(*df.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortforge.functions.columns import clip, ratio
+from cohortforge.operators.running import exact_quantiles
 
 
 def overlap_weight(arm: str, score: str) -> Column:
@@ -26,7 +27,7 @@ def stabilised_weights(df: DataFrame, arm: str, score: str, truncate: float | No
     out = out.withColumn("iptw", F.when(F.col(arm) == 1, F.col("_p") / F.col(score)).otherwise((1 - F.col("_p")) / (1 - F.col(score)))).drop("_p")
     if truncate is None:
         return out
-    limit = out.agg(F.expr(f"percentile(iptw, {truncate})").alias("_cap"))
+    limit = exact_quantiles(out, [], "iptw", {"_cap": truncate})
     return out.join(F.broadcast(limit)).withColumn("iptw", F.least("iptw", "_cap")).drop("_cap")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortforge.operators.running import cut_points, running
+
 
 def guard_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     """The rows; a key that comes twice raises an error when the plan runs.
@@ -64,17 +66,16 @@ def bridge(left: DataFrame, links: DataFrame, right: DataFrame, left_key: str, r
 def step_lookup(points: DataFrame, curve: DataFrame, by: Sequence[str], at: str, time: str, value: str, before: float = 1.0, left_limit: bool = False) -> DataFrame:
     """The curve's last value at each point, or just before it with ``left_limit``; ``before`` ahead of the first step.
 
-    Points and steps are stacked and one ordered window carries values forward, so a
-    group is sorted once and never multiplied.
+    Points and steps are stacked and values carried forward, inside pieces of the time
+    axis and from piece to piece, so a group is neither multiplied nor one task.
     """
     rank = F.lit(0 if left_limit else 1)
     extra = [c for c in points.columns if c not in (*by, at)]
     p = points.select(*by, F.col(at).cast("double").alias("_t"), rank.alias("_o"), F.lit(None).cast("double").alias("_v"), F.struct(F.lit(1).alias("_one"), *extra).alias("_row"), F.col(at))
     row_type = p.schema["_row"].dataType
     c = curve.select(*by, F.col(time).cast("double").alias("_t"), (F.lit(1) - rank).alias("_o"), F.col(value).cast("double").alias("_v"), F.lit(None).cast(row_type).alias("_row"), F.lit(None).cast(points.schema[at].dataType).alias(at))
-    w = W.partitionBy(*by).orderBy("_t", "_o").rowsBetween(W.unboundedPreceding, 0)
-    held = F.coalesce(F.last("_v", ignorenulls=True).over(w), F.lit(before))
-    return p.union(c).withColumn(value, held).where("_row is not null").select(*by, at, *(F.col(f"_row.{e}").alias(e) for e in extra), value)
+    held = running(p.union(c), by, "_t", {"_held": ("last", F.col("_v"))}, ties=["_o"], cuts=cut_points(points, F.col(at).cast("double"))[0]).where("_row is not null")
+    return held.select(*by, at, *(F.col(f"_row.{e}").alias(e) for e in extra), F.coalesce("_held", F.lit(before)).alias(value))
 
 
 def at_risk(rows: DataFrame, by: Sequence[str], start: str, stop: str, weight: str, event: str) -> DataFrame:
@@ -86,6 +87,23 @@ def at_risk(rows: DataFrame, by: Sequence[str], start: str, stop: str, weight: s
     w = F.col(weight)
     changes = rows.select(*by, F.explode(F.array(F.struct(F.col(start).cast("double").alias("t"), w.alias("enter"), F.lit(0.0).alias("leave"), F.lit(0.0).alias("d"), F.lit(0).alias("stops")), F.struct(F.col(stop).cast("double").alias("t"), F.lit(0.0).alias("enter"), w.alias("leave"), (w * (F.col(event) == 1).cast("double")).alias("d"), F.lit(1).alias("stops")))).alias("x")).select(*by, "x.*")
     by_time = changes.groupBy(*by, "t").agg(*(F.sum(c).alias(c) for c in ("enter", "leave", "d", "stops")))
-    w_before = W.partitionBy(*by).orderBy("t").rowsBetween(W.unboundedPreceding, -1)
-    risk = F.coalesce(F.sum(F.col("enter") - F.col("leave")).over(w_before), F.lit(0.0))
-    return by_time.withColumn("risk", risk).where("stops > 0").select(*by, "t", "risk", F.col("d").alias("events"))
+    return running(by_time, by, "t", {"risk": ("sum", F.col("enter") - F.col("leave"))}, inclusive=False, cuts=cut_points(rows, F.col(stop).cast("double"))[0]).where("stops > 0").select(*by, "t", "risk", F.col("d").alias("events"))
+
+
+def ordered_lookup(draws: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Table rows in the order and number that ``draws`` (with its place column) asks for; a key that the table has not raises an error.
+
+    The table's key is unique, or that is an error too.  A key that is drawn twice comes twice.
+    """
+    found = draws.join(guard_unique(table, [key], "table").withColumn("_hit", F.lit(1)), key, "left")
+    lost = F.when(F.col("_hit").isNull(), F.raise_error(F.concat(F.lit(f"{key} not found: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")).otherwise(True)
+    return found.where(lost).drop("_hit")
+
+
+def bind_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Columns of two tables side by side by a stable row key; a row that only one side has raises an error.  Names of the right that the left has are left out."""
+    a = guard_unique(left, [key], "left side").withColumn("_l", F.lit(1))
+    new = [c for c in right.columns if c == key or c not in left.columns]
+    b = guard_unique(right.select(*new), [key], "right side").withColumn("_r", F.lit(1))
+    lone = F.when(F.col("_l").isNull() | F.col("_r").isNull(), F.raise_error(F.concat(F.lit(f"{key} on one side only: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")).otherwise(True)
+    return a.join(b, key, "full").where(lone).drop("_l", "_r")

@@ -6,14 +6,17 @@ Pairs are counted, not joined: subjects are first summed in cells of (time, risk
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.columns import clip, ratio
 from cohortforge.operators.joins import step_lookup
 from cohortforge.operators.ordered import average_ranks
-from cohortforge.operators.running import running_sums
+from cohortforge.operators.running import cut_points, running_sums, with_piece
 from cohortforge.operators.survival import weighted_curve
 
 
@@ -48,11 +51,11 @@ def concordance(df: DataFrame, by: Sequence[str], time: str, event: str, risk: s
     weight is an expression of the cell columns ``t`` and ``_g`` of the event, where
     ``_g`` is the left limit of the censoring curve; 1 / g^2 gives Uno's index.
 
-    Pairs are counted, not built.  Distinct times are numbered; two numbers differ first
-    at one bit, so each pair meets in just one node of a binary tree over the numbers,
-    the event in the left half and the later subject in the right.  In a node, a
-    running count of the right half along the risk serves all events of the left.
-    Work is n log n and spread over the nodes.
+    Pairs are counted, not built.  Times and risks are cut at quantiles, a cut value being
+    a piece of its own.  Pairs that differ in both pieces are counted from the grid of
+    pieces; pairs in one piece of time, and those in one piece of risk that differ in
+    time, each within one task per piece.  Every cell travels twice, whatever the number
+    of pairs.
     """
     bare = _cells(df, by, time, event, risk)
     if weight is not None:
@@ -60,19 +63,113 @@ def concordance(df: DataFrame, by: Sequence[str], time: str, event: str, risk: s
         cells = step_lookup(bare, curve, by, "t", "time", "_g", left_limit=True).withColumn("w", weight * F.col("d"))
     else:
         cells = bare.withColumn("w", F.col("d").cast("double"))
-    # times and their number come from the bare cells: the plan then holds the curve once
-    times = running_sums(bare.select(*by, "t").distinct(), by, "t", {"_number": F.lit(1)}).select(*by, "t", (F.col("_number") - 1).cast("long").alias("_number"))
-    bits = bare.agg(F.ceil(F.log2(F.count_distinct("t") + 1)).cast("int").alias("_bits"))
-    numbered = cells.join(times, [*by, "t"]).join(F.broadcast(bits))  # one row
-    level = F.explode(F.sequence(F.lit(0), F.greatest(F.col("_bits") - 1, F.lit(0)))).alias("level")
-    nodes = numbered.select(*by, "r", "n", "d", "w", "_number", level)
-    right = F.expr("shiftright(_number, level) & 1") == 1
-    node = F.expr("shiftright(_number, level + 1)").alias("node")
-    halves = nodes.groupBy(*by, "level", node, "r").agg(F.sum(F.when(right, 0.0).otherwise(F.col("w"))).alias("ew"), F.sum(F.when(right, 0).otherwise(F.col("d"))).alias("ed"), F.sum(F.when(right, F.col("n")).otherwise(0)).alias("later"))
-    upto = running_sums(halves, [*by, "level", "node"], "r", {"_upto": F.col("later")}, pieces=16)
-    good = F.col("ew") * (F.col("_upto") - F.col("later") / 2.0)
-    each = upto.groupBy(*by, "level", "node").agg(F.sum(good).alias("_g"), (F.sum("ew") * F.sum("later")).alias("_w"), (F.sum("ed") * F.sum("later")).alias("_p"))
-    return each.groupBy(*by).agg(F.sum("_g").alias("_g"), F.sum("_w").alias("_w"), F.sum("_p").alias("pairs")).select(*by, "pairs", ratio("_g", "_w").alias("c_index"))
+    cells = cells.where("t is not null and r is not null and not isnan(t) and not isnan(r)")
+    placed = cells.select(*by, "t", "r", "n", "d", "w")
+    for c, cuts in zip("tr", cut_points(df, F.col(time).cast("double"), F.col(risk).cast("double"), pieces=CONCORDANCE_PIECES), strict=True):
+        for strict in (False, True):
+            placed = with_piece(placed, F.col(c), cuts, f"_{c}{int(strict)}", strict)
+    placed = placed.select(*by, "t", "r", "n", "d", "w", *((F.col(f"_{c}0") + F.col(f"_{c}1")).alias(f"_p{c}") for c in "tr"))
+    kinds = dict(placed.dtypes)
+    keys = ", ".join(f"`{b}` {kinds[b]}" for b in by)
+    out = f"{keys + ', ' if by else ''}_g double, _w double, _p double"
+
+    def row(key: tuple, good: float, weighed: float, pairs: float) -> pd.DataFrame:
+        return pd.DataFrame([[*key[: len(by)], good, weighed, pairs]], columns=[*by, "_g", "_w", "_p"])
+
+    def across(key, cells: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of cells of the grid in different pieces of time, and of risk or at one value of it."""
+        ti, t = np.unique(cells["_pt"], return_inverse=True)
+        ri, r = np.unique(cells["_pr"], return_inverse=True)
+        n, w, d = (np.zeros((len(ti), len(ri))) for _ in range(3))
+        for table, c in ((n, "n"), (w, "w"), (d, "d")):
+            np.add.at(table, (t, r), cells[c].to_numpy(float))
+        later = n[::-1].cumsum(axis=0)[::-1] - n
+        lower = later.cumsum(axis=1) - later
+        lows, highs = np.full(len(ri), np.inf), np.full(len(ri), -np.inf)
+        np.minimum.at(lows, r, cells["low"].to_numpy(float))
+        np.maximum.at(highs, r, cells["high"].to_numpy(float))
+        every = later.sum(axis=1, keepdims=True)
+        return row(key, float((w * (lower + 0.5 * later * (lows == highs))).sum()), float((w * every).sum()), float((d * every).sum()))
+
+    def within(name: str, later: str) -> DataFrame:
+        """Pairs inside the pieces that have more than one value; many pieces of a task are counted at once."""
+        side, heads = name[-1], [*by, name]
+
+        def count(batches):
+            for cells in whole_pieces(batches, heads):
+                group = cells.groupby(heads, sort=False, dropna=False).ngroup().to_numpy()
+                sums = _pairs_in_pieces(group, *(cells[c].to_numpy(float) for c in (later, "r", "n", "d", "w")))
+                first = cells.groupby(heads, sort=False, dropna=False).head(1)[list(by)].reset_index(drop=True)
+                yield first.assign(_g=sums[0], _w=sums[1] if name == "_pt" else 0.0, _p=sums[2] if name == "_pt" else 0.0)
+
+        spread = placed.groupBy(*heads).agg(F.min(side).alias("_lo"), F.max(side).alias("_hi")).where("_lo < _hi").select(*(F.col(b).alias(f"_of_{b}") for b in by), F.col(name).alias("_of"))
+        mine = placed.join(spread, reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by), F.col(name) == F.col("_of")), "left_semi")
+        return mine.repartition(*heads).sortWithinPartitions(*heads).mapInPandas(count, out)
+
+    grid = placed.groupBy(*by, "_pt", "_pr").agg(*(F.sum(c).cast("double").alias(c) for c in "ndw"), F.min("r").alias("low"), F.max("r").alias("high"))
+    each = grid.groupBy(*by).applyInPandas(across, out).union(within("_pt", "t")).union(within("_pr", "_pt"))
+    return each.groupBy(*by).agg(F.sum("_g").alias("_g"), F.sum("_w").alias("_w"), F.sum("_p").cast("long").alias("pairs")).select(*by, "pairs", ratio("_g", "_w").alias("c_index"))
+
+
+#: Pieces of time and of risk, a square; the grid of a group is four times its square at most.
+CONCORDANCE_PIECES = 64
+
+
+def whole_pieces(frames, heads: Sequence[str], rows: int = 1 << 16):
+    """Frames of at least ``rows`` rows (the last may have fewer) that never cut a piece, from rows sorted by ``heads``."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) < rows:
+            continue
+        frame = pd.concat(held, ignore_index=True)
+        number = frame.groupby(list(heads), sort=False, dropna=False).ngroup().to_numpy()
+        cut = int(np.argmax(number == number[-1]))
+        if cut:
+            yield frame.iloc[:cut]
+        held = [frame.iloc[cut:]]
+    if held and sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
+def _pairs_in_pieces(group: np.ndarray, later: np.ndarray, risk: np.ndarray, n: np.ndarray, d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By group: weight of pairs with the event at higher risk (ties half), weight of all pairs and their number, of an event and a greater ``later``.
+
+    Ranks of ``later`` differ first at one bit, so each pair meets once: at each bit, a
+    running count of the upper half along the risk serves all events of the lower half.
+    """
+    groups = int(group.max()) + 1
+    order = np.lexsort((later, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (group[order][1:] != group[order][:-1]) | (later[order][1:] != later[order][:-1])
+    number = np.cumsum(new) - 1
+    rank = np.empty(len(order), np.int64)
+    first = np.full(groups, len(order))
+    np.minimum.at(first, group[order], number)
+    rank[order] = number - first[group[order]]
+    total = np.bincount(number, weights=n[order])
+    upto = np.cumsum(total)
+    ends = np.zeros(groups)
+    np.maximum.at(ends, group[order], upto[number])
+    beyond = np.empty(len(order))
+    beyond[order] = ends[group[order]] - upto[number]
+    bits = int(rank.max()).bit_length()
+    good = np.zeros(groups)
+    by_risk = np.argsort(risk, kind="stable")
+    for bit in range(bits):
+        node_of = (group << bits) | (rank >> (bit + 1))
+        order = by_risk[np.argsort(node_of[by_risk], kind="stable")]
+        node, r, upper = node_of[order], risk[order], (rank[order] >> bit) & 1 == 1
+        count = np.concatenate(([0.0], np.cumsum(np.where(upper, n[order], 0.0))))
+        new = np.ones(len(order), bool)
+        new[1:] = node[1:] != node[:-1]
+        base = count[np.flatnonzero(new)][np.cumsum(new) - 1]
+        new[1:] |= r[1:] != r[:-1]
+        start = np.flatnonzero(new)
+        of = np.cumsum(new) - 1
+        below, to = count[start][of], count[np.append(start[1:], len(order))][of]
+        good += np.bincount(group[order], weights=np.where(upper, 0.0, w[order]) * ((below + to) / 2 - base), minlength=groups)
+    return good, np.bincount(group, weights=w * beyond, minlength=groups), np.bincount(group, weights=d * beyond, minlength=groups)
 
 
 def uno(df: DataFrame, by: Sequence[str], time: str, event: str, risk: str, floor: float = 1e-6) -> DataFrame:
@@ -85,7 +182,7 @@ def dynamic_auc(df: DataFrame, by: Sequence[str], time: str, event: str, risk: s
     curve = censoring_survival(df, by, time, event, "_g")
     cells = step_lookup(_cells(df, by, time, event, risk), curve, by, "t", "time", "_g", left_limit=True)
     by_risk = cells.groupBy(*by, "r").agg(F.sum(F.when(F.col("t") <= horizon, F.col("d") / clip("_g", floor, 1.0)).otherwise(0.0)).alias("case_w"), F.sum(F.when(F.col("t") > horizon, F.col("n")).otherwise(0)).cast("double").alias("controls"))
-    upto = running_sums(by_risk, by, "r", {"_upto": F.col("controls")})
+    upto = running_sums(by_risk, by, "r", {"_upto": F.col("controls")}, cuts=cut_points(df, F.col(risk).cast("double"))[0])
     below = F.col("_upto") - F.col("controls") / 2
     total = upto.groupBy(*by).agg(F.sum(F.col("case_w") * below).alias("_u"), F.sum("case_w").alias("_c"), F.sum("controls").alias("_k"))
     return total.select(*by, ratio("_u", F.col("_c") * F.col("_k")).alias("auc"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.columns import clip, logistic
-from cohortforge.operators.running import running_sums
+from cohortforge.operators.running import cut_points, running_sums
 
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -202,6 +202,7 @@ def cox_spread(df: DataFrame, by: Sequence[str], time: str, event: str, features
     kinds = dict(df.dtypes)
     keys = ", ".join(f"`{b}` {kinds[b]}" for b in by)
     rows = df.select(*by, F.col(time).cast("double").alias("_t"), F.col(event).cast("int").alias("_e"), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features))).dropna().persist()
+    cuts = cut_points(rows, F.col("_t"))[0]
     found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("_e") == 1).alias("d")).collect()
     key_of = lambda r: tuple(r[b] for b in by)
     sizes = {key_of(r): r["n"] for r in found}
@@ -230,7 +231,7 @@ def cox_spread(df: DataFrame, by: Sequence[str], time: str, event: str, features
             *(F.sum(F.when(dead, c).otherwise(0.0)).alias(f"d{n}") for n, c in products.items()),
             *(F.sum(c).alias(f"_at{n}") for n, c in products.items()),
         )
-        at_risk = running_sums(by_time, by, "_t", {n: F.col("_at" + n[1:]) for n in sums}, descending=True).where("deaths > 0")
+        at_risk = running_sums(by_time, by, "_t", {n: F.col("_at" + n[1:]) for n in sums}, descending=True, cuts=cuts).where("deaths > 0")
         each = at_risk.mapInArrow(terms, ", ".join([keys, *(f"{n} double" for n in out)])).groupBy(*by).agg(*(F.sum(n).alias(n) for n in out)).collect()
         for r in each:
             k = key_of(r)

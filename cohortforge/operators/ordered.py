@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortforge.functions.columns import normal_quantile
-from cohortforge.operators.running import average_ranks, running_sums
+from cohortforge.operators.running import average_ranks, cut_points, exact_quantiles, row_numbers, running, running_sums
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
@@ -48,11 +48,13 @@ def block_summary(df: DataFrame, replicate: str, value: str, size: int) -> DataF
 
 def bh_adjust(df: DataFrame, by: Sequence[str], p: str, key: str, name: str = "q") -> DataFrame:
     """Benjamini-Hochberg adjusted values of each family of tests."""
-    n = F.count("*").over(W.partitionBy(*by))
-    order = W.partitionBy(*by).orderBy(p, key)
-    ranked = df.where(F.col(p).isNotNull()).withColumns({"_n": n, "_r": F.row_number().over(order)})
-    tail = order.rowsBetween(0, W.unboundedFollowing)
-    return ranked.withColumn(name, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(tail))).drop("_n", "_r")
+    use = df.where(F.col(p).isNotNull())
+    sizes = use.groupBy(*by).agg(F.count("*").alias("_n"))
+    cuts = cut_points(use, F.col(p).cast("double"))[0]
+    ranked = row_numbers(use, by, p, [p, key], "_r", cuts)
+    ranked = ranked.join(sizes, list(by)) if by else ranked.join(F.broadcast(sizes))  # without families one row
+    least = running(ranked.withColumn("_a", F.col(p) * F.col("_n") / (F.col("_r") + 1)), by, p, {name: ("min", F.col("_a"))}, descending=True, ties=[p, key], cuts=cuts)
+    return least.withColumn(name, F.least(F.lit(1.0), name)).drop("_n", "_r", "_a")
 
 
 def baseline_delta(df: DataFrame, by: Sequence[str], is_base: Column, value: str, name: str = "delta") -> DataFrame:
@@ -80,4 +82,4 @@ def spearman(long: DataFrame, feature: str, value: str, outcome: str) -> DataFra
     return use.select(feature, value, outcome).join(rx, [feature, value]).join(ry, [feature, outcome]).groupBy(feature).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
-__all__ = ["average_ranks", "baseline_delta", "bh_adjust", "block_summary", "keep_last", "prefix_summary", "rank_gaussian", "running_sums", "signed_topk", "spearman", "trapezoid"]
+__all__ = ["average_ranks", "baseline_delta", "bh_adjust", "block_summary", "exact_quantiles", "keep_last", "prefix_summary", "rank_gaussian", "running_sums", "signed_topk", "spearman", "trapezoid"]

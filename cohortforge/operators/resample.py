@@ -9,19 +9,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortforge.functions.columns import ratio
+from cohortforge.operators.running import cut_points, row_numbers
 
 
-def lcg(x: Column, seed: int = 0) -> Column:
-    """A draw in [0, 2^31) by integer arithmetic alone, so that any engine repeats it."""
-    m = F.lit(2147483648)
-    y = F.pmod(x * F.lit(1103515245) + F.lit(12345 + seed * 7919), m)
-    return F.pmod(y * F.lit(69069) + F.lit(362437), m)
+def hashed(*parts: str | Column | int) -> Column:
+    """A draw in [0, 2^60): 60 bits of the MD5 of the parts as text with colons between, which any engine repeats."""
+    text = F.concat_ws(":", *((F.col(p) if isinstance(p, str) else F.lit(p) if isinstance(p, int) else p).cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def stratified_folds(df: DataFrame, key: str, strata: Sequence[str], k: int, seed: int = 0, name: str = "fold") -> DataFrame:
-    """Folds 0 to k - 1, dealt out in turn inside each stratum in the order of a seeded draw."""
-    w = W.partitionBy(*strata).orderBy(lcg(F.col(key), seed), key)
-    return df.withColumn(name, F.pmod(F.row_number().over(w) - 1, F.lit(k)))
+    """Folds 0 to k - 1, dealt out in turn inside each stratum in the order of a hash of seed and key.
+
+    Places come from two levels of counts, so a stratum of any size is many tasks.
+    """
+    placed = row_numbers(df.withColumn("_draw", hashed(seed, key)), strata, "_draw", ["_draw", key], "_row")
+    return placed.withColumn(name, F.pmod("_row", F.lit(k)).cast("int")).drop("_draw", "_row")
+
+
+def ladder_folds(df: DataFrame, key: str, ladder: Sequence[Sequence[str]], k: int, seed: int = 0, name: str = "fold") -> DataFrame:
+    """Stratified folds by the first rung of ``ladder`` of which each stratum has at least k rows; without such a rung plain folds.
+
+    The rung is chosen for the whole table, like treatment by event, then treatment
+    alone, then event alone.  Adds ``name`` and ``rung``, the columns of the strata
+    joined by ``x``.
+    """
+    for strata in ladder:
+        least = df.groupBy(*strata).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
+        if least is not None and least >= k:
+            return stratified_folds(df, key, strata, k, seed, name).withColumn("rung", F.lit("x".join(strata)))
+    return stratified_folds(df, key, [], k, seed, name).withColumn("rung", F.lit("none"))
 
 
 def grouped_folds(df: DataFrame, group: str, stratum: str, k: int, seed: int = 0, name: str = "fold") -> DataFrame:
@@ -30,17 +47,28 @@ def grouped_folds(df: DataFrame, group: str, stratum: str, k: int, seed: int = 0
     return df.join(stratified_folds(groups, group, ["_s"], k, seed, name).select(group, name), group)
 
 
+def dense_positions(keys: DataFrame, key: str, name: str = "pos") -> DataFrame:
+    """key and its place, from 0 without a gap, in the order of the keys (numbers); a null or repeated key is an error."""
+    counted = keys.groupBy(key).agg(F.count("*").alias("_n"))
+    broken = F.when((F.col("_n") > 1) | F.col(key).isNull(), F.raise_error(F.concat(F.lit(f"{key} is null or not unique: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("long"))
+    placed = row_numbers(counted, [], key, [key], name, cut_points(keys, F.col(key).cast("double"))[0])
+    return placed.select(key, F.coalesce(broken, F.col(name)).alias(name))
+
+
 def bootstrap_counts(keys: DataFrame, key: str, replicates: int, seed: int = 0) -> DataFrame:
     """How often each key is drawn in each replicate of as many draws as there are keys.
 
-    ``keys`` carries a dense index ``pos`` from 0.  Draws are rows (replicate, draw), so
-    their number is spread; they are counted before they meet the keys, and covariates
-    never travel: statistics that are linear in weights take the count as a weight.
+    The draw of a place in a replicate is 60 bits of a hash of (seed, replicate, place),
+    modulo the number of keys: its bias is below n / 2^60.  Draws are rows, so their
+    number is spread; they are counted before they meet the keys, and covariates never
+    travel: statistics that are linear in weights take the count as a weight.  Keys get
+    dense places here, so none that is drawn is missing.
     """
+    placed = dense_positions(keys, key)
     n = keys.agg(F.count("*").alias("_n"))
-    draws = keys.select(F.col("pos").alias("_draw")).join(F.broadcast(n)).select("_draw", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = draws.select("replicate", F.pmod(lcg(F.col("replicate") * F.lit(1000003) + F.col("_draw"), seed), F.col("_n")).alias("pos"))
-    return drawn.groupBy("replicate", "pos").agg(F.count("*").alias("times")).join(keys.select(key, "pos"), "pos").select("replicate", key, "times")
+    draws = placed.join(F.broadcast(n)).select(F.col("pos").alias("_draw"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))  # one row
+    drawn = draws.select("replicate", F.pmod(hashed(seed, "replicate", "_draw"), F.col("_n")).alias("pos"))
+    return drawn.groupBy("replicate", "pos").agg(F.count("*").alias("times")).join(placed, "pos").select("replicate", key, "times")
 
 
 def intervals(df: DataFrame, by: Sequence[str], value: str, point: Column, level: float = 0.95) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortforge.functions.columns import clip
 from cohortforge.operators.joins import at_risk
-from cohortforge.operators.running import running_sums
+from cohortforge.operators.running import cut_points, exact_quantiles, running, running_sums
 
 
 def interval_grid(horizon: float, width: float) -> Column:
@@ -40,7 +40,7 @@ def single_exit_period(df: DataFrame, last_event: str, last_censor: str, interva
 
 
 def weighted_curve(df: DataFrame, by: Sequence[str], time: str, event: str, weight: str) -> DataFrame:
-    """Weighted Kaplan-Meier steps: time, risk (weight with time at or after), events, survival.
+    """Weighted Kaplan-Meier steps: time, risk (weight with time at or after), events, survival, and ``before``, the survival ahead of the step.
 
     Rows are first summed by distinct time.  The product of steps is a running sum of
     logarithms; a step to zero is carried apart, so that a curve that reaches zero
@@ -48,27 +48,39 @@ def weighted_curve(df: DataFrame, by: Sequence[str], time: str, event: str, weig
     """
     w = F.col(weight).cast("double")
     by_time = df.where(F.col(time).isNotNull() & (w > 0)).groupBy(*by, F.col(time).cast("double").alias("time")).agg(F.sum(w).alias("w"), F.sum(w * (F.col(event) == 1).cast("double")).alias("events"))
-    at = running_sums(by_time, by, "time", {"risk": F.col("w")}, descending=True).where("events > 0")
+    cuts = cut_points(df, F.col(time).cast("double"))[0]
+    at = running_sums(by_time, by, "time", {"risk": F.col("w")}, descending=True, cuts=cuts).where("events > 0")
+    return _product_of_steps(at, by, "time", cuts)
+
+
+def _product_of_steps(steps: DataFrame, by: Sequence[str], time: str, cuts: Sequence[float]) -> DataFrame:
     step = F.lit(1.0) - F.col("events") / F.col("risk")
     dead = step <= 1e-12
-    logs = running_sums(at, by, "time", {"_log": F.when(dead, 0.0).otherwise(F.ln(F.when(dead, 1.0).otherwise(step))), "_dead": dead.cast("double")})
-    return logs.select(*by, "time", "risk", "events", F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp("_log")).alias("survival"))
+    own = steps.withColumns({"_own": F.when(dead, 0.0).otherwise(F.ln(F.when(dead, 1.0).otherwise(step))), "_end": dead.cast("double")})
+    logs = running_sums(own, by, time, {"_log": F.col("_own"), "_dead": F.col("_end")}, cuts=cuts)
+    alive = lambda log, ends: F.when(ends > 0, 0.0).otherwise(F.exp(log))
+    return logs.select(*by, F.col(time).alias("time"), "risk", "events", alive(F.col("_log"), F.col("_dead")).alias("survival"), alive(F.col("_log") - F.col("_own"), F.col("_dead") - F.col("_end")).alias("before"))
 
 
 def restricted_mean(curve: DataFrame, by: Sequence[str], horizon: float, groups: DataFrame | None = None, start: float = 0.0) -> DataFrame:
     """Area under the step curve from ``start`` to ``horizon``, and its value at the horizon.
 
-    ``groups`` are all groups there are: one without a step has survival 1.
+    ``groups`` are all groups there are: one without a step has survival 1.  The area is
+    that of the value at the start less, for each later step, its drop times what is
+    left of the range: sums only, no window.  A curve without ``before``, the value ahead
+    of each step, gets it from the step that comes ahead.
     """
-    inside = curve.where((F.col("time") > start) & (F.col("time") <= horizon))
-    order = W.partitionBy(*by).orderBy("time")
-    pieces = inside.withColumn("_area", F.col("survival") * (F.coalesce(F.lead("time").over(order), F.lit(horizon)) - F.col("time")))
-    before = curve.where(F.col("time") <= start).groupBy(*by).agg(F.max_by("survival", "time").alias("_s0"))
-    area = pieces.groupBy(*by).agg(F.sum("_area").alias("_area"), F.min("time").alias("_first"), F.max_by("survival", "time").alias("_last"))
-    every = (groups or curve).select(*by).distinct()
-    out = every.join(area, list(by), "left").join(before, list(by), "left")
+    if "before" not in curve.columns:
+        curve = running(curve, by, "time", {"before": ("last", F.col("survival"))}, inclusive=False).withColumn("before", F.coalesce("before", F.lit(1.0)))
+    inside = (F.col("time") > start) & (F.col("time") <= horizon)
+    sums = curve.groupBy(*by).agg(
+        F.max_by("survival", F.when(F.col("time") <= start, F.col("time"))).alias("_s0"),
+        F.max_by("survival", F.when(F.col("time") <= horizon, F.col("time"))).alias("_last"),
+        F.sum(F.when(inside, (F.col("before") - F.col("survival")) * (F.lit(horizon) - F.col("time")))).alias("_lost"),
+    )
+    out = (groups or curve).select(*by).distinct().join(sums, list(by), "left")
     s0 = F.coalesce("_s0", F.lit(1.0))
-    return out.select(*by, (s0 * (F.coalesce("_first", F.lit(horizon)) - start) + F.coalesce("_area", F.lit(0.0))).alias("rmst"), F.coalesce("_last", s0).alias("survival"))
+    return out.select(*by, (s0 * (horizon - start) - F.coalesce("_lost", F.lit(0.0))).alias("rmst"), F.coalesce("_last", s0).alias("survival"))
 
 
 def arm_contrast(df: DataFrame, arm: str, time: str, event: str, weight: str, horizon: float) -> DataFrame:
@@ -86,10 +98,7 @@ def arm_contrast(df: DataFrame, arm: str, time: str, event: str, weight: str, ho
 def counting_curve(rows: DataFrame, by: Sequence[str], start: str, stop: str, event: str, weight: str) -> DataFrame:
     """Weighted Kaplan-Meier steps of counting-process rows, at risk where start < t <= stop."""
     steps = at_risk(rows, by, start, stop, weight, event).where("events > 0 and risk > 0")
-    step = F.lit(1.0) - F.col("events") / F.col("risk")
-    dead = step <= 1e-12
-    logs = running_sums(steps, by, "t", {"_log": F.when(dead, 0.0).otherwise(F.ln(F.when(dead, 1.0).otherwise(step))), "_dead": dead.cast("double")})
-    return logs.select(*by, F.col("t").alias("time"), "risk", "events", F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp("_log")).alias("survival"))
+    return _product_of_steps(steps, by, "t", cut_points(rows, F.col(stop).cast("double"))[0])
 
 
 def running_survival(df: DataFrame, by: Sequence[str], order: str, hazard: str, name: str = "survival_before") -> DataFrame:
@@ -158,7 +167,7 @@ def cap_weights(df: DataFrame, weight: str, cap: float | None = None, quantile:
     """Weights cut at a fixed cap, or at their exact quantile."""
     if cap is not None:
         return df.withColumn("capped", F.least(F.col(weight), F.lit(cap)))
-    limit = df.agg(F.expr(f"percentile(`{weight}`, {quantile})").alias("_cap"))
+    limit = exact_quantiles(df, [], weight, {"_cap": quantile})
     return df.join(F.broadcast(limit)).withColumn("capped", F.least(F.col(weight), F.col("_cap"))).drop("_cap")  # one row
 
 

@@ -12,8 +12,9 @@ from cohortforge.operators import govern as G
 from cohortforge.operators import metrics as M
 from cohortforge.operators import resample as R
 from cohortforge.operators import survival as V
+from cohortforge.operators.running import exact_quantiles
 from cohortforge.plans.registry import query
-from cohortforge.plans.shapes import COHORT, OUTCOMES, RECORDS, REPLICATES, STARTS, cohort, outcomes, records, replicates, starts, table
+from cohortforge.plans.shapes import COHORT, OUTCOMES, RECORDS, REPLICATES, STARTS, cohort, hashed_sql, outcomes, records, replicates, starts, table
 
 # ---- survival
 
@@ -134,7 +135,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return s.select("strategy", "interval", tidy("hazard").alias("hazard"), tidy(F.col("before") * (1 - F.col("hazard"))).alias("survival"))
 
 
-@query("wn_clipped_fold")
+@query(
+    "wn_clipped_fold",
+    """WITH RECURSIVE li AS (SELECT l_orderkey, l_linenumber, min(l_quantity) / 20.0 AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem GROUP BY 1, 2),
+ w AS (SELECT l_orderkey, l_linenumber, k, greatest(0.01, least(25.0, f))::DOUBLE AS weight FROM li WHERE k = 1 UNION ALL SELECT li.l_orderkey, li.l_linenumber, li.k, greatest(0.01, least(25.0, w.weight * li.f))::DOUBLE FROM w JOIN li ON li.l_orderkey = w.l_orderkey AND li.k = w.k + 1)
+ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS step, round(weight, 6) AS weight FROM w""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q")).withColumn("f", F.col("q") / 20.0)
     return V.clipped_weights(li, ["l_orderkey"], "l_linenumber", "f", 0.01, 25.0).select("l_orderkey", F.col("l_linenumber").cast("long").alias("step"), tidy("weight").alias("weight"))
@@ -248,36 +254,39 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- resampling
 
-_LCG = "((({x}) * 1103515245 + {c}) % 2147483648 * 69069 + 362437) % 2147483648"
 
-
-@query("rs_stratified_folds", f"WITH {COHORT} SELECT id, CAST((row_number() OVER (PARTITION BY arm, event ORDER BY {_LCG.format(x='id', c=12345)}, id) - 1) % 5 AS INTEGER) AS fold FROM c")
+@query("rs_stratified_folds", f"WITH {COHORT} SELECT id, CAST((row_number() OVER (PARTITION BY arm, event ORDER BY {hashed_sql('0', 'id')}, id) - 1) % 5 AS INTEGER) AS fold FROM c")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return R.stratified_folds(cohort(spark, d), "id", ["arm", "event"], 5).select("id", "fold")
 
 
-@query("rs_grouped_folds", f"WITH {COHORT}, g AS (SELECT cust, max(event) AS s FROM c GROUP BY 1), f AS (SELECT cust, CAST((row_number() OVER (PARTITION BY s ORDER BY {_LCG.format(x='cust', c=12345)}, cust) - 1) % 5 AS INTEGER) AS fold FROM g) SELECT id, fold FROM c JOIN f USING (cust)")
+@query(
+    "rs_ladder_folds",
+    f"""WITH {COHORT}, n AS (SELECT (SELECT min(n) FROM (SELECT count(*) AS n FROM c GROUP BY cust, event)) AS a, (SELECT min(n) FROM (SELECT count(*) AS n FROM c GROUP BY cust)) AS b),
+ r AS (SELECT CASE WHEN a >= 5 THEN 'custxevent' WHEN b >= 5 THEN 'cust' ELSE 'event' END AS rung FROM n)
+ SELECT id, rung, CAST((row_number() OVER (PARTITION BY CASE WHEN rung <> 'event' THEN cust END, CASE WHEN rung <> 'cust' THEN event END ORDER BY {hashed_sql('0', 'id')}, id) - 1) % 5 AS INTEGER) AS fold FROM c, r""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.grouped_folds(cohort(spark, d), "cust", "event", 5).select("id", "fold")
+    return R.ladder_folds(cohort(spark, d), "id", [["cust", "event"], ["cust"], ["event"]], 5).select("id", "rung", "fold")
 
 
-_DRAWS = f"n AS (SELECT count(*) AS n FROM customer), dr AS (SELECT r AS replicate, ({_LCG.format(x='r * 1000003 + c_custkey - lo', c=12345)}) % n AS pos FROM customer, n, (SELECT min(c_custkey) AS lo FROM customer), (SELECT CAST(unnest(range(0, 20)) AS INTEGER) AS r)), bt AS (SELECT replicate, pos + lo AS c_custkey, count(*) AS times FROM dr, (SELECT min(c_custkey) AS lo FROM customer) GROUP BY ALL)"
+@query("rs_grouped_folds", f"WITH {COHORT}, g AS (SELECT cust, max(event) AS s FROM c GROUP BY 1), f AS (SELECT cust, CAST((row_number() OVER (PARTITION BY s ORDER BY {hashed_sql('0', 'cust')}, cust) - 1) % 5 AS INTEGER) AS fold FROM g) SELECT id, fold FROM c JOIN f USING (cust)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return R.grouped_folds(cohort(spark, d), "cust", "event", 5).select("id", "fold")
 
 
-def _keys(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey")  # keys are dense: the least is position 0
-    return c.join(F.broadcast(c.agg(F.min("c_custkey").alias("lo")))).select("c_custkey", (F.col("c_custkey") - F.col("lo")).alias("pos"))
+_DRAWS = f"k AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, count(*) OVER () AS n FROM customer), dr AS (SELECT r AS replicate, {hashed_sql('0', 'r', 'pos')} % n AS pos FROM k, (SELECT CAST(unnest(range(0, 20)) AS INTEGER) AS r)), bt AS (SELECT replicate, c_custkey, count(*) AS times FROM dr JOIN k USING (pos) GROUP BY ALL)"
 
 
 @query("rs_bootstrap_multiplicity", f"WITH {_DRAWS} SELECT replicate, c_custkey, times FROM bt")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return R.bootstrap_counts(_keys(spark, d), "c_custkey", 20)
+    return R.bootstrap_counts(table(spark, d, "customer"), "c_custkey", 20)
 
 
 @query("rs_bootstrap_interval", f"WITH {_DRAWS}, m AS (SELECT replicate, sum(times * c_acctbal) / sum(times) AS v FROM bt JOIN customer USING (c_custkey) GROUP BY 1), p AS (SELECT avg(c_acctbal) AS point FROM customer) SELECT count(*) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd, round(quantile_cont(v, 0.025), 4) AS percentile_low, round(quantile_cont(v, 0.975), 4) AS percentile_high, round(2 * any_value(point) - quantile_cont(v, 0.975), 4) AS basic_low, round(any_value(point) - 1.96 * stddev_samp(v), 4) AS normal_low FROM m, p")
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    drawn = R.bootstrap_counts(_keys(spark, d), "c_custkey", 20).join(c, "c_custkey")
+    drawn = R.bootstrap_counts(c, "c_custkey", 20).join(c, "c_custkey")
     m = drawn.groupBy("replicate").agg((F.sum(F.col("times") * F.col("c_acctbal")) / F.sum("times")).alias("v"))
     i = R.intervals(m.join(F.broadcast(c.agg(F.avg("c_acctbal").alias("point")))), [], "v", F.col("point"))
     return i.select("n", *(tidy(x, 4).alias(x) for x in ("mean", "sd", "percentile_low", "percentile_high", "basic_low", "normal_low")))
@@ -434,7 +443,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("hz_provenance", "SELECT round(corr(a, b), 6) AS r, round(median(abs(a - b)), 6) AS median_gap, count(*) AS n FROM (SELECT c_acctbal AS a, c_acctbal * 1.01 + c_custkey % 7 AS b FROM customer)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "customer").select(F.col("c_acctbal").alias("a"), (F.col("c_acctbal") * 1.01 + F.col("c_custkey") % 7).alias("b"))
-    return x.agg(tidy(F.corr("a", "b")).alias("r"), tidy(F.expr("percentile(abs(a - b), 0.5)")).alias("median_gap"), F.count("*").alias("n"))
+    gap = exact_quantiles(x.withColumn("gap", F.abs(F.col("a") - F.col("b"))), [], "gap", {"median_gap": 0.5})
+    return x.agg(tidy(F.corr("a", "b")).alias("r"), F.count("*").alias("n")).join(F.broadcast(gap)).select("r", tidy("median_gap").alias("median_gap"), "n")  # one row
 
 
 @query("xo_confusion", "SELECT *, round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 6) AS agreement, round(tp / (tp + fn)::DOUBLE, 6) AS sensitivity, round(tn / (tn + fp)::DOUBLE, 6) AS specificity FROM (SELECT count(*) FILTER (t = 1 AND d = 1) AS tp, count(*) FILTER (t = 0 AND d = 0) AS tn, count(*) FILTER (t = 0 AND d = 1) AS fp, count(*) FILTER (t = 1 AND d = 0) AS fn FROM (SELECT quality AS t, 1 - toxic AS d FROM labels))")

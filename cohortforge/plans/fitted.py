@@ -72,8 +72,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("rs_refit_bootstrap")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = scaled(spark, d).select("id", "time", "event", "arm", *_Z)
-    dense = s.withColumn("pos", F.col("id") - s.agg(F.min("id")).scalar())
-    drawn = R.bootstrap_counts(dense.select("id", "pos"), "id", 12).join(dense, "id")
+    drawn = R.bootstrap_counts(s, "id", 12).join(s, "id")
     copies = drawn.select("replicate", "time", "event", "arm", *_Z, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_c"))
     return D.cox_by_group(copies, ["replicate"], "time", "event", ["arm", *_Z], 0.001).select("replicate", "feature", tidy("coefficient", 5).alias("coefficient"))
 

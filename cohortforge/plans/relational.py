@@ -120,7 +120,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ag_named", f"WITH {COHORT} SELECT stratum, count(*) AS n, count(DISTINCT cust) AS n_cust, round(min(x1), 6) AS lo, round(max(x1), 6) AS hi, round(avg(x1), 6) AS mean, round(median(x1), 6) AS med, round(stddev_samp(x1), 6) AS sd FROM c GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return cohort(spark, d).groupBy("stratum").agg(F.count("*").alias("n"), F.count_distinct("cust").alias("n_cust"), tidy(F.min("x1")).alias("lo"), tidy(F.max("x1")).alias("hi"), tidy(F.avg("x1")).alias("mean"), tidy(F.expr("percentile(x1, 0.5)")).alias("med"), tidy(F.stddev_samp("x1")).alias("sd"))
+    c = cohort(spark, d)
+    named = c.groupBy("stratum").agg(F.count("*").alias("n"), F.count_distinct("cust").alias("n_cust"), tidy(F.min("x1")).alias("lo"), tidy(F.max("x1")).alias("hi"), tidy(F.avg("x1")).alias("mean"), tidy(F.stddev_samp("x1")).alias("sd"))
+    return named.join(O.exact_quantiles(c, ["stratum"], "x1", {"med": 0.5}), "stratum").withColumn("med", tidy("med"))
 
 
 @query("ag_null_keys", f"WITH {RECORDS} SELECT day, count(*) AS n, count(day) AS n_dated, 1 AS keeps_null FROM r GROUP BY 1 UNION ALL SELECT day, count(*), count(day), 0 FROM r WHERE day IS NOT NULL GROUP BY 1")
@@ -136,8 +138,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ag_quantiles", f"WITH {COHORT} SELECT arm, round(quantile_cont(x1, 0.025), 6) AS q025, round(quantile_cont(x1, 0.25), 6) AS q25, round(quantile_cont(x1, 0.5), 6) AS q50, round(quantile_cont(x1, 0.975), 6) AS q975 FROM c GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    q = F.expr("percentile(x1, array(0.025, 0.25, 0.5, 0.975))")
-    return cohort(spark, d).groupBy("arm").agg(q.alias("q")).select("arm", *(tidy(F.col("q")[i]).alias(n) for i, n in enumerate(("q025", "q25", "q50", "q975"))))
+    names = {"q025": 0.025, "q25": 0.25, "q50": 0.5, "q975": 0.975}
+    return O.exact_quantiles(cohort(spark, d), ["arm"], "x1", names).select("arm", *(tidy(n).alias(n) for n in names))
 
 
 @query("ag_crosstab_margins", f"WITH {COHORT} SELECT CASE WHEN grouping(stratum) = 1 THEN 'All' ELSE stratum END AS row_key, CASE WHEN grouping(arm) = 1 THEN 'All' ELSE CAST(arm AS VARCHAR) END AS column_key, count(*) AS n FROM c GROUP BY CUBE (stratum, arm)")
@@ -145,9 +147,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return A.crosstab(cohort(spark, d), "stratum", "arm")
 
 
-@query("ag_pivot_first", f"WITH {REPLICATES} SELECT method, min(estimate) FILTER (scenario = 0) AS s0, min(estimate) FILTER (scenario = 1) AS s1, min(estimate) FILTER (scenario = 2) AS s2, min(estimate) FILTER (scenario = 3) AS s3 FROM p GROUP BY 1")
+@query("ag_pivot_first", f"WITH {REPLICATES} SELECT method, " + ", ".join(f"arg_min(estimate, rep) FILTER (scenario = {k}) AS s{k}" for k in range(4)) + " FROM p GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    wide = replicates(spark, d).groupBy("method").pivot("scenario", [0, 1, 2, 3]).agg(F.min("estimate"))
+    wide = replicates(spark, d).groupBy("method").pivot("scenario", [0, 1, 2, 3]).agg(F.min_by("estimate", "rep"))
     return wide.select("method", *(F.col(str(k)).alias(f"s{k}") for k in range(4)))
 
 
@@ -205,8 +207,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ag_propensity_summary", f"WITH {COHORT} SELECT arm, count(*) AS n, round(avg(e), 6) AS mean, round(min(e), 6) AS lo, round(max(e), 6) AS hi, round(quantile_cont(e, 0.05), 6) AS q05, round(quantile_cont(e, 0.95), 6) AS q95, round(avg(CASE WHEN e < 0.15 OR e > 0.85 THEN 1.0 ELSE 0.0 END), 6) AS tails FROM c GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    q = lambda p: tidy(F.expr(f"percentile(e, {p})"))
-    return cohort(spark, d).groupBy("arm").agg(F.count("*").alias("n"), tidy(F.avg("e")).alias("mean"), tidy(F.min("e")).alias("lo"), tidy(F.max("e")).alias("hi"), q(0.05).alias("q05"), q(0.95).alias("q95"), tidy(F.avg(((F.col("e") < 0.15) | (F.col("e") > 0.85)).cast("double"))).alias("tails"))
+    c = cohort(spark, d)
+    ends = O.exact_quantiles(c, ["arm"], "e", {"q05": 0.05, "q95": 0.95}).select("arm", tidy("q05").alias("q05"), tidy("q95").alias("q95"))
+    return c.groupBy("arm").agg(F.count("*").alias("n"), tidy(F.avg("e")).alias("mean"), tidy(F.min("e")).alias("lo"), tidy(F.max("e")).alias("hi"), tidy(F.avg(((F.col("e") < 0.15) | (F.col("e") > 0.85)).cast("double"))).alias("tails")).join(ends, "arm")
 
 
 @query("ag_corr", f"WITH {COHORT} SELECT stratum, round(corr(x1, x3), 6) AS r FROM c GROUP BY 1")
@@ -345,10 +348,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return S.pair_overlaps(s, "g", "feature").select("a", "b", "n_a", "n_b", "shared", tidy("jaccard").alias("jaccard"), tidy("overlap").alias("overlap"))
 
 
-@query("st_chance_adjusted", f"WITH {SELECTIONS}, {_PAIRS} SELECT a, b, round(n_a * n_b / 1250.0::DOUBLE, 6) AS expected, round((shared - n_a * n_b / 1250.0::DOUBLE) / nullif(least(n_a, n_b) - n_a * n_b / 1250.0::DOUBLE, 0), 6) AS beyond_chance FROM pq")
+@query("st_chance_adjusted", f"WITH {SELECTIONS}, {_PAIRS} SELECT a, b, round(n_a * n_b / k::DOUBLE, 6) AS expected, round((shared - n_a * n_b / k::DOUBLE) / nullif(least(n_a, n_b) - n_a * n_b / k::DOUBLE, 0), 6) AS beyond_chance FROM pq, (SELECT count(DISTINCT p_brand || '-' || p_size) AS k FROM part)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = selections(spark, d).withColumn("g", F.col("repeat") * 10 + F.col("fold"))
-    return S.pair_overlaps(s, "g", "feature", 1250).select("a", "b", tidy("expected").alias("expected"), tidy("beyond_chance").alias("beyond_chance"))
+    known = table(spark, d, "part").select("p_brand", "p_size").distinct().count()
+    return S.pair_overlaps(s, "g", "feature", known).select("a", "b", tidy("expected").alias("expected"), tidy("beyond_chance").alias("beyond_chance"))
 
 
 @query("st_hypergeom", "SELECT k, round(list_sum(list_transform(range(k, 21), lambda i: exp(lgamma(31) - lgamma(i + 1) - lgamma(31 - i) + lgamma(71) - lgamma(21 - i) - lgamma(71 - 20 + i) - (lgamma(101) - lgamma(21) - lgamma(81))))), 6) AS p FROM (SELECT unnest(range(1, 15)) AS k)")
@@ -356,11 +360,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1, 15).select(F.col("id").alias("k"), tidy(C.hypergeometric_tail("id", F.lit(100), F.lit(30), F.lit(20))).alias("p"))
 
 
-@query("st_enrichment")
+@query(
+    "st_enrichment",
+    """WITH q AS (SELECT l_partkey AS gene, sum(l_quantity) AS q FROM lineitem GROUP BY 1), s AS (SELECT gene FROM q JOIN part ON p_partkey = gene WHERE q.q > (SELECT avg(q) FROM q)),
+ t AS (SELECT (SELECT count(*) FROM part) AS population, (SELECT count(*) FROM s) AS drawn), c AS (SELECT p_brand AS pathway, count(*) AS marked, count(s.gene) AS overlap FROM part LEFT JOIN s ON s.gene = p_partkey GROUP BY 1),
+ p AS (SELECT pathway, marked, overlap, population, drawn, CASE WHEN overlap <= 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(greatest(overlap, drawn + marked - population), least(marked, drawn) + 1), lambda i: exp(lgamma(marked + 1) - lgamma(i + 1) - lgamma(marked - i + 1) + lgamma(population - marked + 1) - lgamma(drawn - i + 1) - lgamma(population - marked - drawn + i + 1) - lgamma(population + 1) + lgamma(drawn + 1) + lgamma(population - drawn + 1))))) END::DOUBLE AS p FROM c, t),
+ r AS (SELECT *, row_number() OVER (ORDER BY p, pathway) AS r, count(*) OVER () AS m FROM p)
+ SELECT pathway, marked, overlap, population, drawn, round(p, 6) AS p, round(overlap / (marked * drawn / population::DOUBLE), 6) AS fold, round(least(1.0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     named = part.select(F.col("p_brand").alias("pathway"), F.col("p_partkey").alias("gene"))
-    chosen = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("gene"))
+    total = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("q"))
+    chosen = total.where(F.col("q") > total.agg(F.avg("q")).scalar()).select("gene")
     e = S.enrichment(chosen, named, part.select(F.col("p_partkey").alias("gene")), "pathway", "gene")
     return e.select("pathway", "marked", "overlap", "population", "drawn", tidy("p").alias("p"), tidy("fold").alias("fold"), tidy("q").alias("q"))
 

@@ -82,10 +82,18 @@ REPLICATES = """p AS (SELECT CAST(c_custkey % 4 AS INTEGER) AS scenario, c_mktse
  c_acctbal / 1000.0::DOUBLE - 1.5::DOUBLE AS low, c_acctbal / 1000.0::DOUBLE + 1.5::DOUBLE AS high, CASE WHEN c_custkey % 11 <> 0 THEN 1 ELSE 0 END AS ok FROM customer)"""
 
 
+def hashed_sql(*parts: str) -> str:
+    """``resample.hashed`` in DuckDB SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
 def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features chosen by (repeat, fold): brands of the parts in line items, by quantity and line."""
+    """Features chosen by (repeat, fold): brand and size of the parts whose quantity over all lines there is above the mean of features."""
     li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    return li.where("l_quantity >= 49").join(part, li.l_partkey == part.p_partkey).select(F.pmod("l_orderkey", F.lit(3)).cast("int").alias("repeat"), F.pmod("l_suppkey", F.lit(4)).cast("int").alias("fold"), F.concat_ws("-", "p_brand", "p_size").alias("feature"))
+    named = part.select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("-", "p_brand", "p_size").alias("feature"))
+    by = li.join(named, "l_partkey").groupBy(F.pmod("l_orderkey", F.lit(3)).cast("int").alias("repeat"), F.pmod("l_suppkey", F.lit(4)).cast("int").alias("fold"), "feature").agg(F.sum("l_quantity").alias("q"))
+    mean = by.groupBy("repeat", "fold").agg(F.avg("q").alias("mean"))
+    return by.join(mean, ["repeat", "fold"]).where("q > mean").select("repeat", "fold", "feature")
 
 
-SELECTIONS = """sel AS (SELECT CAST(l_orderkey % 3 AS INTEGER) AS repeat, CAST(l_suppkey % 4 AS INTEGER) AS fold, p_brand || '-' || p_size AS feature FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49)"""
+SELECTIONS = """sel AS (SELECT repeat, fold, feature FROM (SELECT *, avg(q) OVER (PARTITION BY repeat, fold) AS mean FROM (SELECT CAST(l_orderkey % 3 AS INTEGER) AS repeat, CAST(l_suppkey % 4 AS INTEGER) AS fold, p_brand || '-' || p_size AS feature, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)) WHERE q > mean)"""

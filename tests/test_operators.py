@@ -132,9 +132,88 @@ def test_folds_are_balanced_and_groups_whole(spark):
 
 
 def test_bootstrap_counts_add_up(spark):
-    keys = spark.range(50).select(F.col("id"), F.col("id").alias("pos"))
+    keys = spark.range(50).select((F.col("id") * F.col("id") - 7).alias("id"))  # with gaps
     got = R.bootstrap_counts(keys, "id", 6).groupBy("replicate").agg(F.sum("times").alias("n")).collect()
     assert sorted((r.replicate, r.n) for r in got) == [(k, 50) for k in range(6)]
+    assert R.bootstrap_counts(keys.limit(0), "id", 2).count() == 0
+    with pytest.raises(Exception, match="not unique"):
+        R.bootstrap_counts(keys.union(keys.limit(1)), "id", 2).collect()
+    with pytest.raises(Exception, match="null"):
+        R.bootstrap_counts(keys.union(spark.createDataFrame([(None,)], "id long")), "id", 2).collect()
+
+
+def test_bootstrap_draws_have_the_moments_of_draws_with_replacement(spark):
+    """Share of keys never drawn, variance of multiplicities, and spread of means, each within four Monte Carlo errors."""
+    n, b = 1000, 60
+    table = np.zeros((b, n))
+    for r in R.bootstrap_counts(spark.range(n), "id", b, seed=4).collect():
+        table[r.replicate, r.id] = r.times
+    never = (table == 0).mean(axis=1)
+    assert abs(never.mean() - (1 - 1 / n) ** n) < 4 * never.std(ddof=1) / np.sqrt(b)
+    variance = table.var(axis=1)
+    assert abs(variance.mean() - (1 - 1 / n)) < 4 * variance.std(ddof=1) / np.sqrt(b)
+    x = np.linspace(-1, 1, n) ** 3
+    means = table @ x / n
+    assert abs(means.std(ddof=1) / (x.std() / np.sqrt(n)) - 1) < 4 / np.sqrt(2 * b)
+    assert abs(means.mean() - x.mean()) < 4 * x.std() / np.sqrt(n * b)
+    flat = np.corrcoef(table)
+    assert abs(flat[np.triu_indices(b, 1)]).max() < 6 / np.sqrt(n)  # replicates are not one another's shifts
+
+
+def test_dense_positions_have_no_gap(spark):
+    keys = spark.createDataFrame([(k,) for k in (10**12, -5, 3, 7, 10**15)], "k long")
+    assert {r.k: r.pos for r in R.dense_positions(keys, "k").collect()} == {-5: 0, 3: 1, 7: 2, 10**12: 3, 10**15: 4}
+
+
+def test_ladder_goes_down_until_strata_suffice(spark):
+    df = spark.range(60).select("id", (F.col("id") % 2).alias("t"), (F.col("id") < 3).cast("int").alias("e"))
+    rungs = lambda ladder: {r.rung for r in R.ladder_folds(df, "id", ladder, 5).collect()}
+    assert rungs([["t", "e"], ["t"], ["e"]]) == {"t"} and rungs([["e"]]) == {"none"} and rungs([["t"], ["e"]]) == {"t"}
+    n = R.ladder_folds(df, "id", [["t", "e"], ["t"]], 5).groupBy("t", "fold").count().collect()
+    assert sorted(r["count"] for r in n) == [6] * 10
+
+
+def test_running_folds_against_loops(spark):
+    """Sums, extremes and carried values in both directions, with an outlier, ties, nulls in groups and values."""
+    from cohortforge.operators.running import running
+
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 9 == 0 else i % 3, float(rng.integers(40)) if i else 1e18, i, None if i % 4 == 0 else float(rng.normal())) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, x double, tie int, v double")
+    for down in (False, True):
+        for inclusive in (True, False):
+            folds = {"s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v")), "held": ("last", F.col("v"))}
+            got = {r.tie: (r.s, r.lo, r.hi, r.held) for r in running(df, ["g"], "x", folds, down, inclusive, ["tie"]).collect()}
+            assert len(got) == len(rows)
+            for g in (None, 0, 1, 2):
+                own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]), reverse=down)
+                for k, r in enumerate(own):
+                    seen = [x[3] for x in own[: k + inclusive] if x[3] is not None]
+                    s, lo, hi, held = got[r[2]]
+                    assert abs(s - sum(seen)) < 1e-9 and (lo, hi, held) == ((min(seen), max(seen), seen[-1]) if seen else (None, None, None))
+
+
+def test_exact_quantiles_against_numpy(spark):
+    from cohortforge.operators.running import exact_quantiles
+
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 3), None if i % 11 == 0 else float(rng.integers(30)) if i % 3 else float(rng.lognormal(0, 9))) for i in range(700)]
+    got = {r.g: r for r in exact_quantiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", {"a": 0.025, "m": 0.5, "z": 1.0}).collect()}
+    for g in range(3):
+        v = [x for k, x in rows if k == g and x is not None]
+        assert np.allclose([got[g].a, got[g].m, got[g].z], np.quantile(v, [0.025, 0.5, 1.0]), rtol=1e-9)
+
+
+def test_lookup_in_the_order_of_draws(spark):
+    draws = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b")], "pos int, k string")
+    table = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
+    assert [(r.pos, r.v) for r in J.ordered_lookup(draws, table, "k").orderBy("pos").collect()] == [(0, 2), (1, 1), (2, 2)]
+    with pytest.raises(Exception, match="not found"):
+        J.ordered_lookup(draws, table.where("k <> 'a'"), "k").collect()
+    left, right = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(2, "q", "?"), (1, "p", "?")], "k int, b string, a string")
+    assert sorted(tuple(r) for r in J.bind_columns(left, right, "k").collect()) == [(1, "x", "p"), (2, "y", "q")]
+    with pytest.raises(Exception, match="one side"):
+        J.bind_columns(left, right.where("k = 1"), "k").collect()
 
 
 def brute_c(rows, weight=lambda t: 1.0):
