@@ -18,7 +18,7 @@ SAMPLE = 32_768
 PER_LIST, CENTROIDS = 4096, 8192
 SUBSPACES, CODEWORDS = 8, 64
 #: Base and query rows that one group of a task holds on average at most.
-BASE_BLOCK, QUERY_BLOCK = 8192, 8192
+BASE_BLOCK, QUERY_BLOCK = 8192, 1024
 #: Rows whose distances to all centroids or codes are held at once.
 ROWS = 256
 
@@ -168,11 +168,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     without a vec_id links like any other: it is kept only where no row of its group has
     an id, and component_id is null then.  Other columns are not looked at.
 
-    Each vector stands once, in the list of its nearest centroid, and looks into all
-    lists that can hold a neighbour.  First only the codes of a list meet the vectors
-    that look into it: the table-lookup distance, less the known error of the code, is
-    a lower bound.  Vectors that it lets through are then sent to meet and compared
-    exactly, so no link is lost.  Lists of many vectors are dealt out in blocks.  Of the
+    Each vector stands once, in the list of its nearest centroid, and its code is sent to
+    all lists that can hold a neighbour.  There the vectors of the list meet the codes:
+    the table-lookup distance, less the known error of the code, is a lower bound.
+    Vectors whose code it lets through are then sent too and compared exactly, so no
+    link is lost.  Lists of many vectors are dealt out in blocks.  Of the
     links inside a group only a spanning forest is passed on, and their number.
     """
     spark = vectors.sparkSession
@@ -243,15 +243,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def meet(batches):
-        """(rep, list, side) of the base rows and query rows that have a partner by the lower bound."""
+        """(rep, list, side) of the base rows and query rows that have a partner by the lower bound; base rows are codes from any list."""
         quantiser = held.value
         for base, query, lst in parts(batches):
+            base = base.sort_by("own")
             codes = np.frombuffer(b"".join(base.column("code").to_pylist()), np.uint8).reshape(len(base), -1)
-            error = base.column("error").to_numpy(zero_copy_only=False)
+            error, own = base.column("error").to_numpy(), base.column("own").to_numpy()
             x, ids, asks = unit_rows(query), base.column("rep").to_numpy(), query.column("rep").to_numpy()
-            found, asking = np.zeros(len(base), bool), np.zeros(len(query), bool)
+            found, asking, runs = np.zeros(len(base), bool), np.zeros(len(query), bool), bounds(own)
             for at in range(0, len(x), ROWS):
-                near = quantiser.distances(x[at : at + ROWS], lst, codes) - error[None, :] <= radius + 1e-7
+                apart = [quantiser.distances(x[at : at + ROWS], int(own[s]), codes[s:e]) for s, e in zip(runs[:-1], runs[1:], strict=True)]
+                near = np.concatenate(apart, axis=1) - error[None, :] <= radius + 1e-7
                 near &= asks[at : at + ROWS, None] != ids[None, :]
                 found |= near.any(axis=0)
                 asking[at : at + ROWS] = near.any(axis=1)
@@ -260,9 +262,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
                 side = np.concatenate((np.zeros(found.sum(), np.int32), np.ones(asking.sum(), np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), lst, np.int64)), pa.array(side)], ["rep", "list", "kind"])
 
-    coded = placed.select(*key, "rep", "code", "error", F.lit(None).cast(kind).alias("v"))
-    looking = placed.select("lab", "dim", F.explode("probes").alias("list"), "rep", "v")
-    passed = materialise(dealt(coded, looking).mapInArrow(meet, "rep long, list long, kind int").distinct())
+    coded = placed.select("lab", "dim", F.explode("probes").alias("list"), "rep", F.col("list").alias("own"), "code", "error", F.lit(None).cast(kind).alias("v"))
+    passed = materialise(dealt(coded, placed.select(*key, "rep", "v")).mapInArrow(meet, "rep long, list long, kind int").distinct())
 
     def search(batches):
         for base, query, _ in parts(batches):
