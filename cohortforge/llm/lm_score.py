@@ -1,8 +1,18 @@
-"""LM scoring: Brown class-based bigrams with exchange clustering."""
+"""LM scoring: Brown class-based bigrams with exchange clustering.
+
+Every word of the corpus is placed by the exchange criterion.  The commonest words and
+the endings of the others are exchanged one by one on the driver, which gives the
+classes to start from.  Then all other words move at once, in Spark, each to the class
+that most raises the likelihood of the class bigrams, by the classes to its left and
+right over the whole corpus: first the head words, whose class every task then holds,
+then the rest, from all places where they stand.  Only a word that was never learned
+from has the class of its ending.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.llm.arrowtext import LOWER, chunks, utf8
+from cohortforge.llm.grouped import bounds, whole_groups
 from cohortforge.llm.shared import materialise, small_batches
 
 #: Words, of the highest counts, whose counts every task holds; the others are joined.
 HEAD = 1 << 18
-#: Items that the exchange clustering places: words of the highest counts, endings of all other words, the end, and the rest.
+#: Items that are exchanged one by one: words of the highest counts, endings of all other words, the end, and the rest.
 ITEMS = 1024
 CLASSES = 64
 SWEEPS = 6
@@ -202,37 +213,228 @@ def exchange_clusters(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndar
     return cls
 
 
-class ClassModel:
-    """What every task holds: classes of items, log transitions, class totals, counts of the head words."""
+def place(contexts: np.ndarray, c: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """Class of each word that most raises the likelihood when the word moves there, in first order.
+
+    ``contexts``: how often each class stands right of the word, then left of it, a row
+    for each word; ``c``: its count.  The likelihood of class bigrams g with class sizes
+    s is sum g log g - 2 sum s log s, so a few tokens with contexts R and L raise it in
+    class b by R . log g(b, .) + L . log g(., b) - 2 c log s(b).  The end's class takes no word.
+    """
+    g = bigrams + ALPHA
+    log_g = np.log(g)
+    gain = contexts @ np.concatenate((log_g.T, log_g), axis=0) - 2 * c[:, None] * np.log(g.sum(axis=1))[None, :]
+    if gain.shape[1] > 1:
+        gain[:, 0] = -np.inf
+    return gain.argmax(axis=1)
+
+
+def class_bigrams(cls: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    k = int(cls.max()) + 1
+    onehot = np.zeros((len(cls), k))
+    onehot[np.arange(len(cls)), cls] = 1
+    return onehot.T @ bigrams @ onehot
+
 
-    def __init__(self, items: Items, cls: np.ndarray, bigrams: np.ndarray, head: list[bytes], head_c: np.ndarray):
-        self.items, self.cls = items, cls
-        k = int(cls.max()) + 1 if len(cls) else 1
-        onehot = np.zeros((len(cls), k))
-        onehot[np.arange(len(cls)), cls] = 1
-        n = onehot.T @ bigrams @ onehot + ALPHA
-        self.transition = np.log10(n / n.sum(axis=1, keepdims=True))
+class Classes:
+    """What every task holds: the head words and the classes of these and of endings."""
+
+    def __init__(self, items: Items, cls: np.ndarray, head: list[bytes], head_c: np.ndarray):
+        self.items, self.cls, self.k = items, cls, int(cls.max()) + 1
         self.index = {w: i for i, w in enumerate(head)}
         self.head_c = head_c
         self.head_class = np.array([cls[items.item(w)] for w in head], dtype=np.int64)
-        self.divisor = np.zeros(k)
+        self.end_at = self.index.get(END, -1)
+        #: Head words that were exchanged one by one, and the end.
+        self.settled = np.array([w in items.of for w in head], dtype=bool)
+
+    def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Head index (-1: none) and class (without one: of the ending) of each word of a text, then of the end."""
+        get, items, cls = self.index.get, self.items, self.cls
+        at = np.array([get(w, -1) for w in words] + [self.end_at], dtype=np.int64)
+        of = self.head_class[at] if len(self.head_class) else np.zeros(len(at), np.int64)
+        of[-1] = cls[_END]
+        for i in np.flatnonzero(at[:-1] < 0).tolist():
+            of[i] = cls[items.item(words[i])]
+        return at, of
+
+
+#: Parts that the contexts of head words are dealt out in.
+_PARTS = 64
+
+
+def head_classes(learned: DataFrame, start: Classes, bigrams: np.ndarray) -> np.ndarray:
+    """Class of each head word, from the classes beside it in all texts; settled words keep theirs."""
+    spark, n, k = learned.sparkSession, len(start.index), start.k
+    held = spark.sparkContext.broadcast(start)
+
+    def run(batches):
+        model = held.value
+        total = np.zeros(n * 2 * k, dtype=np.int32)
+        for batch in chunks(batches, 1 << 20):
+            keys = []
+            for words in words_of(batch):
+                at, of = model.tokens(words)
+                left = np.concatenate(([model.cls[_END]], of[:-2]))
+                mine = at[:-1]
+                some = mine >= 0
+                keys += [mine[some] * (2 * k) + of[1:][some], mine[some] * (2 * k) + k + left[: len(mine)][some]]
+            if keys:
+                key, times = np.unique(np.concatenate(keys), return_counts=True)
+                total[key] += times.astype(np.int32)
+        used = np.flatnonzero(total)
+        for at in range(0, len(used), 1 << 20):
+            key = used[at : at + (1 << 20)]
+            yield pa.RecordBatch.from_arrays([pa.array((key // (2 * k) % _PARTS).astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(total[key])], ["part", "key", "n"])
+
+    def choose(batches):
+        model = held.value
+        sums: dict[int, np.ndarray] = {}
+        size = -(-n // _PARTS)
+        for batch in batches:
+            part, key, times = (batch.column(c).to_numpy() for c in ("part", "key", "n"))
+            for p in np.unique(part).tolist():
+                own = part == p
+                own_sums = sums.setdefault(p, np.zeros(size * 2 * k))
+                np.add.at(own_sums, (key[own] // (2 * k) // _PARTS) * (2 * k) + key[own] % (2 * k), times[own])
+        for p, flat in sums.items():
+            word = np.arange(size) * _PARTS + p
+            word = word[word < n]
+            found = place(flat.reshape(size, 2 * k)[: len(word)], model.head_c[word], bigrams)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(found)], ["word", "class"])
+
+    found = learned.select("text").mapInArrow(run, "part int, key long, n int").repartition("part").mapInArrow(choose, "word long, class long").toArrow()  # a row for each head word
+    out = start.head_class.copy()
+    word, new = found.column("word").to_numpy(), found.column("class").to_numpy()
+    out[word] = np.where(start.settled[word], out[word], new)
+    return out
+
 
-    def totals(self, counts: DataFrame) -> None:
-        """Tokens and distinct words of every class, over all words."""
-        cls, items, k = self.cls, self.items, len(self.divisor)
+_TAIL = "kind int, d long, h long, pos int, word string, left int, right int, learned boolean, pair int, n long"
 
-        def run(batches):
-            n, v = np.zeros(k, np.int64), np.zeros(k, np.int64)
-            for batch in batches:
-                of = cls[[items.item(w) for w in batch.column("word").cast(pa.binary()).to_pylist()]]
-                n += np.bincount(of, weights=batch.column("c").to_numpy(), minlength=k).astype(np.int64)
-                v += np.bincount(of, minlength=k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(n), pa.array(v)], ["class", "n", "v"])
 
-        table = counts.mapInArrow(run, "class int, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
-        total = np.zeros(k)
-        total[table.column("class").to_numpy()] = table.column("n").to_numpy() + table.column("v").to_numpy()
-        self.divisor = np.log10(total + 1)
+def _scan(texts: DataFrame, classes: Classes) -> DataFrame:
+    """Kind 0: class bigrams of neighbouring head words (pair, n) in the texts learned from.  Kind 1: every place of another word.
+
+    ``left`` and ``right`` are the classes beside it; of a neighbour that is no head word
+    either, minus one less the class of its ending.
+    """
+    k = classes.k
+    held = texts.sparkSession.sparkContext.broadcast(classes)
+    names = [c.split()[0] for c in _TAIL.split(", ")]
+
+    def run(batches):
+        model = held.value
+        pairs = np.zeros(k * k, dtype=np.int64)
+        for batch in chunks(batches, 1 << 20):
+            d, h, learned = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "h", "learned"))
+            rows, pos, word, left, right = [], [], [], [], []
+            for row, words in enumerate(words_of(batch)):
+                at, of = model.tokens(words)
+                known = np.append(at[:-1] >= 0, True)
+                before, known_before = np.concatenate(([model.cls[_END]], of[:-1])), np.concatenate(([True], known[:-1]))
+                if learned[row]:
+                    both = known & known_before
+                    pairs += np.bincount(before[both] * k + of[both], minlength=k * k)
+                tail = np.flatnonzero(~known)
+                if len(tail):
+                    rows.append(np.full(len(tail), row))
+                    pos.append(tail)
+                    word += [words[i] for i in tail.tolist()]
+                    left.append(np.where(known_before[tail], before[tail], -1 - before[tail]))
+                    right.append(np.where(known[tail + 1], of[tail + 1], -1 - of[tail + 1]))
+            if rows:
+                row = np.concatenate(rows)
+                n = len(row)
+                columns = [np.ones(n, np.int32), d[row], h[row], np.concatenate(pos).astype(np.int32), None, np.concatenate(left).astype(np.int32), np.concatenate(right).astype(np.int32), learned[row], np.zeros(n, np.int32), np.zeros(n, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()).cast(pa.string()) if c is None else pa.array(c) for c in columns], names)
+        used = np.flatnonzero(pairs)
+        if len(used):
+            n, none = len(used), np.zeros(len(used), np.int64)
+            columns = [np.zeros(n, np.int32), none, none, none.astype(np.int32), pa.array([""] * n), none.astype(np.int32), none.astype(np.int32), np.zeros(n, bool), used.astype(np.int32), pairs[used]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+
+    return texts.select("d", "h", "learned", "text").mapInArrow(run, _TAIL)
+
+
+def _bigram_table(rows: DataFrame, k: int) -> np.ndarray:
+    table = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most k * k rows
+    out = np.zeros(k * k)
+    out[table.column("pair").to_numpy()] = table.column("n").to_numpy()
+    return out.reshape(k, k)
+
+
+def _placed(tail: DataFrame, classes: Classes, bigrams: np.ndarray) -> DataFrame:
+    """The places of all words that are no head words, with count (0: never learned from) and class of the word.
+
+    ``lead``: the count at one place of each word, else 0.
+    """
+    k = classes.k
+    held = tail.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches):
+        model = held.value
+        for table in whole_groups(batches, ["word"], 1 << 15):
+            word = table.column("word").combine_chunks()
+            code = word.dictionary_encode()
+            of, names = code.indices.to_numpy(), code.dictionary.to_pylist()
+            left, right, learned = (table.column(c).to_numpy() for c in ("left", "right", "learned"))
+            bare = lambda x: np.where(x < 0, -1 - x, x)
+            c = np.bincount(of[learned], minlength=len(names))
+            contexts = np.zeros((len(names), 2 * k))
+            np.add.at(contexts, (of[learned], bare(right[learned])), 1)
+            np.add.at(contexts, (of[learned], k + bare(left[learned])), 1)
+            found = place(contexts, c, bigrams)
+            for i in np.flatnonzero(c == 0).tolist():
+                found[i] = model.cls[model.items.item(names[i].encode())]
+            lead = np.zeros(len(of), np.int64)
+            first = np.unique(of, return_index=True)[1]
+            lead[first] = c
+            yield pa.RecordBatch.from_arrays([*(table.column(x).combine_chunks() for x in ("d", "h", "pos", "left", "right", "learned")), pa.array(c[of]), pa.array(found[of].astype(np.int32)), pa.array(lead)], _PLACED_NAMES)
+
+    # whole_groups keeps the places of one word together: fewer than the least head word has, but for texts not learned from
+    return tail.repartition("word").sortWithinPartitions("word").mapInArrow(run, _PLACED)
+
+
+_PLACED = "d long, h long, pos int, left int, right int, learned boolean, c long, class int, lead long"
+_PLACED_NAMES = [c.split()[0] for c in _PLACED.split(", ")]
+
+
+def _in_order(placed: DataFrame, k: int) -> DataFrame:
+    """The same with the class bigrams that each place adds: ``into`` (from the left) and ``out`` (to a head word on the right, else -1).
+
+    Places come in the order of their text, so the class of a left neighbour that is no
+    head word is that of the place before.  A row of the table that is repeated gives each place
+    several times: one is kept, with ``times``.
+    """
+    keys = ["d", "h", "pos"]
+
+    def run(batches):
+        last, held = 0, None
+        for batch in chain(batches, [None]):
+            parts = ([] if held is None else held.to_batches()) + ([] if batch is None else [batch])
+            table = pa.Table.from_batches(parts).combine_chunks() if parts else None
+            if table is None or not len(table):
+                continue
+            d, h, pos, left, right, cls, c, learned = (np.asarray(table.column(x)) for x in ("d", "h", "pos", "left", "right", "class", "c", "learned"))
+            at = bounds(d, h, pos)
+            if batch is not None:  # the last place may go on in the next batch
+                held = table.slice(int(at[-2]))
+                at = at[:-1]
+                if len(at) < 2:
+                    continue
+            first, times = at[:-1], np.diff(at)
+            own, before = cls[first].astype(np.int64), left[first].astype(np.int64)
+            previous = np.concatenate(([last], own[:-1]))
+            before = np.where(before < 0, previous, before)
+            after = right[first].astype(np.int64)
+            last = int(own[-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(d[first]), pa.array(h[first]), pa.array((before * k + own).astype(np.int32)), pa.array(np.where(after < 0, -1, own * k + after).astype(np.int32)), pa.array(cls[first]), pa.array(c[first]), pa.array(learned[first]), pa.array(times)],
+                ["d", "h", "into", "out", "class", "c", "learned", "times"],
+            )
+
+    return placed.drop("lead").repartition("d", "h").sortWithinPartitions(*keys).mapInArrow(run, "d long, h long, into int, out int, class int, c long, learned boolean, times long")
 
 
 def score(docs: DataFrame, train: Column, head_size: int = HEAD, n_items: int = ITEMS, classes: int = CLASSES) -> DataFrame:
@@ -244,86 +446,79 @@ def score(docs: DataFrame, train: Column, head_size: int = HEAD, n_items: int =
     one unknown word make up one.  A text starts after an end and closes with one.
     Null texts count as empty, and learn like any other.  Returns doc_id, n_tokens,
     n_known, train_tokens, base_score, score, perplexity, a row for each row of
-    ``docs``; rows that repeat a doc_id and its text have equal values.
+    ``docs``; rows that repeat a doc_id and its text, or have no doc_id and one text,
+    have equal values.  Other columns are not looked at but by ``train``.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    learned = texts.where(train)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("learned"))
+    texts = texts.withColumns({"d": F.coalesce("doc_id", F.lit(0).cast("long")), "h": F.xxhash64("doc_id", "text")})
+    learned = texts.where("learned")
     counts = materialise(word_counts(learned))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
-    head, head_c, least = head_words(counts, head_size)
+    head, head_c, _ = head_words(counts, head_size)
     items = choose_items(counts, head, n_items)
-    bigrams = item_bigrams(learned, items)
-    model = ClassModel(items, exchange_clusters(bigrams, classes, SWEEPS), bigrams, head, head_c)
-    model.totals(counts)
-    held = spark.sparkContext.broadcast(model)
-
-    def run(batches):
-        model = held.value
-        get, items, cls, transition, divisor = model.index.get, model.items, model.cls, model.transition, model.divisor
-        log_c, head_class = np.log10(model.head_c + 1.0), model.head_class
-        end = int(cls[_END])
-        end_at = get(END, -1)
+    pairs = item_bigrams(learned, items)
+    cls = exchange_clusters(pairs, classes, SWEEPS)
+    start = Classes(items, cls, head, head_c)
+    k = start.k
+    start.head_class = head_classes(learned, start, class_bigrams(cls, pairs))
+    scanned = materialise(_scan(texts, start))
+    near = _bigram_table(scanned.where("kind = 0"), k)
+    placed = materialise(_placed(scanned.where("kind = 1"), start, near))
+    ordered = materialise(_in_order(placed, k))
+    seen = ordered.where("learned")
+    both = seen.select(F.col("into").alias("pair"), F.col("times").alias("n")).union(seen.where("out >= 0").select(F.col("out").alias("pair"), F.col("times").alias("n")))
+    bigrams = near + _bigram_table(both, k) + ALPHA
+    transition = np.log10(bigrams / bigrams.sum(axis=1, keepdims=True))
+    total = np.bincount(start.head_class, weights=head_c + 1.0, minlength=k) if len(head) else np.zeros(k)
+    for r in placed.where("lead > 0").groupBy("class").agg(F.sum("lead").alias("n"), F.count("*").alias("v")).collect():  # a row for each class
+        total[r["class"]] += r.n + r.v
+    divisor = np.log10(total + 1)
+    held = spark.sparkContext.broadcast((start, transition, divisor))
+
+    def heads(batches):
+        model, transition, divisor = held.value
+        log_c = np.log10(model.head_c + 1.0)
         for batch in chunks(batches, 1 << 20):
-            keys, docs, marks, times, kinds = [], [], [], [], []
-            known, base, own = [], [], []
-            ids = batch.column("doc_id")
-            h = batch.column("h")
-            for row, words in enumerate(words_of(batch)):
-                at = np.array([get(w, -1) for w in words] + [end_at], dtype=np.int64)
-                of = head_class[at] if len(head_class) else np.zeros(len(at), np.int64)
-                of[-1] = end
-                rare = np.flatnonzero(at[:-1] < 0).tolist()
-                for i in rare:
-                    of[i] = cls[items.item(words[i])]
+            size, known, base, own = [], [], [], []
+            for words in words_of(batch):
+                at, of = model.tokens(words)
                 inside = at >= 0
+                here = np.append(inside[:-1], True)
+                before = np.concatenate(([model.cls[_END]], of[:-1]))
+                both = here & np.concatenate(([True], here[:-1]))
+                size.append(len(at))
                 known.append(int(inside.sum()))
                 base.append(float(log_c[at[inside]].sum()))
-                own.append(float(transition[np.concatenate(([end], of[:-1])), of].sum() - divisor[of].sum()))
-                marks.append(len(at))
-                for w, t in Counter(words[i] for i in rare).items():
-                    keys.append(w)
-                    docs.append(row)
-                    times.append(t)
-            size = batch.num_rows
-            unique = [b" %d" % r for r in range(size)]  # joins with no word
-            take = np.concatenate((np.arange(size), np.array(docs, dtype=np.int64)))
-            many = len(docs)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(unique + keys, pa.binary()).cast(pa.string()),
-                    ids.take(pa.array(take)),
-                    h.take(pa.array(take)),
-                    pa.array(np.concatenate((np.zeros(size, np.int64), np.array(times, dtype=np.int64)))),
-                    pa.array(np.concatenate((np.array(marks, dtype=np.int64), np.zeros(many, np.int64)))),
-                    pa.array(np.concatenate((np.array(known, dtype=np.int64), np.zeros(many, np.int64)))),
-                    pa.array(np.concatenate((np.array(base), np.zeros(many)))),
-                    pa.array(np.concatenate((np.array(own), np.zeros(many)))),
-                ],
-                ["word", "doc_id", "h", "times", "n_tokens", "known", "base", "own"],
-            )
+                own.append(float(transition[before[both], of[both]].sum() - divisor[of[here]].sum()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "d", "h")), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], ["doc_id", "d", "h", "n_tokens", "known", "base", "own"])
 
-    parts = texts.withColumn("h", F.xxhash64("text")).mapInArrow(run, "word string, doc_id long, h long, times long, n_tokens long, known long, base double, own double")
-    tail = counts.where((F.col("c") < least) & (F.col("word") != END.decode()))
-    joined = parts.join(tail, "word", "left")
-    seen = F.col("c").isNotNull()
-    summed = joined.groupBy("doc_id", "h").agg(
-        F.count(F.when(F.col("n_tokens") > 0, 1)).alias("rows"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(seen, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(seen, F.col("times") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("log_c"),
-        F.sum("own").alias("own"),
-    )
-    each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    tokens, log_c = F.expr("n_tokens div rows"), F.col("log_c") / F.col("rows")
-    total = log_c + F.col("own") / F.col("rows")
-    return each.select(
+    def tails(batches):
+        _, transition, divisor = held.value
+        flat = np.append(transition.ravel(), 0.0)  # -1 is nothing
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, h, into, out, of, c = (batch.column(x).to_numpy() for x in ("d", "h", "into", "out", "class", "c"))
+            at = bounds(d, h)[:-1]
+            add = lambda x: pa.array(np.add.reduceat(x, at))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(h[at]), add((c > 0).astype(np.int64)), add(np.log10(c + 1.0)), add(flat[into] + flat[out] - divisor[of])], ["d", "h", "known", "base", "own"])
+
+    rest = ordered.select("d", "h", "into", "out", "class", "c").mapInArrow(tails, "d long, h long, known long, base double, own double")
+    rest = rest.groupBy("d", "h").agg(F.sum("known").alias("k2"), F.sum("base").alias("b2"), F.sum("own").alias("o2"))
+    base = texts.select("doc_id", "d", "h", "text").mapInArrow(heads, "doc_id long, d long, h long, n_tokens long, known long, base double, own double")
+    joined = base.join(rest, ["d", "h"], "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    log_c = plus("base", "b2")
+    whole = log_c + plus("own", "o2")
+    return joined.select(
         "doc_id",
-        tokens.alias("n_tokens"),
-        F.expr("n_known div rows").alias("n_known"),
+        "n_tokens",
+        plus("known", "k2").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (log_c - tokens * float(np.log10(n + v + 1))).alias("base_score"),
-        total.alias("score"),
-        F.pow(F.lit(10.0), -total / tokens).alias("perplexity"),
+        (log_c - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
+        whole.alias("score"),
+        F.pow(F.lit(10.0), -whole / F.col("n_tokens")).alias("perplexity"),
     )

@@ -55,46 +55,80 @@ def test_counts_and_base_score(spark, head):
 
 def test_score_does_not_depend_on_the_head(spark):
     docs = documents(spark, odd_texts())
-    one = {r.doc_id: r.score for r in lm_score.score(docs, F.lit(True)).collect()}
-    other = {r.doc_id: r.score for r in lm_score.score(docs, F.lit(True), head_size=30, n_items=40).collect()}
-    assert set(one) == set(other) and all(s < 0 for s in [*one.values(), *other.values()])
+    one, other = ({r.doc_id: r.score for r in lm_score.score(docs, fold("doc_id", 7) != 2, head_size=h, n_items=12, classes=6).collect()} for h in (1 << 18, 24))
+    assert set(one) == set(other) and all(s < 0 for s in one.values())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_score_from_the_models_tables(spark):
-    """Each token: its class behind the class before it, then the word within its class; the words of a class make up one."""
+    """Each token: its class behind the class before it, then the word within its class; the words of a class make up one.
+
+    Classes of all words, class bigrams and scores are worked out again by plain loops,
+    from the classes of the items, with many words in tasks and few.
+    """
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     learned = docs.where(fold("doc_id", 7) != 2)
     counts = lm_score.word_counts(learned).cache()
-    head, _, _ = lm_score.head_words(counts, lm_score.HEAD)
-    items = lm_score.choose_items(counts, head, lm_score.ITEMS)
-    pairs = lm_score.item_bigrams(learned, items)
-    cls = lm_score.exchange_clusters(pairs, lm_score.CLASSES, lm_score.SWEEPS)
-    k = int(cls.max()) + 1
-    trans = np.zeros((k, k))
-    np.add.at(trans, (cls[:, None], cls[None, :]), pairs)
-    trans = (trans + lm_score.ALPHA) / (trans + lm_score.ALPHA).sum(axis=1, keepdims=True)
     c = {r.word.encode(): r.c for r in counts.collect()}
-    total = np.zeros(k)
-    for w, n in c.items():
-        total[cls[items.item(w)]] += n + 1
-    mass = np.zeros(k)
-    for w, n in c.items():
-        mass[cls[items.item(w)]] += (n + 1) / (total[cls[items.item(w)]] + 1)
-    assert np.allclose(mass[total > 0] + 1 / (total[total > 0] + 1), 1)
-    got = {r.doc_id: r for r in lm_score.score(docs, fold("doc_id", 7) != 2).collect()}
-    compare(got.values(), plain(rows))
-    for i, t in rows:
-        at, want = cls[0], 0.0
-        for w in [*(x.encode() for x in tokens(t)), lm_score.END]:
-            own = cls[items.item(w)]
-            want += math.log10(trans[at, own]) + math.log10((c.get(w, 0) + 1) / (total[own] + 1))
-            at = own
-        assert math.isclose(got[i].score, want, rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isclose(got[i].perplexity, 10 ** (-got[i].score / got[i].n_tokens), rel_tol=1e-9)
-    held = [r for i, r in got.items() if zlib.crc32(str(i).encode()) % 7 == 2]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)  # classes are worth something on texts not learned from
+    for size in (lm_score.HEAD, 600):
+        head, _, _ = lm_score.head_words(counts, size)
+        items = lm_score.choose_items(counts, head, lm_score.ITEMS)
+        pairs = lm_score.item_bigrams(learned, items)
+        cls = lm_score.exchange_clusters(pairs, lm_score.CLASSES, lm_score.SWEEPS)
+        k, inside = int(cls.max()) + 1, set(head)
+        texts = {i: [*(x.encode() for x in tokens(t)), lm_score.END] for i, t in rows}
+        train = [texts[i] for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+
+        def contexts(of, wanted):
+            out = {}
+            for words in train:
+                for left, w, right in zip([lm_score.END, *words], words, words[1:]):
+                    if w in wanted:
+                        v = out.setdefault(w, np.zeros(2 * k))
+                        v[of(right)] += 1
+                        v[k + of(left)] += 1
+            return out
+
+        def gains(found, g):
+            g = g + lm_score.ALPHA
+            return {w: np.array([-np.inf] + [sum(x[j] * np.log(g[b, j]) + x[k + j] * np.log(g[j, b]) for j in np.flatnonzero(x[:k] + x[k:])) - 2 * c[w] * np.log(g[b].sum()) for b in range(1, k)]) for w, x in found.items()}
+
+        def bigrams(of, both=lambda a, b: True):
+            g = np.zeros((k, k))
+            for words in train:
+                for a, b in zip([lm_score.END, *words], words):
+                    if both(a, b):
+                        g[of(a), of(b)] += 1
+            return g
+
+        start = {w: int(cls[items.item(w)]) for words in texts.values() for w in words}
+        seed = np.zeros((k, k))
+        np.add.at(seed, (cls[:, None], cls[None, :]), pairs)
+        final = dict(start)
+        for w, x in gains(contexts(start.__getitem__, inside - set(items.of)), seed).items():
+            final[w] = int(x.argmax())
+        known = {w: final[w] if w in inside else start[w] for w in start}
+        near = bigrams(known.__getitem__, lambda a, b: a in inside and b in inside)
+        for w, x in gains(contexts(known.__getitem__, set(c) - inside), near).items():
+            final[w] = int(x.argmax())
+        trans = bigrams(final.__getitem__) + lm_score.ALPHA
+        trans /= trans.sum(axis=1, keepdims=True)
+        total = np.zeros(k)
+        for w, times in c.items():
+            total[final[w]] += times + 1
+        mass = np.zeros(k)
+        for w, times in c.items():
+            mass[final[w]] += (times + 1) / (total[final[w]] + 1)
+        assert np.allclose(mass[total > 0] + 1 / (total[total > 0] + 1), 1)
+        got = {r.doc_id: r for r in lm_score.score(docs, fold("doc_id", 7) != 2, head_size=size).collect()}
+        compare(got.values(), plain(rows))
+        for i, words in texts.items():
+            want = sum(math.log10(trans[final[a], final[b]]) + math.log10((c.get(b, 0) + 1) / (total[final[b]] + 1)) for a, b in zip([lm_score.END, *words], words))
+            assert math.isclose(got[i].score, want, rel_tol=1e-6, abs_tol=1e-6), (size, i)
+            assert math.isclose(got[i].perplexity, 10 ** (-got[i].score / got[i].n_tokens), rel_tol=1e-9)
+        held = [r for i, r in got.items() if zlib.crc32(str(i).encode()) % 7 == 2]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)  # classes are worth something on texts not learned from
 
 
 def test_exchange_finds_planted_classes():
