@@ -87,7 +87,8 @@ class ItemIndex:
         h, doc = text_shingles(data, offs, self.size)
         candidates = [np.zeros((0, 2), np.int64)]
         for bound, keys, rows in self.classes:
-            low = h <= bound
+            low = np.flatnonzero(h <= bound)
+            low = low[keys[np.minimum(np.searchsorted(keys, h[low]), len(keys) - 1)] == h[low]]  # of the sketch only what an item's has counts
             sketch = np.unique(np.stack([doc[low].astype(_U), h[low]], axis=1), axis=0)
             pairs, n = np.unique(self._pairs(sketch[:, 1], sketch[:, 0].astype(np.int64), keys, rows), axis=0, return_counts=True)
             candidates.append(pairs[n >= self.shared[pairs[:, 1]]])
