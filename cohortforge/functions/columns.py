@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Texts that mean yes, no, and missing; fixed values of the data dictionaries.
-YES = ("1", "true", "yes", "y", "positive", "treated")
-NO = ("0", "false", "no", "n", "negative", "untreated")
+YES = ("positive", "pos", "yes", "true", "1", "1.0", "present", "detected")
+NO = ("negative", "neg", "no", "false", "0", "0.0", "absent", "not detected")
 MISSING = ("", "na", "nan", "n/a", "[not available]", "[unknown]", "unknown", "none", "null")
 
 
@@ -155,6 +155,33 @@ def hypergeometric_tail(overlap: str | Column, population: str | Column, marked:
     return F.when(k <= 0, F.lit(1.0)).when(k > top, F.lit(0.0)).otherwise(F.least(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(1.0)))
 
 
+def fisher_exact(a: str | Column, b: str | Column, c: str | Column, d: str | Column) -> Column:
+    """Two-sided p-value of the table [[a, b], [c, d]]: the chance of all tables with its margins that are no likelier; null without rows in a line."""
+    a, b, c, d = (col(x).cast("long") for x in (a, b, c, d))
+    n, row, column = a + b + c + d, a + b, a + c
+    chance = lambda i: F.exp(log_choose(row, i) + log_choose(n - row, column - i) - log_choose(n, column))
+    terms = F.transform(F.sequence(F.greatest(F.lit(0), row + column - n), F.least(row, column)), lambda i: F.when(chance(i) <= chance(a) * (1 + 1e-7), chance(i)).otherwise(F.lit(0.0)))
+    return F.when((row > 0) & (c + d > 0), F.least(F.aggregate(terms, F.lit(0.0), lambda x, y: x + y), F.lit(1.0)))
+
+
+def binary_smd(p1: str | Column, p0: str | Column) -> Column:
+    """Difference of two shares over the root of the mean of p (1 - p); without variance 0 for equal shares, else infinity."""
+    p1, p0 = col(p1), col(p0)
+    variance = (p1 * (1 - p1) + p0 * (1 - p0)) / 2
+    return F.when(variance > 0, (p1 - p0) / F.sqrt(variance)).when(p1 == p0, F.lit(0.0)).when(p1.isNotNull() & p0.isNotNull(), F.lit(float("inf")))
+
+
+def joined_texts(*columns: str | Column, mark: str = " | ") -> Column:
+    """The trimmed texts of the columns that are not empty, with a mark between them."""
+    return F.concat_ws(mark, *(F.nullif(F.trim(col(c).cast("string")), F.lit("")) for c in columns))
+
+
+def json_strings(c: str | Column) -> Column:
+    """All string values of a JSON text, at any depth, in their order; keys, numbers and escapes of other characters than quotes stay as they are."""
+    found = F.regexp_extract_all(col(c), F.lit(r'"((?:[^"\\]|\\.)*+)"\s*(?=[,}\]]|$)'), F.lit(1))
+    return F.transform(found, lambda x: F.replace(x, F.lit('\\"'), F.lit('"')))
+
+
 def set_overlap(a: str | Column, b: str | Column) -> tuple[Column, Column]:
     """Jaccard index and overlap coefficient of two arrays as sets; two empty sets, or one: 1."""
     a, b = F.array_distinct(col(a)), F.array_distinct(col(b))

@@ -79,6 +79,38 @@ def object_digest(value: Any) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()
 
 
+def lock(manifest_rows: DataFrame, path: str) -> None:
+    """Write a manifest as a protocol lock; a lock that is there already is never overwritten but raises an error."""
+    spark = manifest_rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        raise GateError(f"{path} is locked already")
+    manifest_rows.coalesce(1).write.mode("errorifexists").json(path)  # a row for each table
+
+
+def enforce_lock(spark: SparkSession, path: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The status of each table against the lock; an error unless all are as they were locked."""
+    found = verify_manifest(spark.read.json(path), manifest(spark, tables))
+    broken = {r["table"]: r["status"] for r in found.where("status <> 'ok'").collect()}  # a row for each table
+    if broken:
+        raise GateError(f"tables differ from {path}: {broken}")
+    return found
+
+
+def checkpoint_identity(spark: SparkSession, path: str, config: Any, tables: Mapping[str, DataFrame]) -> str:
+    """Digest of a configuration and its input tables, kept at ``path``: made where there is none, else an error unless it is the same."""
+    inputs = {r["table"]: [r["n_rows"], r["digest"]] for r in manifest(spark, tables).collect()}  # a row for each table
+    identity = object_digest({"config": config, "inputs": inputs})
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        held = spark.read.json(path).first()["identity"]
+        if held != identity:
+            raise GateError(f"{path} belongs to another configuration or other inputs")
+    else:
+        spark.createDataFrame([(identity,)], "identity string").coalesce(1).write.json(path)
+    return identity
+
+
 def upsert(held: DataFrame, new: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
     """Checkpoint rows with new rows put in: of one key the highest sequence wins."""
     return keep_last(held.unionByName(new, allowMissingColumns=True), keys, sequence)

@@ -127,14 +127,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("strategy", "interval").agg(F.count("*").alias("n"), F.sum("event").alias("events"), F.sum("natural_censor").alias("natural"), F.sum("artificial_censor").alias("artificial"), tidy(F.sum(F.col("stop") - F.col("start"))).alias("lived"))
 
 
-@query("sv_clone_weighted_km", f"WITH {STARTS}, {_GRID}, {_CLONE}, hz AS (SELECT strategy, interval, count(*) FILTER (last AND NOT off AND ev = 1 AND time <= 730) / count(*)::DOUBLE AS h FROM cr GROUP BY 1, 2) SELECT strategy, interval, round(h, 6) AS hazard, round(exp(coalesce(sum(ln(1 - h)) OVER (PARTITION BY strategy ORDER BY interval), 0)), 6) AS survival FROM hz")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.clone_censor(starts(spark, d), "id", "time", "event", "started", 180.0, 730.0, 90.0)
-    h = rows.groupBy("strategy", "interval").agg((F.sum("event") / F.count("*")).alias("hazard"))
-    s = V.running_survival(h, ["strategy"], "interval", "hazard", "before")
-    return s.select("strategy", "interval", tidy("hazard").alias("hazard"), tidy(F.col("before") * (1 - F.col("hazard"))).alias("survival"))
-
-
 @query(
     "wn_clipped_fold",
     """WITH RECURSIVE li AS (SELECT l_orderkey, l_linenumber, min(l_quantity) / 20.0 AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem GROUP BY 1, 2),

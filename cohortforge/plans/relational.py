@@ -401,13 +401,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- projections
 
-_RAW = "SELECT event_id, CASE event_id % 8 WHEN 0 THEN ' Yes ' WHEN 1 THEN 'no' WHEN 2 THEN '0.7' WHEN 3 THEN '[Not Available]' WHEN 4 THEN '2' WHEN 5 THEN '' WHEN 6 THEN 'Positive' ELSE '0.2' END AS raw FROM events"
+_TRI = (" Yes ", "no", "0.7", "[Not Available]", "2", "", "Positive", "0.2", "pos", "TRUE", "1", "1.0", "present", " Detected", "negative", "neg", "False", "0", "0.0", "absent", "not detected", "y", "treated")
+_RAW = "SELECT event_id, [" + ", ".join(f"'{t}'" for t in _TRI) + f"][event_id % {len(_TRI)} + 1] AS raw FROM events"
 
 
-@query("prj_tristate", f"SELECT event_id, CASE WHEN lower(trim(raw)) IN ('1','true','yes','y','positive','treated') THEN 1 WHEN lower(trim(raw)) IN ('0','false','no','n','negative','untreated') THEN 0 WHEN try_cast(raw AS DOUBLE) IS NOT NULL THEN CAST(try_cast(raw AS DOUBLE) > 0.5 AS INTEGER) END::DOUBLE AS flag FROM ({_RAW})")
+@query("prj_tristate", f"SELECT event_id, CASE WHEN lower(trim(raw)) IN ('positive','pos','yes','true','1','1.0','present','detected') THEN 1 WHEN lower(trim(raw)) IN ('negative','neg','no','false','0','0.0','absent','not detected') THEN 0 WHEN try_cast(raw AS DOUBLE) IS NOT NULL THEN CAST(try_cast(raw AS DOUBLE) > 0.5 AS INTEGER) END::DOUBLE AS flag FROM ({_RAW})")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    values = [" Yes ", "no", "0.7", "[Not Available]", "2", "", "Positive", "0.2"]
-    raw = F.element_at(F.array(*map(F.lit, values)), F.pmod("event_id", F.lit(8)).cast("int") + 1)
+    raw = F.element_at(F.array(*map(F.lit, _TRI)), F.pmod("event_id", F.lit(len(_TRI))).cast("int") + 1)
     return table(spark, d, "events").select("event_id", C.tristate(raw).cast("double").alias("flag"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,12 +11,38 @@ from pyspark.sql import types as T
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace a Parquet table; readers see the old or the new files of a finished job."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path) if partition_by else df.write.mode("overwrite").parquet(path)
-
-
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV at the edge, for small results."""
+    """Replace a Parquet table: written beside it, then renamed.
+
+    A job that fails leaves the old table as it was.  Between the two renames, which
+    move names and no data, readers find no table for a moment; the old one is kept
+    until the new one stands, and comes back if the second rename fails.
+    """
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    home = at(path)
+    files = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    beside, old = (at(home.getParent(), f".{home.getName()}.{mark}.{what}") for what in ("new", "old"))
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    try:
+        writer.parquet(beside.toString())
+        had = files.exists(home)
+        if had and not files.rename(home, old):
+            raise OSError(f"{path} could not be moved away")
+        if not files.rename(beside, home):
+            if had:
+                files.rename(old, home)
+            raise OSError(f"{path} could not be put in place")
+        files.delete(old, True)
+    finally:
+        files.delete(beside, True)
+
+
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV at the edge, for small results; ``mark``: a byte order mark before the header, for spreadsheets."""
+    if mark and df.columns:
+        first = df.columns[0]
+        df = df.withColumnRenamed(first, "\ufeff" + first).coalesce(1)
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -58,3 +85,12 @@ def markdown_rows(df: DataFrame, digits: int = 3) -> DataFrame:
 def latex_rows(df: DataFrame, digits: int = 3) -> DataFrame:
     cells = [tex(_cell(f, digits)) for f in df.schema.fields]
     return df.select(F.concat(F.concat_ws(" & ", *cells), F.lit(" \\\\")).alias("line"))
+
+
+def table_frame(df: DataFrame, digits: int = 3, kind: str = "markdown") -> tuple[str, str]:
+    """What stands before and after the rows of a Markdown or LaTeX table: header line, rules, environment."""
+    names = df.columns
+    if kind == "markdown":
+        return "| " + " | ".join(n.replace("|", "\\|") for n in names) + " |\n| " + " | ".join("---" for _ in names) + " |", ""
+    head = " & ".join(n.replace("_", "\\_") for n in names)
+    return "\\begin{tabular}{" + "l" * len(names) + "}\n\\toprule\n" + head + " \\\\\n\\midrule", "\\bottomrule\n\\end{tabular}"
