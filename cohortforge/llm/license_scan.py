@@ -250,7 +250,8 @@ def scan(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Seque
 
     ``sentence_ids``: identifiers in text order, with commas; ``licenses``: what the
     rules make of them, in order, with commas; ``license_group``: the strictest group
-    among these, ``none`` without any.  Null and empty texts have no sentence.
+    among these, ``none`` without any.  Null and empty texts have no sentence.  Rows that
+    repeat and rows without a doc_id have a row each; other columns are not looked at.
     ``inside``: sentences are known at any word boundary, not only as whole pieces.
     """
     small_batches(docs.sparkSession)

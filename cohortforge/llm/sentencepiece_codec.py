@@ -29,8 +29,8 @@ from cohortforge.llm.shared import small_batches
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 
-#: Distinct words that a task remembers from batch to batch.
-REMEMBER = 400_000
+#: Distinct words, and bytes of them and their ids, that a task remembers from batch to batch.
+REMEMBER, REMEMBER_BYTES = 400_000, 64 << 20
 
 
 class Vocabulary:
@@ -76,6 +76,7 @@ class Codec:
             node[""] = i
         self.stays: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0  # bytes of ``known``, about
         free = {ch for p in vocabulary.pieces for ch in p}
         self.breaks = "\n" not in free  # then a line break never merges, and words end before it
         self.split = re.compile(rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if self.breaks else rf"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
@@ -122,10 +123,15 @@ class Codec:
             found = self.stays[a, b] = self.merge(self.text_of[a] + self.text_of[b]) == [a, b]
         return found
 
+    def forget(self) -> None:
+        """Let go of the words where they are many, or long, as lines without a space are."""
+        if len(self.known) > REMEMBER or self.held > REMEMBER_BYTES:
+            self.known.clear()
+            self.held = 0
+
     def encode_words(self, words) -> None:
         """Remember the ids of new words, walking through their trie depth-first."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        self.forget()
         if len(self.stays) > 4 * REMEMBER:
             self.stays.clear()
         ending, stays, merges, scores, text_of = self.ending, self.stays, self.v.merges, self.v.scores, self.text_of
@@ -201,11 +207,11 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         split = [self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts] if self.plain else [[MARK + t.replace(" ", MARK)] if t else [] for t in texts]
         new = set(chain.from_iterable(split))
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        self.forget()
         new.difference_update(self.known)
         if new:
             self.encode_words(new)
+            self.held += sum(100 + 4 * len(w) + 8 * len(self.known[w]) for w in new)
         get = self.known.__getitem__
         return [list(chain.from_iterable(map(get, words))) for words in split]
 
@@ -231,6 +237,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
 
     Null and empty texts have no ids.  ``round_trip``: decoding the ids gives back the
     text (it does not where a text holds the mark U+2581, which decodes to a space).
+    Rows that repeat and rows without a doc_id have a row each; other columns are not
+    looked at.
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.load())

@@ -114,3 +114,67 @@ def test_query_equals_sql(spark):
 
     duckdb.sql(f"create or replace view documents as select * from read_parquet('{SF}/documents.parquet')")
     assert sorted(tuple(r) for r in op9_license_scan(spark, SF).collect()) == sorted(duckdb.sql(license_scan.ORACLE_SQL).fetchall())
+
+
+def plain_identifiers(text):
+    """Identifiers by brute force: at each word of the text the longest clause of the catalogue that its words spell out."""
+    import re
+
+    clauses = {tuple(c.split()): name for c, name in license_scan.CATALOGUE.items()}
+    longest = max(map(len, clauses))
+    words = re.findall("[a-z0-9]+", text.lower())
+    out, i = [], 0
+    while i < len(words):
+        for n in range(min(longest, len(words) - i), 0, -1):
+            if tuple(words[i : i + n]) in clauses:
+                out.append(clauses[tuple(words[i : i + n])])
+                i += n
+                break
+        else:
+            i += 1
+    return out
+
+
+def plain_licences(ids):
+    out, i = [], 0
+    while i < len(ids):
+        rule = next((r for r in license_scan.ORDERED if tuple(ids[i : i + len(r[0])]) == r[0]), None)
+        if rule:
+            out.append(rule[1])
+        i += len(rule[0]) if rule else 1
+    return out
+
+
+def planted_licences(seed=4):
+    """Texts with a reference to every known licence or whole licence texts, wrapped at odd widths behind comment marks, in other prose."""
+    import random
+    import textwrap
+
+    from llm_fixtures import prose
+
+    rng = random.Random(seed)
+    out = []
+    for _, licence, _, names in license_scan._NAMES:
+        lead = rng.choice(["licensed under", "released under", "distributed under", "made available under"])
+        notice = f"This project is {lead} {rng.choice(['', 'the '])}{rng.choice(names).title()}."
+        out.append((licence, notice))
+    out += [("MIT", MIT), ("BSD-3-Clause", BSD3 + ENDORSE), ("BSD-2-Clause", BSD3)]
+    texts = []
+    for licence, notice in out:
+        mark = rng.choice(["", "# ", " * ", "// "])
+        lines = textwrap.wrap(" ".join(notice.split()), rng.choice([18, 30, 72]), break_long_words=False, break_on_hyphens=False)
+        texts.append((licence, prose(rng, 40) + "\n" + "\n".join(mark + x for x in lines) + "\n" + prose(rng, 40)))
+    return texts
+
+
+def test_equals_brute_force_and_finds_planted_licences(spark):
+    """Sequences, wrapped clauses and several licences in one text; of the planted licences at least nine in ten are found by name."""
+    planted = planted_licences()
+    texts = [t for _, t in planted] + [planted[i][1] + planted[-i][1] for i in range(1, 12)]
+    rows = [(None if k == 3 else k // 2, t) for k, t in enumerate(texts)] + [(0, texts[0])]
+    got = sorted(((r.doc_id, r.sentence_ids, r.licenses) for r in license_scan.scan(documents(spark, rows, clashes=True), license_scan.CATALOGUE, license_scan.ORDERED, inside=True).collect()), key=str)
+    want = sorted(((i, ",".join(plain_identifiers(t)), ",".join(plain_licences(plain_identifiers(t)))) for i, t in rows), key=str)
+    assert got == want
+    hits = [licence in plain_licences(plain_identifiers(t)) for licence, t in planted]
+    assert sum(hits) / len(hits) >= 0.9
+    assert max(len(i.split(",")) for _, i, _ in got) >= 4
