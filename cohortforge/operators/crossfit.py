@@ -16,29 +16,13 @@ from pyspark.sql import functions as F
 
 from cohortforge.functions.columns import clip, logistic
 from cohortforge.operators.resample import hashed
+from cohortforge.operators.running import summed
 
 #: Inverse penalties of the propensity model, as the sum of losses is weighed, and penalties of the ridge.
 INVERSE_PENALTIES = (0.003, 0.01, 0.03, 0.1, 0.3, 1.0)
 RIDGE_PENALTIES = (0.1, 1.0, 10.0, 100.0)
 
 
-def _summed(rows: DataFrame, size: int, work) -> np.ndarray:
-    """Sum over all batches of the vector of length ``size`` that ``work`` makes of a batch."""
-
-    def run(batches):
-        total = np.zeros(size)
-        for batch in batches:
-            if batch.num_rows:
-                total += work(batch)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "v"])
-
-    table = rows.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # ``size`` rows at most
-    out = np.zeros(size)
-    out[table.column("at").to_numpy()] = table.column("v").to_numpy()
-    return out
-
-
 def _design(batch: pa.RecordBatch, p: int) -> np.ndarray:
     """A row of one and the p features for each row."""
     return np.stack([np.ones(batch.num_rows), *(batch.column(f"_x{i}").to_numpy(zero_copy_only=False) for i in range(p))], axis=1)
@@ -72,7 +56,7 @@ def _newton(rows: DataFrame, p: int, models: Sequence[tuple[int, int]], penalty:
             cross = x[:, at[0]] * x[:, at[1]]
             return np.concatenate((gradient.ravel(), (v.T @ cross).ravel()))
 
-        sums = _summed(rows, m * (q + len(at[0])), work)
+        sums = summed(rows, m * (q + len(at[0])), work)
         gradient = sums[: m * q].reshape(m, q) - penalty * beta
         upper = sums[m * q :].reshape(m, -1)
         change = np.zeros_like(beta)
@@ -118,7 +102,7 @@ def crossfit_logistic(df: DataFrame, key: str, label: str, features: Sequence[st
 
     chosen: dict[int, float] = {}
     if grid:
-        sums = _summed(rows, 2 * len(grid), loss)
+        sums = summed(rows, 2 * len(grid), loss)
         mean = sums[: len(grid)] / np.maximum(sums[len(grid) :], 1)
         for k in good:
             by = {c: float(np.mean([mean[i] for i, (a, _, d) in enumerate(grid) if a == k and d == c])) for c in inverse_penalties}
@@ -151,7 +135,7 @@ def crossfit_ridge(df: DataFrame, y: str, arm: str, features: Sequence[str], fol
         a, f = batch.column("_a").to_numpy(), np.array([of[v] for v in batch.column("_f").to_pylist()])
         return np.concatenate([(z[m].T @ z[m]).ravel() for k in range(len(folds)) for arm in (0, 1) for m in [(f == k) & (a == arm)]])
 
-    grams = _summed(rows, 2 * len(folds) * q * q, gram).reshape(len(folds), 2, q, q) if folds else np.zeros((0, 2, q, q))
+    grams = summed(rows, 2 * len(folds) * q * q, gram).reshape(len(folds), 2, q, q) if folds else np.zeros((0, 2, q, q))
     fits = {}
     for k in range(len(folds)):
         for a in (0, 1):
@@ -181,7 +165,7 @@ def crossfit_ridge(df: DataFrame, y: str, arm: str, features: Sequence[str], fol
             out.append(float((((value[m] - middle - z @ b) / np.maximum(1 - leverage, 1e-9)) ** 2).sum()))
         return np.array(out)
 
-    loss = dict(zip(fits, _summed(rows, len(fits), errors), strict=True)) if fits else {}
+    loss = dict(zip(fits, summed(rows, len(fits), errors), strict=True)) if fits else {}
     rows.unpersist()
     table = []
     for k, f in enumerate(folds):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.functions.columns import clip, logistic
-from cohortforge.operators.running import cut_points, running_sums
+from cohortforge.operators.running import cut_points, running_sums, summed
 
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -35,6 +35,7 @@ def crossfit_propensity(df: DataFrame, arm: str, features: Sequence[str], fold:
         model = LogisticRegression(featuresCol="_x", labelCol=arm, regParam=penalty, elasticNetParam=elastic, maxIter=100).fit(x.where(F.col(fold) != k))
         part = model.transform(x.where(F.col(fold) == k)).withColumn(name, clip(vector_to_array("probability")[1], *bounds)).select(*df.columns, name)
         out = part if out is None else out.union(part)
+    x.unpersist()
     return out
 
 
@@ -46,7 +47,7 @@ def logistic_mle(df: DataFrame, arm: str, features: Sequence[str], tolerance: fl
     """
     names = ["_one", *features]
     p = len(names)
-    rows = df.withColumn("_one", F.lit(1.0)).select(F.col(arm).cast("double").alias("_a"), *(F.col(c).cast("double").alias(c) for c in names))
+    rows = df.withColumn("_one", F.lit(1.0)).select(F.col(arm).cast("double").alias("_a"), *(F.col(c).cast("double").alias(c) for c in names)).persist()
     beta = np.zeros(p)
     for _ in range(steps):
         eta = sum((F.col(c) * float(b) for c, b in zip(names, beta, strict=True)), F.lit(0.0))
@@ -63,7 +64,9 @@ def logistic_mle(df: DataFrame, arm: str, features: Sequence[str], tolerance: fl
         step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
         beta = beta + step
         if np.abs(step).max() < tolerance:
+            rows.unpersist()
             return beta
+    rows.unpersist()
     raise ArithmeticError("the logistic fit did not settle")
 
 
@@ -82,6 +85,7 @@ def crossfit_outcomes(df: DataFrame, y: str, arm: str, features: Sequence[str],
             learner = LinearRegression(featuresCol="_x", labelCol=y, predictionCol=f"mu{a}", regParam=penalty, elasticNetParam=0.0) if kind == "ridge" else GBTRegressor(featuresCol="_x", labelCol=y, predictionCol=f"mu{a}", maxDepth=3, maxIter=20, seed=1)
             part = learner.fit(x.where((F.col(fold) != k) & (F.col(arm) == a))).transform(part)
         out = part if out is None else out.union(part)
+    x.unpersist()
     out = out.drop("_x")
     return out.withColumns({f"mu{a}": clip(f"mu{a}", *bounds) for a in (0, 1)}) if bounds else out
 
@@ -195,13 +199,16 @@ def cox_spread(df: DataFrame, by: Sequence[str], time: str, event: str, features
     """The same coefficients where groups are larger than a task: each Newton step sums over rows in Spark.
 
     Rows are summed by time first and risk sets are running sums along time; the
-    driver gets one gradient and hessian per group.
+    driver gets one gradient and hessian per group.  Features are centred on the means of their
+    group, which leaves the coefficients as they are and keeps exponents small.
     """
     spark, p = df.sparkSession, len(features)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     kinds = dict(df.dtypes)
     keys = ", ".join(f"`{b}` {kinds[b]}" for b in by)
-    rows = df.select(*by, F.col(time).cast("double").alias("_t"), F.col(event).cast("int").alias("_e"), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features))).dropna().persist()
+    rows = df.select(*by, F.col(time).cast("double").alias("_t"), F.col(event).cast("int").alias("_e"), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features))).dropna()
+    means = rows.groupBy(*by).agg(*(F.avg(f"_x{i}").alias(f"_m{i}") for i in range(p)))
+    rows = (rows.join(F.broadcast(means), list(by)) if by else rows.join(F.broadcast(means))).select(*by, "_t", "_e", *((F.col(f"_x{i}") - F.col(f"_m{i}")).alias(f"_x{i}") for i in range(p))).persist()  # a row for each group
     cuts = cut_points(rows, F.col("_t"))[0]
     found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("_e") == 1).alias("d")).collect()
     key_of = lambda r: tuple(r[b] for b in by)
@@ -250,15 +257,25 @@ def cox_spread(df: DataFrame, by: Sequence[str], time: str, event: str, features
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, int]:
-    """Correlations of a few hundred columns at most, in one aggregation, and the number of complete rows."""
-    use = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    """Correlations of a few hundred columns at most, and the number of complete rows.
+
+    Means first, then the Gram matrix of the centred columns, summed over Arrow batches.
+    """
+    use = df.select(*(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns))).dropna()
     p = len(columns)
-    got = use.agg(F.count("*").alias("n"), *(F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1, p))).first()
-    out = np.eye(p)
-    for i in range(p):
-        for j in range(i + 1, p):
-            out[i, j] = out[j, i] = got[f"c{i}_{j}"] if got[f"c{i}_{j}"] is not None else 0.0
-    return out, got["n"]
+    mean = np.array([m or 0.0 for m in use.agg(*(F.avg(f"_x{i}") for i in range(p))).first()])
+
+    def gram(batch):
+        x = np.stack([batch.column(i).to_numpy() for i in range(p)], axis=1) - mean
+        return np.append((x.T @ x).ravel(), len(x))
+
+    sums = summed(use, p * p + 1, gram)
+    cross = sums[:-1].reshape(p, p)
+    sd = np.sqrt(np.diag(cross))
+    scale = np.outer(sd, sd)
+    out = np.where(scale > 0, cross / np.where(scale > 0, scale, 1.0), 0.0)
+    np.fill_diagonal(out, 1.0)
+    return out, int(sums[-1])
 
 
 def _log_beta_tail(t: float, df: int) -> float:
@@ -303,14 +320,15 @@ def partial_p(corr: np.ndarray, n: int, i: int, j: int, given: Sequence[int]) ->
     return _log_beta_tail(r * np.sqrt(dof / (1 - r * r)), dof) if dof > 0 else 1.0
 
 
-def markov_blanket(df: DataFrame, target: str, features: Sequence[str], alpha: float = 0.05, most: int = 20) -> list[str]:
+def markov_blanket(df: DataFrame, target: str, features: Sequence[str], alpha: float = 0.05, most: int | None = None) -> list[str]:
     """IAMB: grow by the smallest significant p-value, then drop what the others make needless until none is.
 
-    Spark gives the correlation matrix once; the search runs on it.
+    Spark gives the correlation matrix once; the search runs on it.  ``most`` ends the
+    growth at so many features, where the caller wants that.
     """
     corr, n = correlation_matrix(df, [target, *features])
     chosen: list[int] = []
-    while len(chosen) < most:
+    while most is None or len(chosen) < most:
         rest = [j for j in range(1, len(features) + 1) if j not in chosen]
         scored = [(partial_p(corr, n, 0, j, chosen), j) for j in rest]
         if not scored or min(scored)[0] >= alpha:
@@ -330,6 +348,7 @@ def exponential_tilt(df: DataFrame, features: Sequence[str], targets: Sequence[f
     """Lambda of weights exp(x lambda) whose weighted means meet the targets: Newton steps on Spark sums."""
     p = len(features)
     lam = np.zeros(p)
+    df = df.select(*features).persist()
     for _ in range(steps):
         w = F.exp(sum((F.col(c) * float(v) for c, v in zip(features, lam, strict=True)), F.lit(0.0)))
         sums = [F.sum(w).alias("w"), *(F.sum(w * F.col(c)).alias(f"m{i}") for i, c in enumerate(features))]
@@ -344,6 +363,7 @@ def exponential_tilt(df: DataFrame, features: Sequence[str], targets: Sequence[f
         lam = lam - step
         if np.abs(step).max() < 1e-10:
             break
+    df.unpersist()
     return lam
 
 

@@ -6,6 +6,8 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,3 +110,20 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Map
         *(x for n, p in place.items() for x in (F.max(F.when(holds(F.floor(p)), F.col("_v"))).alias(f"_lo_{n}"), F.max(F.when(holds(F.ceil(p)), F.col("_v"))).alias(f"_hi_{n}"))),
     )
     return picked.select(*by, *((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (p - F.floor(p))).alias(n) for n, p in place.items()))
+
+
+def summed(rows: DataFrame, size: int, work) -> np.ndarray:
+    """Sum over all batches of the vector of length ``size`` that ``work`` makes of a batch."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += work(batch)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "v"])
+
+    table = rows.mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # ``size`` rows at most
+    out = np.zeros(size)
+    out[table.column("at").to_numpy()] = table.column("v").to_numpy()
+    return out

@@ -11,15 +11,19 @@ from cohortforge.functions.columns import hypergeometric_tail
 from cohortforge.operators.ordered import bh_adjust
 
 
-def pair_overlaps(members: DataFrame, group: str, element: str, population: int | None = None) -> DataFrame:
+def pair_overlaps(members: DataFrame, group: str, element: str, population: int | None = None, most_groups: int = 10_000) -> DataFrame:
     """Size of both sets, intersection, Jaccard index and overlap coefficient of each pair of groups that are named in ``members``.
 
     Intersections are counted by element, so sets are never gathered; pairs that share
     nothing are added from the groups' sizes.  With ``population``, the overlap beyond
-    chance: (O - E) / (min - E).
+    chance: (O - E) / (min - E).  All pairs of groups are named, so more than
+    ``most_groups`` of them are an error.
     """
     m = members.where(F.col(group).isNotNull() & F.col(element).isNotNull()).select(group, element).distinct()
     sizes = m.groupBy(group).agg(F.count("*").alias("n"))
+    found = sizes.count()
+    if found > most_groups:
+        raise ValueError(f"{found} groups; all pairs are named for {most_groups} at most")
     a, b = sizes.select(F.col(group).alias("a"), F.col("n").alias("n_a")), sizes.select(F.col(group).alias("b"), F.col("n").alias("n_b"))
     pairs = a.join(b, F.col("a") < F.col("b"))  # groups are folds, repeats or models: few
     x, y = m.select(F.col(group).alias("a"), element), m.select(F.col(group).alias("b"), element)
