@@ -374,10 +374,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return G.contract(table(spark, d, "orders").withColumn("flag", F.pmod("o_custkey", F.lit(3))), "o_orderkey", ["o_totalprice"], ["flag"])
 
 
-@query("qa_gates", f"WITH {COHORT}, m AS (SELECT count(*) AS n, sum(event) AS events, avg(arm) AS share FROM c) SELECT 'n' AS \"check\", n::DOUBLE AS observed, 15000.0::DOUBLE AS expected, CASE WHEN n = 15000 THEN 1 ELSE 0 END AS passed FROM m UNION ALL SELECT 'events', events::DOUBLE, 1.0, CASE WHEN events = 1 THEN 1 ELSE 0 END FROM m UNION ALL SELECT 'share', round(share, 9), 0.4, CASE WHEN share = 0.4 THEN 1 ELSE 0 END FROM m")
+@query("qa_gates", f"WITH {COHORT}, m AS (SELECT count(*) FILTER (id IS NULL) AS missing, count(*) - count(DISTINCT id) AS repeated, avg(arm) AS share FROM c) SELECT 'missing' AS \"check\", missing::DOUBLE AS observed, 0.0::DOUBLE AS expected, CASE WHEN missing = 0 THEN 1 ELSE 0 END AS passed FROM m UNION ALL SELECT 'repeated', repeated::DOUBLE, 0.0, CASE WHEN repeated = 0 THEN 1 ELSE 0 END FROM m UNION ALL SELECT 'share', round(share, 9), 0.9, CASE WHEN round(share, 9) = 0.9 THEN 1 ELSE 0 END FROM m")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    m = cohort(spark, d).agg(F.count("*").alias("n"), F.sum("event").alias("events"), F.round(F.avg("arm"), 9).alias("share"))
-    return G.gates(m, {"n": 15000, "events": 1, "share": 0.4})
+    m = cohort(spark, d).agg(F.count_if(F.col("id").isNull()).alias("missing"), (F.count("*") - F.count_distinct("id")).alias("repeated"), F.round(F.avg("arm"), 9).alias("share"))
+    return G.gates(m, {"missing": 0, "repeated": 0, "share": 0.9})
 
 
 @query("qa_checkpoint_upsert", "SELECT o_custkey AS key, arg_max(v, seq) AS v, max(seq) AS seq FROM (SELECT o_custkey, round(o_totalprice, 2) AS v, 2 * o_orderkey AS seq FROM orders UNION ALL SELECT o_custkey, -1.0, 2 * o_orderkey + 1 FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")

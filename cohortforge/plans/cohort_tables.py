@@ -79,12 +79,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "xo_table_one",
     f"""WITH {COHORT}, l AS (SELECT arm, e AS w, unnest(['x2', 'x3']) AS feature, unnest([x2, x3]) AS x FROM c),
- g AS (SELECT feature, arm, avg(x) AS m, sum(w * x) / sum(w) AS wm, count(*) - count(x) AS miss FROM l GROUP BY 1, 2)
- SELECT feature, round(max(m) FILTER (arm = 1), 6) AS mean_treated, round(max(m) FILTER (arm = 0), 6) AS mean_control, round(max(wm) FILTER (arm = 1), 6) AS w_mean_treated, round(max(wm) FILTER (arm = 0), 6) AS w_mean_control, CAST(sum(miss) AS BIGINT) AS missing FROM g GROUP BY 1""",
+ g AS (SELECT feature, arm, avg(x) AS m, sum(w * x) / sum(w) AS wm, var_pop(x) AS v, sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ^ 2 AS wv, count(*) - count(x) AS miss FROM l GROUP BY 1, 2)
+ SELECT feature, round((max(m) FILTER (arm = 1) - max(m) FILTER (arm = 0)) / sqrt(avg(v)), 6) AS smd_raw, round((max(wm) FILTER (arm = 1) - max(wm) FILTER (arm = 0)) / sqrt(avg(wv)), 6) AS smd_weighted, round(max(m) FILTER (arm = 1), 6) AS mean_treated, round(max(m) FILTER (arm = 0), 6) AS mean_control, round(max(wm) FILTER (arm = 1), 6) AS w_mean_treated, round(max(wm) FILTER (arm = 0), 6) AS w_mean_control, CAST(sum(miss) AS BIGINT) AS missing FROM g GROUP BY 1""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = H.table_one(cohort(spark, d), "arm", "e", ["x2", "x3"])
-    return t.select("feature", *(tidy(c).alias(c) for c in ("mean_treated", "mean_control", "w_mean_treated", "w_mean_control")), "missing")
+    return t.select("feature", *(tidy(c).alias(c) for c in ("smd_raw", "smd_weighted", "mean_treated", "mean_control", "w_mean_treated", "w_mean_control")), "missing")
 
 
 @query("xo_centring", f"WITH {REPLICATES}, g AS (SELECT scenario, count(*) AS n, avg(estimate) AS m, stddev_samp(estimate) / sqrt(count(*)) AS mcse FROM p GROUP BY 1) SELECT scenario, n, round(m, 6) AS mean, round(abs(m - 4.5) / mcse, 6) AS z, CASE WHEN n < 100 THEN 'too_few' WHEN abs(m - 4.5) / mcse <= 2 THEN 'acceptable' ELSE 'concern' END AS status FROM g")
