@@ -293,9 +293,11 @@ def head_classes(learned: DataFrame, start: Classes, bigrams: np.ndarray) -> np.
         size = -(-n // _PARTS)
         for batch in batches:
             part, key, times = (batch.column(c).to_numpy() for c in ("part", "key", "n"))
-            for p in np.unique(part).tolist():
-                own = part == p
-                own_sums = sums.setdefault(p, np.zeros(size * 2 * k))
+            order = np.argsort(part, kind="stable")
+            at = bounds(part[order])
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                own = order[lo:hi]
+                own_sums = sums.setdefault(int(part[own[0]]), np.zeros(size * 2 * k))
                 np.add.at(own_sums, (key[own] // (2 * k) // _PARTS) * (2 * k) + key[own] % (2 * k), times[own])
         for p, flat in sums.items():
             word = np.arange(size) * _PARTS + p
