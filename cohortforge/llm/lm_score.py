@@ -260,7 +260,7 @@ class Classes:
 
 
 #: Parts that the contexts of head words are dealt out in.
-_PARTS = 64
+_PARTS = 4096
 
 
 def head_classes(learned: DataFrame, start: Classes, bigrams: np.ndarray) -> np.ndarray:
