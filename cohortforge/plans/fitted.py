@@ -1,4 +1,4 @@
-"""Queries whose results come from fitted models or seeded draws; SQL has no counterpart, tests hold them to plain versions."""
+"""Queries whose results come from fitted models or seeded draws; SQL has no counterpart; the README says which of them tests hold to plain versions."""
 
 from __future__ import annotations
 
