@@ -452,7 +452,7 @@ def score(docs: DataFrame, train: Column, head_size: int = HEAD, n_items: int =
     have equal values.  Other columns are not looked at but by ``train``.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1 << 14)  # most of its rows are narrow
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("learned"))
     texts = texts.withColumns({"d": F.coalesce("doc_id", F.lit(0).cast("long")), "h": F.xxhash64("doc_id", "text")})

@@ -86,7 +86,7 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: str, count: str) -> DataFram
     return rows.join(crowd, on).unionByName(rows.join(F.broadcast(few.select(on)), on, "left_anti").join(rest, on))
 
 
-def small_batches(spark: SparkSession, rows: int = 1 << 14, octets: int = 4 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 512, octets: int = 4 << 20) -> None:
     """Keep Arrow batches small enough for a Python worker: by bytes, which long texts reach first, and by rows, which short rows do.
 
     Spark reads the settings when a plan runs, so they stay set in the session.
