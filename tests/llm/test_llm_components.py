@@ -26,6 +26,10 @@ def test_long_path_settles(spark, order):
     assert len(got) == 503
 
 
-def test_local_roots_of_a_long_path():
+def test_forest_of_a_long_path():
     ids = np.array(numbered("random"))
-    assert (embedding_dedup._local_roots(500, ids[:-1], ids[1:]) == 0).all()
+    forest = embedding_dedup.Forest(ids)
+    for part in np.array_split(np.arange(499), 7):
+        forest.join(ids[part], ids[part + 1])
+    nodes, least = forest.links()
+    assert (nodes == np.arange(500)).all() and (least == 0).all()
