@@ -129,12 +129,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "wn_clipped_fold",
-    """WITH RECURSIVE li AS (SELECT l_orderkey, l_linenumber, min(l_quantity) / 20.0 AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem GROUP BY 1, 2),
+    """WITH RECURSIVE li AS (SELECT l_orderkey, l_linenumber, min(l_quantity) / 21.0 AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem GROUP BY 1, 2),
  w AS (SELECT l_orderkey, l_linenumber, k, greatest(0.01, least(25.0, f))::DOUBLE AS weight FROM li WHERE k = 1 UNION ALL SELECT li.l_orderkey, li.l_linenumber, li.k, greatest(0.01, least(25.0, w.weight * li.f))::DOUBLE FROM w JOIN li ON li.l_orderkey = w.l_orderkey AND li.k = w.k + 1)
  SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS step, round(weight, 6) AS weight FROM w""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q")).withColumn("f", F.col("q") / 20.0)
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q")).withColumn("f", F.col("q") / 21.0)
     return V.clipped_weights(li, ["l_orderkey"], "l_linenumber", "f", 0.01, 25.0).select("l_orderkey", F.col("l_linenumber").cast("long").alias("step"), tidy("weight").alias("weight"))
 
 
