@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortforge.llm import centroids, decontaminate, embedding_dedup, language_id, license_scan, lm_score, quality, sentencepiece_codec, suffix_dedup, url_filter
+from cohortforge.llm import centroids, decontaminate, embedding_dedup, language_id, license_scan, lm_score, periodic_runs, quality, sentencepiece_codec, suffix_dedup, url_filter
 from cohortforge.llm.shared import fold
 from cohortforge.llm.simhash import near_duplicates
 
@@ -68,6 +68,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filters": op2_url_filters,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
