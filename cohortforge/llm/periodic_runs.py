@@ -15,7 +15,9 @@ run of such a period can share no pair with it, or its period would not be the l
 from __future__ import annotations
 
 from bisect import bisect
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,7 @@ def _transform_size(least: int) -> int:
 def lag_counts(ids: np.ndarray, top: int) -> np.ndarray:
     """Exact number of places i with ids[i] = ids[i + lag], for the lags 0 (left zero) to ``top``."""
     n = len(ids)
-    count = np.bincount(ids)
-    heavy = is_heavy(count, n)
+    heavy = is_heavy(np.bincount(ids), n)
     out = np.zeros(top + 1, np.int64)
     place = np.argsort(ids, kind="stable")
     if heavy.any():
@@ -179,8 +180,8 @@ def periodic_runs(docs: DataFrame, rewrite: Rewrite | None = None) -> DataFrame:
             size, runs, text = [], [], []
             for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = t.encode().split() if t else []
-                number: dict[bytes, int] = {}
-                ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+                number = defaultdict(count().__next__)
+                ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
                 order = rewrite(doc_id, len(words)) if rewrite else None
                 if order is not None:
                     ids = ids[order]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortforge.llm import centroids, decontaminate, embedding_dedup, language_id, license_scan, lm_score, periodic_runs, quality, sentencepiece_codec, suffix_dedup, url_filter
+from cohortforge.llm import centroids, decontaminate, embedding_dedup, language_id, license_scan, lm_score, packing, periodic_runs, quality, sentencepiece_codec, suffix_dedup, url_filter
 from cohortforge.llm.shared import fold
 from cohortforge.llm.simhash import near_duplicates
 
@@ -64,6 +64,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_packing": op11_packing,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_periodic_runs": op13_periodic_runs,
 }
