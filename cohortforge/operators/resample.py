@@ -55,8 +55,8 @@ def dense_positions(keys: DataFrame, key: str, name: str = "pos") -> DataFrame:
     return placed.select(key, F.coalesce(broken, F.col(name)).alias(name))
 
 
-def bootstrap_counts(keys: DataFrame, key: str, replicates: int, seed: int = 0) -> DataFrame:
-    """How often each key is drawn in each replicate of as many draws as there are keys.
+def bootstrap_counts(keys: DataFrame, key: str, replicates: int, seed: int = 0, first: int = 0) -> DataFrame:
+    """How often each key is drawn in each replicate, numbered from ``first``, of as many draws as there are keys.
 
     The draw of a place in a replicate is 60 bits of a hash of (seed, replicate, place),
     modulo the number of keys: its bias is below n / 2^60.  Draws are rows, so their
@@ -66,7 +66,7 @@ def bootstrap_counts(keys: DataFrame, key: str, replicates: int, seed: int = 0)
     """
     placed = dense_positions(keys, key)
     n = keys.agg(F.count("*").alias("_n"))
-    draws = placed.join(F.broadcast(n)).select(F.col("pos").alias("_draw"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))  # one row
+    draws = placed.join(F.broadcast(n)).select(F.col("pos").alias("_draw"), "_n", F.explode(F.sequence(F.lit(first), F.lit(first + replicates - 1))).alias("replicate"))  # one row
     drawn = draws.select("replicate", F.pmod(hashed(seed, "replicate", "_draw"), F.col("_n")).alias("pos"))
     return drawn.groupBy("replicate", "pos").agg(F.count("*").alias("times")).join(placed, "pos").select("replicate", key, "times")
 

@@ -92,13 +92,15 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str = "avg
     return upto.select(*by, value, "n", (F.col("_upto") - (F.col("n") - 1) / 2.0).alias(name))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float], times: str | None = None) -> DataFrame:
     """Linearly interpolated exact quantiles of each group, a column for each name; nulls are left out.
 
+    ``times``: how often a row counts, a whole number.
+
     Values are counted, the counts summed along the values, and the two neighbouring
     order statistics of each quantile picked out: no buffer holds a group's values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg((F.sum(times) if times else F.count("*")).alias("_n")).where("_n > 0")
     size = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
     upto = running_sums(counts, by, "_v", {"_upto": F.col("_n")}, cuts=cut_points(df, F.col(value).cast("double"))[0])
     at = upto.join(size, list(by)) if by else upto.join(F.broadcast(size))  # without groups one row
