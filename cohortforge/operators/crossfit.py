@@ -40,10 +40,31 @@ def _member(batch: pa.RecordBatch, models: Sequence[tuple[int, int]]) -> np.ndar
     return np.stack([(f != a) & (g != b) for a, b in models], axis=1)
 
 
-def _newton(rows: DataFrame, p: int, models: Sequence[tuple[int, int]], penalty: np.ndarray, start: np.ndarray | None = None, steps: int = 30, tolerance: float = 1e-8) -> np.ndarray:
-    """Coefficients of each logistic model, a row each; ``penalty``: that of every coefficient."""
+def _descent(hessian: np.ndarray, gradient: np.ndarray, beta: np.ndarray, absolute: np.ndarray, sweeps: int = 5000, tolerance: float = 1e-13) -> np.ndarray:
+    """Minimum of each model's quadratic at ``beta`` with a penalty on absolute values, by coordinate descent; zeros are exact."""
+    new, slope = beta.copy(), gradient.copy()
+    for _ in range(sweeps):
+        most = 0.0
+        for j in range(beta.shape[1]):
+            own = hessian[:, j, j]
+            z = slope[:, j] + own * new[:, j]
+            to = np.where(own > 0, np.sign(z) * np.maximum(np.abs(z) - absolute[:, j], 0) / np.where(own > 0, own, 1.0), 0.0)
+            step = to - new[:, j]
+            new[:, j] = to
+            slope -= hessian[:, :, j] * step[:, None]
+            most = max(most, float(np.abs(step).max(initial=0)))
+        if most < tolerance:
+            break
+    return new
+
+
+def _newton(rows: DataFrame, p: int, models: Sequence[tuple[int, int]], penalty: np.ndarray, absolute: np.ndarray | None = None, steps: int = 60, tolerance: float = 1e-8) -> np.ndarray:
+    """Coefficients of each logistic model, a row each; ``penalty``, ``absolute``: those of the squares and of the sizes of every coefficient.
+
+    Fits that do not settle are an error.
+    """
     m, q = len(models), p + 1
-    beta = np.zeros((m, q)) if start is None else start.copy()
+    beta = np.zeros((m, q))
     at = np.triu_indices(q)
     for _ in range(steps):
 
@@ -58,27 +79,32 @@ def _newton(rows: DataFrame, p: int, models: Sequence[tuple[int, int]], penalty:
 
         sums = summed(rows, m * (q + len(at[0])), work)
         gradient = sums[: m * q].reshape(m, q) - penalty * beta
-        upper = sums[m * q :].reshape(m, -1)
-        change = np.zeros_like(beta)
-        for i in range(m):
-            hessian = np.zeros((q, q))
-            hessian[at] = upper[i]
-            hessian = hessian + np.triu(hessian, 1).T + np.diag(penalty[i])
-            change[i] = np.linalg.lstsq(hessian, gradient[i], rcond=None)[0]
+        hessian = np.zeros((m, q, q))
+        hessian[:, at[0], at[1]] = hessian[:, at[1], at[0]] = sums[m * q :].reshape(m, -1)
+        hessian[:, np.arange(q), np.arange(q)] += penalty
+        if absolute is None:
+            change = (np.linalg.pinv(hessian, rcond=1e-12, hermitian=True) @ gradient[:, :, None])[:, :, 0]
+        else:
+            change = _descent(hessian, gradient, beta, absolute) - beta
         beta = beta + np.clip(change, -5, 5)
         if np.abs(change).max() < tolerance:
-            break
-    return beta
+            return beta
+    raise ArithmeticError(f"logistic models did not settle in {steps} steps")
 
 
-def crossfit_logistic(df: DataFrame, key: str, label: str, features: Sequence[str], fold: str, inverse_penalties: Sequence[float] = INVERSE_PENALTIES, inner: int = 4, bounds: tuple[float, float] = (0.01, 0.99), name: str = "probability", seed: int = 0) -> DataFrame:
-    """Adds the probability of the label from a ridge logistic model that was fitted on the other folds.
+def crossfit_logistic(df: DataFrame, key: str, label: str, features: Sequence[str], fold: str, inverse_penalties: Sequence[float] = INVERSE_PENALTIES, inner: int = 4, bounds: tuple[float, float] = (0.01, 0.99), name: str = "probability", seed: int = 0, mixing: Sequence[float] = (0.0,)) -> DataFrame:
+    """Adds the probability of the label from a penalised logistic model that was fitted on the other folds.
 
     Features are scaled by the population deviations of the training rows; of the inverse
-    penalties C (C times the summed loss plus half the squared coefficients) that of the
-    least mean log-loss over ``inner`` inner folds is taken, the first of equals.  A fold whose
-    training rows have one label only gives its smoothed share (s + 1/2) / (n + 1).
+    penalties C and mixing values r (C times the summed loss, plus (1 - r) / 2 times the squared coefficients and r
+    times their sizes; r = 0 is ridge) those of the least mean log-loss over ``inner`` inner folds
+    are taken, the first of equals.  A fold whose training rows have one label only gives its smoothed share (s + 1/2) / (n + 1).
     """
+    return tuned_logistic(df, key, label, features, fold, inverse_penalties, inner, bounds, name, seed, mixing)[0]
+
+
+def tuned_logistic(df: DataFrame, key: str, label: str, features: Sequence[str], fold: str, inverse_penalties: Sequence[float] = INVERSE_PENALTIES, inner: int = 4, bounds: tuple[float, float] = (0.01, 0.99), name: str = "probability", seed: int = 0, mixing: Sequence[float] = (0.0,)) -> tuple[DataFrame, DataFrame]:
+    """``crossfit_logistic``, and a row for each fold: chosen C and mixing, its inner log-loss, features with a coefficient, and coefficients, intercept first."""
     p = len(features)
     rows = _prepared(df, key, label, features, fold, inner, seed).persist()
     facts = rows.groupBy("_f").agg(F.count("*").alias("n"), F.sum("_y").alias("s"), *(x for i in range(p) for x in (F.sum(f"_x{i}").alias(f"a{i}"), F.sum(F.col(f"_x{i}") * F.col(f"_x{i}")).alias(f"b{i}")))).orderBy("_f").collect()  # a row for each fold
@@ -89,9 +115,13 @@ def crossfit_logistic(df: DataFrame, key: str, label: str, features: Sequence[st
     variance = train[:, 2 + p :] / np.maximum(n, 1)[:, None] - (train[:, 2 : 2 + p] / np.maximum(n, 1)[:, None]) ** 2
     square = np.concatenate((np.zeros((len(folds), 1)), np.where(variance > 1e-18, variance, 1.0)), axis=1)  # of the deviations; none for the intercept
     good = [k for k in range(len(folds)) if 0 < s[k] < n[k]]
-    grid = [(k, g, c) for k in good for c in inverse_penalties for g in range(inner)]
+    choices = [(c, r) for r in mixing for c in inverse_penalties]
+    grid = [(k, g, c) for k in good for c in choices for g in range(inner)] if len(choices) > 1 else []
     models = [(folds[k], g) for k, g, _ in grid]
-    beta = _newton(rows, p, models, np.array([square[k] / c for k, _, c in grid]), tolerance=1e-6) if grid else np.zeros((0, p + 1))
+    squares = lambda held: np.array([square[k] * (1 - r) / c for k, (c, r) in held])
+    sizes = lambda held: np.array([np.sqrt(square[k]) * r / c for k, (c, r) in held]) if any(mixing) else None
+    held_grid = [(k, c) for k, _, c in grid]
+    beta = _newton(rows, p, models, squares(held_grid), sizes(held_grid), tolerance=1e-6) if grid else np.zeros((0, p + 1))
 
     def loss(batch):
         x, y, f, g = _design(batch, p), batch.column("_y").to_numpy(), batch.column("_f").to_numpy(), batch.column("_g").to_numpy()
@@ -100,20 +130,24 @@ def crossfit_logistic(df: DataFrame, key: str, label: str, features: Sequence[st
         out = np.stack([(f != a) & (g == b) for a, b in models], axis=1)
         return np.concatenate(((each * out).sum(axis=0), out.sum(axis=0)))
 
-    chosen: dict[int, float] = {}
+    chosen = {k: (choices[0], None) for k in good}
     if grid:
         sums = summed(rows, 2 * len(grid), loss)
         mean = sums[: len(grid)] / np.maximum(sums[len(grid) :], 1)
         for k in good:
-            by = {c: float(np.mean([mean[i] for i, (a, _, d) in enumerate(grid) if a == k and d == c])) for c in inverse_penalties}
-            chosen[k] = min(by, key=by.get)
-    final = _newton(rows, p, [(folds[k], -1) for k in good], np.array([square[k] / chosen[k] for k in good])) if good else np.zeros((0, p + 1))
+            by = {c: float(np.mean([mean[i] for i, (a, _, d) in enumerate(grid) if a == k and d == c])) for c in choices}
+            best = min(by, key=by.get)
+            chosen[k] = (best, by[best])
+    last = [(k, chosen[k][0]) for k in good]
+    final = _newton(rows, p, [(folds[k], -1) for k in good], squares(last), sizes(last)) if good else np.zeros((0, p + 1))
     rows.unpersist()
     held = {k: final[i].tolist() for i, k in enumerate(good)}
     fitted = df.sparkSession.createDataFrame([(f, held.get(k), None if k in held else float((s[k] + 0.5) / (n[k] + 1))) for k, f in enumerate(folds)], "_f int, _b array<double>, _share double")
     eta = sum((F.col(c).cast("double") * F.col("_b")[i + 1] for i, c in enumerate(features)), F.col("_b")[0])
     joined = df.withColumn("_f", F.col(fold).cast("int")).join(F.broadcast(fitted), "_f")  # a row for each fold
-    return joined.withColumn(name, clip(F.coalesce(logistic(eta), "_share"), *bounds)).drop("_f", "_b", "_share")
+    out = joined.withColumn(name, clip(F.coalesce(logistic(eta), "_share"), *bounds)).drop("_f", "_b", "_share")
+    tuned = [(folds[k], float(chosen[k][0][0]), float(chosen[k][0][1]), chosen[k][1], int((final[i, 1:] != 0).sum()), final[i].tolist()) for i, k in enumerate(good)]
+    return out, df.sparkSession.createDataFrame(tuned, "fold int, inverse_penalty double, mixing double, log_loss double, n_nonzero int, coefficients array<double>")
 
 
 def crossfit_ridge(df: DataFrame, y: str, arm: str, features: Sequence[str], fold: str, penalties: Sequence[float] = RIDGE_PENALTIES, least_rows: int = 20, bounds: tuple[float, float] | None = None) -> DataFrame:

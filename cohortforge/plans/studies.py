@@ -79,7 +79,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("sv_crossfit_censoring")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = V.person_period(_unit(spark, d), 730.0, 90.0)
-    hazard = X.crossfit_hazard(rows, "id", "censor_event", ["arm", "interval", *_Z], "fold", ["arm", "interval"], "hazard", (0.1,), 2)
+    hazard = X.crossfit_hazard(rows, "id", "censor_event", ["arm", "interval", *_Z], "fold", ["arm", "interval"], "hazard")
     kept, _ = X.censor_survival(hazard, "id", "hazard", "censor_event")
     return kept.select("id", "interval", tidy("hazard", 5).alias("hazard"), tidy("g", 5).alias("g"))
 
@@ -89,11 +89,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """From censoring to the estimate: hazards, pseudo-outcomes, propensity, outcome models, score."""
     s = _unit(spark, d).drop("mu0", "mu1", "y", "e")
     rows = V.person_period(s, 730.0, 90.0)
-    hazard = X.crossfit_hazard(rows, "id", "censor_event", ["arm", "interval", *_Z], "fold", ["arm", "interval"], "hazard", (0.1,), 2)
+    hazard = X.crossfit_hazard(rows, "id", "censor_event", ["arm", "interval", *_Z], "fold", ["arm", "interval"], "hazard")
     kept, _ = X.censor_survival(hazard, "id", "hazard", "censor_event")
     y = V.ipcw_pseudo(s, kept.select("id", "interval", "g"), "id", "time", 730.0, 90.0, 0.1)
     full = X.crossfit_ridge(s.join(y, "id"), "pseudo", "arm", _Z, "fold")
-    scored = X.crossfit_logistic(full, "id", "arm", _Z, "fold", (0.1, 1.0), 2)
+    scored = X.crossfit_logistic(full, "id", "arm", _Z, "fold")
     e = K.score_estimate(K.clipped_scores(scored, "pseudo", "arm", "probability", "mu0", "mu1"))
     return e.select("n", *(tidy(c, 2).alias(c) for c in e.columns if c != "n"))
 
@@ -102,7 +102,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     from cohortforge.operators.metrics import auc
 
-    picked = X.crossfit_logistic(_unit(spark, d), "id", "event", _Z, "fold", (0.1,), 2)
+    picked = X.crossfit_logistic(_unit(spark, d), "id", "event", _Z, "fold")
     return auc(picked, [], "event", "probability").select("n_cases", "n_controls", tidy("auc", 4).alias("auc"))
 
 
