@@ -147,21 +147,102 @@ def log_choose(n: str | Column, k: str | Column) -> Column:
     return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)
 
 
+def _reach(n: Column, m: Column, d: Column) -> Column:
+    """How far from a place of a hypergeometric tail its terms count: ten deviations and some."""
+    size = n.cast("double")
+    variance = d * m / size * (1 - m / size) * (size - d) / F.greatest(size - 1, F.lit(1.0))
+    return F.ceil(10 * F.sqrt(F.greatest(variance, F.lit(0.0)))).cast("long") + 50
+
+
+def _summed(low: Column, high: Column, term) -> Column:
+    """Sum of the terms from ``low`` to ``high``; nothing if they are the wrong way round."""
+    return F.when(low <= high, F.aggregate(F.sequence(low, F.greatest(low, high)), F.lit(0.0), lambda a, i: a + term(i))).otherwise(0.0)
+
+
 def hypergeometric_tail(overlap: str | Column, population: str | Column, marked: str | Column, drawn: str | Column) -> Column:
-    """P(X >= overlap) for X hypergeometric; 1 where the overlap is not above zero, 0 beyond the most."""
-    k, n, m, d = (col(c).cast("int") for c in (overlap, population, marked, drawn))
-    top = F.least(m, d)
-    terms = F.transform(F.sequence(F.greatest(k, F.lit(0)), top), lambda i: F.when((d - i >= 0) & (d - i <= n - m), F.exp(log_choose(m, i) + log_choose(n - m, d - i) - log_choose(n, d))).otherwise(F.lit(0.0)))
-    return F.when(k <= 0, F.lit(1.0)).when(k > top, F.lit(0.0)).otherwise(F.least(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(1.0)))
+    """P(X >= overlap) for X hypergeometric; 1 where the overlap is not above zero, 0 beyond the most.
+
+    Only terms within ten deviations of the tail's greatest are summed, so the work grows with the root of the counts.
+    """
+    k, n, m, d = (col(c).cast("long") for c in (overlap, population, marked, drawn))
+    top, least = F.least(m, d), F.greatest(F.lit(0).cast("long"), m + d - n)
+    middle = F.floor(m.cast("double") * d / n).cast("long")
+    reach = _reach(n, m, d)
+    low, high = F.greatest(k, least, middle - reach), F.least(top, F.greatest(k, middle) + reach)
+    chance = lambda i: F.exp(log_choose(m, i) + log_choose(n - m, d - i) - log_choose(n, d))
+    return F.when(k <= least, F.lit(1.0)).when(k > top, F.lit(0.0)).otherwise(F.least(_summed(low, high, chance), F.lit(1.0)))
 
 
 def fisher_exact(a: str | Column, b: str | Column, c: str | Column, d: str | Column) -> Column:
-    """Two-sided p-value of the table [[a, b], [c, d]]: the chance of all tables with its margins that are no likelier; null without rows in a line."""
+    """Two-sided p-value of the table [[a, b], [c, d]]: the chance of all tables with its margins that are no likelier; null without rows in a line.
+
+    The far tail is found by bisection, as chances fall to both sides of the mode; either tail is summed over ten deviations.
+    """
     a, b, c, d = (col(x).cast("long") for x in (a, b, c, d))
     n, row, column = a + b + c + d, a + b, a + c
+    least, top = F.greatest(F.lit(0).cast("long"), row + column - n), F.least(row, column)
     chance = lambda i: F.exp(log_choose(row, i) + log_choose(n - row, column - i) - log_choose(n, column))
-    terms = F.transform(F.sequence(F.greatest(F.lit(0), row + column - n), F.least(row, column)), lambda i: F.when(chance(i) <= chance(a) * (1 + 1e-7), chance(i)).otherwise(F.lit(0.0)))
-    return F.when((row > 0) & (c + d > 0), F.least(F.aggregate(terms, F.lit(0.0), lambda x, y: x + y), F.lit(1.0)))
+    limit = chance(a) * (1 + 1e-7)
+    mode = F.greatest(least, F.least(top, F.floor((row + 1).cast("double") * (column + 1) / (n + 2)).cast("long")))
+    left = a <= mode
+
+    def bisected(low: Column, high: Column, step) -> Column:
+        ends = F.struct(low.alias("low"), high.alias("high"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(62)), ends, lambda v, _: F.when(v["low"] < v["high"], step(v["low"], v["high"])).otherwise(v))["low"]
+
+    def upward(low, high):  # the least place that is no likelier; high is one past the last
+        mid = F.floor((low + high) / 2).cast("long")
+        fits = chance(mid) <= limit
+        return F.struct(F.when(fits, low).otherwise(mid + 1).alias("low"), F.when(fits, mid).otherwise(high).alias("high"))
+
+    def downward(low, high):  # the greatest; low is one ahead of the first
+        mid = F.floor((low + high + 1) / 2).cast("long")
+        fits = chance(mid) <= limit
+        return F.struct(F.when(fits, mid).otherwise(low).alias("low"), F.when(fits, high).otherwise(mid - 1).alias("high"))
+
+    reach = _reach(n, row, column)
+    above = bisected(F.greatest(mode, a + 1), top + 1, upward)
+    below = bisected(least - 1, F.least(mode, a - 1), downward)
+    own = F.when(left, _summed(F.greatest(least, a - reach), a, chance)).otherwise(_summed(a, F.least(top, a + reach), chance))
+    other = F.when(left, _summed(above, F.least(top, above + reach), chance)).otherwise(_summed(F.greatest(least, below - reach), below, chance))
+    return F.when((row > 0) & (c + d > 0), F.least(own + other, F.lit(1.0)))
+
+
+def incomplete_beta(a: str | Column, b: str | Column, x: str | Column) -> Column:
+    """Regularised incomplete beta function for a and b of at least one half, by its continued fraction."""
+    a, b, x = (col(c).cast("double") for c in (a, b, x))
+    tiny = lambda v: F.when(F.abs(v) > 1e-300, v).otherwise(F.lit(1e-300))
+
+    def fraction(a: Column, b: Column, x: Column) -> Column:
+        def turn(v, k):
+            d = F.lit(1.0) / tiny(1 + k * v["d"])
+            c = tiny(1 + k / v["c"])
+            return F.struct(c.alias("c"), d.alias("d"), (v["h"] * d * c).alias("h"))
+
+        def both(v, m):
+            m = m.cast("double")
+            return turn(turn(v, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+
+        first = F.lit(1.0) / tiny(1 - (a + b) * x / (a + 1))
+        steps = F.sequence(F.lit(1), (F.lit(40) + F.ceil(4 * F.sqrt(F.greatest(a, b)))).cast("int"))
+        return F.aggregate(steps, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), both)["h"]
+
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1 - x))
+    near = x < (a + 1) / (a + b + 2)
+    inside = F.when(near, front * fraction(a, b, x) / a).otherwise(1 - front * fraction(b, a, 1 - x) / b)
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside)))
+
+
+def t_two_sided(t: str | Column, df: str | Column) -> Column:
+    """Two-sided p-value of Student's t with ``df`` degrees of freedom; null where these are not above zero."""
+    t, df = col(t).cast("double"), col(df).cast("double")
+    return F.when(df > 0, incomplete_beta(df / 2, F.lit(0.5), df / (df + t * t)))
+
+
+def correlation_p(r: str | Column, n: str | Column, given: int = 0) -> Column:
+    """Two-sided p-value of a (partial) correlation over n rows, given so many others; null with too few rows, 0 for one of size 1."""
+    r, dof = col(r).cast("double"), col(n).cast("double") - 2 - given
+    return F.when(dof <= 0, F.lit(None).cast("double")).when(F.abs(r) >= 1, F.lit(0.0)).otherwise(t_two_sided(r * F.sqrt(dof / (1 - r * r)), dof))
 
 
 def binary_smd(p1: str | Column, p0: str | Column) -> Column:
@@ -177,9 +258,12 @@ def joined_texts(*columns: str | Column, mark: str = " | ") -> Column:
 
 
 def json_strings(c: str | Column) -> Column:
-    """All string values of a JSON text, at any depth, in their order; keys, numbers and escapes of other characters than quotes stay as they are."""
-    found = F.regexp_extract_all(col(c), F.lit(r'"((?:[^"\\]|\\.)*+)"\s*(?=[,}\]]|$)'), F.lit(1))
-    return F.transform(found, lambda x: F.replace(x, F.lit('\\"'), F.lit('"')))
+    """All string values of a JSON text, at any depth, in their order, with escapes resolved; keys and numbers are left out.
+
+    Every string is read whole from its first quote on, so nothing inside one is taken for another; those in front of a colon are keys.
+    """
+    every = F.regexp_extract_all(col(c), F.lit(r'("(?:[^"\\]|\\.)*+")(\s*:)?'), F.lit(0))
+    return F.transform(F.filter(every, lambda x: ~x.endswith(":")), lambda x: F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>")[0])
 
 
 def set_overlap(a: str | Column, b: str | Column) -> tuple[Column, Column]:

@@ -293,8 +293,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return J.bind_columns(s.select("s_suppkey", "s_name"), s.select("s_suppkey", "s_acctbal", F.lit("other").alias("s_name")), "s_suppkey")
 
 
-@query("prj_json_strings", "SELECT event_id, 1 AS n FROM events")
+_JSON = """e AS (SELECT event_id, json_object('a', event_id, 'b', json_object('t', event_type, 'u', ', yes'), 'c', json_array(event_type || '"]', 'x' || chr(92) || '/' || chr(10) || 'é', user_id % 3, NULL)) AS j FROM events)"""
+
+
+def _json(spark: SparkSession, d: str) -> DataFrame:
+    inner = F.struct(F.col("event_type").alias("t"), F.lit(", yes").alias("u"))
+    texts = F.to_json(F.array(F.concat("event_type", F.lit('"]')), F.lit("x\\/\né")))
+    listed = F.concat(F.left(texts, F.length(texts) - 1), F.lit(","), F.pmod("user_id", F.lit(3)).cast("string"), F.lit(",null]"))
+    text = F.concat(F.lit('{"a":'), F.col("event_id").cast("string"), F.lit(',"b":'), F.to_json(inner), F.lit(',"c":'), listed, F.lit("}"))
+    return table(spark, d, "events").select("event_id", text.alias("j"))
+
+
+@query("prj_json_strings", f"WITH {_JSON} SELECT event_id, count(*) AS n, string_agg(t.atom ->> '$', '|' ORDER BY t.id) AS strings FROM e, json_tree(e.j) AS t WHERE t.type = 'VARCHAR' GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("a"), F.struct("event_type").alias("b"))).alias("j"))
-    found = e.select("event_id", C.json_strings("j").alias("s"))
-    return found.select("event_id", F.size("s").alias("n"))
+    found = _json(spark, d).select("event_id", C.json_strings("j").alias("s"))
+    return found.select("event_id", F.size("s").alias("n"), F.array_join("s", "|").alias("strings"))
+
+
+@query("prj_json_walk", f"WITH {_JSON} SELECT event_id, t.fullkey AS path, t.path AS parent, CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, CASE WHEN t.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN t.atom ->> '$' END AS value FROM e, json_tree(e.j) AS t WHERE t.fullkey <> '$'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from cohortforge.operators.json_walk import json_walk
+
+    return json_walk(_json(spark, d), "event_id", "j").where("parent is not null").select("event_id", "path", "parent", "kind", "value")
