@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortforge.functions.columns import binary_smd, finite, fisher_exact, hypergeometric_tail, ratio
+from cohortforge.functions.columns import binary_smd, col, finite, fisher_exact, hypergeometric_tail, ratio
 from cohortforge.operators.models import cox_by_group
 from cohortforge.operators.running import cut_points, exact_quantiles, running_sums
 
@@ -200,6 +200,34 @@ def mapping_errors(df: DataFrame, published: float, candidates: Mapping[str, tup
     return out.withColumn("error", F.abs(F.col("estimate") - published))
 
 
+def curve_mappings(df: DataFrame, published: DataFrame, readings: Mapping[str, tuple[str | Column, str | Column, str | Column, str | Column]], horizon: float) -> DataFrame:
+    """How near each reading of a table (arm, time, event, weight) comes to published curves (arm, time, survival), the nearest first.
+
+    All readings are stacked, and their weighted curves taken together.  Summed over the arms: ``area`` between the step
+    curves up to the horizon, ``mean_error`` of the restricted means, ``end_error`` of survival at the horizon, and
+    ``score``, the mean error plus a hundred times the end error; ``gap`` is the largest distance anywhere.  Curves start at 1; times at
+    or beyond the horizon are cut to it.
+    """
+    from cohortforge.operators.running import running
+    from cohortforge.operators.survival import weighted_curve
+
+    each = [F.struct(F.lit(name).alias("mapping"), col(a).cast("int").alias("arm"), col(t).cast("double").alias("time"), col(e).cast("int").alias("event"), col(w).cast("double").alias("weight")) for name, (a, t, e, w) in readings.items()]
+    curves = weighted_curve(df.select(F.explode(F.array(*each)).alias("r")).select("r.*").where("arm is not null"), ["mapping", "arm"], "time", "event", "weight")
+    names = F.explode(F.array(*map(F.lit, readings))).alias("mapping")
+    of = published.select(names, F.col("arm").cast("int").alias("arm"), F.col("time").cast("double").alias("time"), F.col("survival").cast("double").alias("_p"))
+    start = of.select("mapping", "arm").distinct().select("mapping", "arm", F.lit(0.0).alias("time"))
+    points = curves.select("mapping", "arm", "time", F.col("survival").alias("_s")).unionByName(of, allowMissingColumns=True).unionByName(start, allowMissingColumns=True)
+    points = points.where((F.col("time") >= 0) & (F.col("time") <= horizon)).groupBy("mapping", "arm", "time").agg(F.min("_s").alias("_s"), F.min("_p").alias("_p"))
+    by = ["mapping", "arm"]
+    at = running(points, by, "time", {"_s1": ("last", F.col("_s")), "_p1": ("last", F.col("_p"))})
+    at = running(at, by, "time", {"_next": ("last", F.col("time"))}, descending=True, inclusive=False)
+    off = F.coalesce("_s1", F.lit(1.0)) - F.coalesce("_p1", F.lit(1.0))
+    width = F.coalesce("_next", F.lit(float(horizon))) - F.col("time")
+    arms = at.groupBy(*by).agg(F.sum(F.abs(off) * width).alias("area"), F.max(F.abs(off)).alias("gap"), F.abs(F.sum(off * width)).alias("mean_error"), F.abs(F.max_by(off, "time")).alias("end_error"))
+    out = arms.groupBy("mapping").agg(F.sum("area").alias("area"), F.max("gap").alias("gap"), F.sum("mean_error").alias("mean_error"), F.sum("end_error").alias("end_error"))
+    return out.withColumn("score", F.col("mean_error") + 100 * F.col("end_error")).orderBy("area", "mapping")
+
+
 def clinical_indicators(df: DataFrame, age: str, stage: str, nodes: str, missing_nodes: float | None = None) -> DataFrame:
     """Adds age, stage_II to stage_IV and node_positive as numbers; without a stage all indicators are 0, without nodes node_positive is ``missing_nodes``."""
     s, n = F.col(stage).try_cast("double"), F.col(nodes).try_cast("double")

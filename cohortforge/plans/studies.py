@@ -315,3 +315,38 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     from cohortforge.operators.json_walk import json_walk
 
     return json_walk(_json(spark, d), "event_id", "j").where("parent is not null").select("event_id", "path", "parent", "kind", "value")
+
+
+# ---- readings of a table against a published curve
+
+_READINGS = """pub AS (SELECT * FROM cv WHERE mapping = 'true'),
+ pt AS (SELECT DISTINCT mapping, arm, time FROM (SELECT mapping, arm, time FROM cv UNION ALL SELECT m.mapping, p.arm, p.time FROM pub AS p, (SELECT DISTINCT mapping FROM cv) AS m UNION ALL SELECT DISTINCT mapping, arm, 0.0::DOUBLE FROM cv) WHERE time <= 730),
+ v AS (SELECT pt.mapping, pt.arm, pt.time, coalesce(s.survival, 1) - coalesce(p.survival, 1) AS off, coalesce(lead(pt.time) OVER (PARTITION BY pt.mapping, pt.arm ORDER BY pt.time), 730) - pt.time AS width
+  FROM pt ASOF LEFT JOIN cv AS s ON s.mapping = pt.mapping AND s.arm = pt.arm AND s.time <= pt.time ASOF LEFT JOIN pub AS p ON p.arm = pt.arm AND p.time <= pt.time),
+ a AS (SELECT mapping, arm, sum(abs(off) * width) AS area, max(abs(off)) AS gap, abs(sum(off * width)) AS me, abs(arg_max(off, time)) AS ee FROM v GROUP BY 1, 2)"""
+
+
+@query(
+    "xo_curve_mappings",
+    f"""WITH {COHORT}, w AS (SELECT *, arm * (1 - e) + (1 - arm) * e AS w FROM c),
+ r AS (SELECT 'true' AS mapping, arm, time, event, w FROM w UNION ALL SELECT 'swapped', 1 - arm, time, event, w FROM w UNION ALL SELECT 'unweighted', arm, time, event, 1 FROM w
+  UNION ALL SELECT 'censoring', arm, time, 1 - event, w FROM w UNION ALL SELECT 'inverse', arm, time, event, CASE WHEN arm = 1 THEN 1 / e ELSE 1 / (1 - e) END FROM w UNION ALL SELECT 'months', arm, time / 30.4375, event, w FROM w),
+ bt AS (SELECT mapping, arm, time, sum(w) AS w, sum(w * event) AS d FROM r GROUP BY 1, 2, 3), rk AS (SELECT *, sum(w) OVER (PARTITION BY mapping, arm ORDER BY time DESC) AS risk FROM bt),
+ cv AS (SELECT mapping, arm, time, product(greatest(1 - d / risk, 0)) OVER (PARTITION BY mapping, arm ORDER BY time) AS survival FROM rk WHERE d > 0), {_READINGS}
+ SELECT mapping, round(sum(area), 4) AS area, round(max(gap), 5) AS gap, round(sum(me), 4) AS mean_error, round(sum(ee), 5) AS end_error, round(sum(me) + 100 * sum(ee), 3) AS score FROM a GROUP BY 1""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Six readings of the cohort against the curves of overlap weights."""
+    c = cohort(spark, d).withColumn("w", K.overlap_weight("arm", "e"))
+    curve = V.weighted_curve(c, ["arm"], "time", "event", "w").select("arm", "time", "survival")
+    inverse = F.when(F.col("arm") == 1, 1 / F.col("e")).otherwise(1 / (1 - F.col("e")))
+    readings = {
+        "true": ("arm", "time", "event", "w"),
+        "swapped": (1 - F.col("arm"), "time", "event", "w"),
+        "unweighted": ("arm", "time", "event", F.lit(1.0)),
+        "censoring": ("arm", "time", 1 - F.col("event"), "w"),
+        "inverse": ("arm", "time", "event", inverse),
+        "months": ("arm", F.col("time") / 30.4375, "event", "w"),
+    }
+    m = S.curve_mappings(c, curve, readings, 730.0)
+    return m.select("mapping", tidy("area", 4).alias("area"), tidy("gap", 5).alias("gap"), tidy("mean_error", 4).alias("mean_error"), tidy("end_error", 5).alias("end_error"), tidy("score", 3).alias("score"))

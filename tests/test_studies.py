@@ -170,3 +170,34 @@ def test_cox_survival_without_covariates_is_breslow(spark):
 def test_names():
     assert S.prefixed(["id", "W_b", "W_a", "diagnosis_year", "W_b"]) == ["W_b", "W_a", "diagnosis_year"]
     assert S.metadata_columns(["gene1", "id", "os_time", "age"], ["id"]) == ["id", "os_time", "age"]
+
+
+def test_curve_mappings_put_the_true_reading_first(spark):
+    rows = [(i, i % 2, float(1 + (i * 37) % 50), int(i % 3 > 0), 0.5 + (i % 5) / 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, arm int, time double, event int, w double")
+    from cohortforge.operators.survival import weighted_curve
+
+    truth = weighted_curve(df, ["arm"], "time", "event", "w").select("arm", "time", "survival")
+    readings = {"plain": ("arm", "time", "event", F.lit(1.0)), "swap": (1 - F.col("arm"), "time", "event", "w"), "true": ("arm", "time", "event", "w"), "late": ("arm", F.col("time") + 5, "event", "w")}
+    got = S.curve_mappings(df, truth, readings, 40.0).collect()
+    assert got[0].mapping == "true" and got[0].area < 1e-9 and got[0].gap < 1e-9 and got[0].score < 1e-7
+
+    def curve(arm, time, event, weight):
+        t, d = sorted({time(r) for r in rows if arm(r) >= 0}), {}
+        for a in (0, 1):
+            s, steps = 1.0, []
+            for x in t:
+                risk = sum(weight(r) for r in rows if arm(r) == a and time(r) >= x)
+                dead = sum(weight(r) for r in rows if arm(r) == a and time(r) == x and event(r))
+                s *= 1 - dead / risk if risk else 1
+                steps.append((x, s))
+            d[a] = steps
+        return d
+
+    value = lambda steps, x: next((s for t, s in reversed(steps) if t <= x), 1.0)
+    base = curve(lambda r: r[1], lambda r: r[2], lambda r: r[3], lambda r: r[4])
+    late = curve(lambda r: r[1], lambda r: r[2] + 5, lambda r: r[3], lambda r: r[4])
+    grid = [i / 2 for i in range(80)]  # all steps are at whole numbers
+    off = {a: [value(late[a], x) - value(base[a], x) for x in grid] for a in (0, 1)}
+    row = next(r for r in got if r.mapping == "late")
+    assert row.area == pytest.approx(sum(abs(v) / 2 for a in off for v in off[a])) and row.mean_error == pytest.approx(sum(abs(sum(off[a])) / 2 for a in off))
