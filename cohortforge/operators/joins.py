@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -66,16 +67,20 @@ def bridge(left: DataFrame, links: DataFrame, right: DataFrame, left_key: str, r
 def step_lookup(points: DataFrame, curve: DataFrame, by: Sequence[str], at: str, time: str, value: str, before: float = 1.0, left_limit: bool = False) -> DataFrame:
     """The curve's last value at each point, or just before it with ``left_limit``; ``before`` ahead of the first step.
 
-    Points and steps are stacked and values carried forward, inside pieces of the time
-    axis and from piece to piece, so a group is neither multiplied nor one task.
+    The distinct points and the steps are stacked and values carried forward, inside pieces of the time
+    axis and from piece to piece; rows then join their point, so that any share of them may
+    stand at one.
     """
     rank = F.lit(0 if left_limit else 1)
+    moments = points.groupBy(*by, F.col(at).cast("double").alias("_t")).agg(F.count("*").alias("_n"))
+    p = moments.select(*by, "_t", rank.alias("_o"), F.lit(None).cast("double").alias("_v"), F.lit(True).alias("_point"))
+    c = curve.select(*by, F.col(time).cast("double").alias("_t"), (F.lit(1) - rank).alias("_o"), F.col(value).cast("double").alias("_v"), F.lit(False).alias("_point"))
+    stacked = p.union(c)
+    held = running(stacked, by, "_t", {"_held": ("last", F.col("_v"))}, ties=["_o"]).where("_point")
+    held = held.select(*(F.col(b).alias(f"_of_{b}") for b in by), F.col("_t").alias("_of_t"), "_held")
+    match = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by), F.col(at).cast("double").eqNullSafe(F.col("_of_t")))
     extra = [c for c in points.columns if c not in (*by, at)]
-    p = points.select(*by, F.col(at).cast("double").alias("_t"), rank.alias("_o"), F.lit(None).cast("double").alias("_v"), F.struct(F.lit(1).alias("_one"), *extra).alias("_row"), F.col(at))
-    row_type = p.schema["_row"].dataType
-    c = curve.select(*by, F.col(time).cast("double").alias("_t"), (F.lit(1) - rank).alias("_o"), F.col(value).cast("double").alias("_v"), F.lit(None).cast(row_type).alias("_row"), F.lit(None).cast(points.schema[at].dataType).alias(at))
-    held = running(p.union(c), by, "_t", {"_held": ("last", F.col("_v"))}, ties=["_o"], cuts=cut_points(points, F.col(at).cast("double"))[0]).where("_row is not null")
-    return held.select(*by, at, *(F.col(f"_row.{e}").alias(e) for e in extra), F.coalesce("_held", F.lit(before)).alias(value))
+    return points.join(held, match, "left").select(*by, at, *extra, F.coalesce("_held", F.lit(before)).alias(value))
 
 
 def at_risk(rows: DataFrame, by: Sequence[str], start: str, stop: str, weight: str, event: str) -> DataFrame:

@@ -65,10 +65,10 @@ def concordance(df: DataFrame, by: Sequence[str], time: str, event: str, risk: s
         cells = bare.withColumn("w", F.col("d").cast("double"))
     cells = cells.where("t is not null and r is not null and not isnan(t) and not isnan(r)")
     placed = cells.select(*by, "t", "r", "n", "d", "w")
-    for c, cuts in zip("tr", cut_points(df, F.col(time).cast("double"), F.col(risk).cast("double"), pieces=CONCORDANCE_PIECES), strict=True):
+    for c, cuts in zip("tr", cut_points(df, F.col(time).cast("double"), F.col(risk).cast("double"), least=64, most=CONCORDANCE_PIECES), strict=True):
         for strict in (False, True):
             placed = with_piece(placed, F.col(c), cuts, f"_{c}{int(strict)}", strict)
-    placed = placed.select(*by, "t", "r", "n", "d", "w", *((F.col(f"_{c}0") + F.col(f"_{c}1")).alias(f"_p{c}") for c in "tr"))
+    placed = placed.select(*by, "t", "r", "n", "d", "w", *((F.col(f"_{c}0") + F.col(f"_{c}1")).alias(f"_p{c}") for c in "tr")).persist()
     kinds = dict(placed.dtypes)
     keys = ", ".join(f"`{b}` {kinds[b]}" for b in by)
     out = f"{keys + ', ' if by else ''}_g double, _w double, _p double"
@@ -108,11 +108,14 @@ def concordance(df: DataFrame, by: Sequence[str], time: str, event: str, risk: s
 
     grid = placed.groupBy(*by, "_pt", "_pr").agg(*(F.sum(c).cast("double").alias(c) for c in "ndw"), F.min("r").alias("low"), F.max("r").alias("high"))
     each = grid.groupBy(*by).applyInPandas(across, out).union(within("_pt", "t")).union(within("_pr", "_pt"))
-    return each.groupBy(*by).agg(F.sum("_g").alias("_g"), F.sum("_w").alias("_w"), F.sum("_p").cast("long").alias("pairs")).select(*by, "pairs", ratio("_g", "_w").alias("c_index"))
+    out = each.groupBy(*by).agg(F.sum("_g").alias("_g"), F.sum("_w").alias("_w"), F.sum("_p").cast("long").alias("pairs")).select(*by, "pairs", ratio("_g", "_w").alias("c_index"))
+    found = out.collect()  # a row for each group; the cells, which four branches read, are let go
+    placed.unpersist()
+    return df.sparkSession.createDataFrame(found, out.schema)
 
 
 #: Pieces of time and of risk, a square; the grid of a group is four times its square at most.
-CONCORDANCE_PIECES = 64
+CONCORDANCE_PIECES = 1024
 
 
 def whole_pieces(frames, heads: Sequence[str], rows: int = 1 << 16):

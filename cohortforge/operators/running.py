@@ -12,15 +12,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Pieces of an order: a square, so that a value finds its piece in two steps of its root.
-PIECES = 64
+#: Pieces of an order, by the number of rows: squares, so that a value finds its piece in two steps of the root.
+#: So many rows go to a piece as far as the pieces go; where one holds all there is no cutting.
+PIECES = (64, 256, 1024, 4096)
+PIECE_ROWS = 250_000
 
 
-def cut_points(df: DataFrame, *orders: Column, pieces: int = PIECES) -> list[list[float]]:
-    """``pieces`` - 1 approximate quantiles of each order; one job, of which the driver gets a row."""
-    at = ", ".join(f"{k / pieces!r}D" for k in range(1, pieces))
+def cut_points(df: DataFrame, *orders: Column, least: int = 1, most: int = PIECES[-1]) -> list[list[float]]:
+    """Approximate quantiles of each order that cut it into pieces, none for a table of up to ``PIECE_ROWS`` rows if ``least`` is 1.
+
+    One job, of which the driver gets a row, and a second for tables that need more than the fewest pieces.
+    """
     asked = df.select(*(c.alias(f"c{i}") for i, c in enumerate(orders)))
-    return [list(cuts or []) for cuts in asked.agg(*(F.expr(f"percentile_approx(c{i}, array({at}), 2048)") for i in range(len(orders)))).first()]
+
+    def quantiles(pieces: int) -> list:
+        at = ", ".join(f"{k / pieces!r}D" for k in range(1, pieces))
+        return list(asked.agg(F.count("*"), *(F.expr(f"percentile_approx(c{i}, array({at}), {max(2048, 4 * pieces)})") for i in range(len(orders)))).first())
+
+    n, *cuts = quantiles(PIECES[0])
+    if n <= PIECE_ROWS and least == 1:
+        return [[] for _ in orders]
+    wanted = next((p for p in PIECES if p >= most or n <= p * PIECE_ROWS), most)
+    if wanted > PIECES[0]:
+        _, *cuts = quantiles(min(wanted, most))
+    return [list(c or []) for c in cuts]
 
 
 def with_piece(df: DataFrame, x: Column, cuts: Sequence[float], name: str, strict: bool = False) -> DataFrame:
@@ -46,12 +61,17 @@ def running(df: DataFrame, by: Sequence[str], order: str, folds: Mapping[str, tu
     only.  So a group of any length and any spread of values is many tasks, where one
     window over it would be one.  Rows of equal ``order`` stand in one piece, in the
     order of ``ties``.  A sum of nothing is zero, any other fold of nothing null.
-    ``cuts``: the cut points, where a table nearer to the source has given them already;
-    they decide how rows are spread, never the result.
+    ``cuts``: the cut points, where a table nearer to the source, of at least as many rows, has given them already;
+    they decide how rows are spread, never the result.  Without any, the table is small: one window over each group.
     """
     key = F.col(order).cast("double")
     sign = -1.0 if descending else 1.0
-    cut = with_piece(df, key, cut_points(df, key)[0] if cuts is None else cuts, "_piece").withColumn("_piece", F.col("_piece") * int(sign))
+    cuts = cut_points(df, key)[0] if cuts is None else cuts
+    if not cuts:
+        whole = W.partitionBy(*(by or [F.lit(1)])).orderBy(key * sign, *(F.desc(t) if descending else F.asc(t) for t in ties)).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+        fold = {n: F.last(c, ignorenulls=True).over(whole) if kind == "last" else F.coalesce(F.sum(c.cast("double")).over(whole), F.lit(0.0)) if kind == "sum" else _FOLDS[kind](c).over(whole) for n, (kind, c) in folds.items()}
+        return df.withColumns(fold)  # PIECE_ROWS rows at most
+    cut = with_piece(df, key, cuts, "_piece").withColumn("_piece", F.col("_piece") * int(sign))
     cut = cut.withColumns({f"_x_{n}": c.cast("double") if kind == "sum" else c for n, (kind, c) in folds.items()})
     place = F.struct(key.alias("_k"), *(F.col(t) for t in ties))
     end_by = F.min_by if descending else F.max_by

@@ -19,12 +19,15 @@ from cohortforge.plans.shapes import COHORT, OUTCOMES, RECORDS, REPLICATES, STAR
 # ---- survival
 
 
-@query("sv_interval_grid", "SELECT k AS interval, k * 90.0::DOUBLE AS start, least((k + 1) * 90.0::DOUBLE, 730.0::DOUBLE) AS \"end\" FROM (SELECT CAST(unnest(range(0, 9)) AS INTEGER) AS k)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1).select(F.explode(V.interval_grid(730.0, 90.0)).alias("x")).select("x.*")
+_GRID = "grid AS (SELECT CAST(k AS INTEGER) AS interval, k * 90.0::DOUBLE AS start, least((k + 1) * 90.0::DOUBLE, 730.0::DOUBLE) AS stop FROM (SELECT unnest(range(0, 9)) AS k))"
 
 
-_GRID = "grid AS (SELECT CAST(k AS INTEGER) AS interval, k * 90.0::DOUBLE AS start, least((k + 1) * 90.0::DOUBLE, 730.0::DOUBLE) AS stop FROM (SELECT unnest(range(0, 9)) AS k))"
+@query("sv_interval_grid", f"WITH {COHORT}, {_GRID} SELECT interval, start, stop AS \"end\", count(*) FILTER (time >= start) AS at_risk, round(sum(greatest(least(time, stop) - start, 0)), 3) AS lived FROM c, grid GROUP BY 1, 2, 3")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The grid with the subjects that are there at the start of each interval, and the time that they live in it."""
+    each = cohort(spark, d).select("time", F.explode(V.interval_grid(730.0, 90.0)).alias("x")).select("time", "x.*")
+    lived = F.greatest(F.least("time", "end") - F.col("start"), F.lit(0.0))
+    return each.groupBy("interval", "start", "end").agg(F.count_if(F.col("time") >= F.col("start")).alias("at_risk"), tidy(F.sum(lived), 3).alias("lived"))
 
 
 @query("sv_person_period", f"WITH {COHORT}, {_GRID} SELECT interval, arm, count(*) AS n, CAST(sum(CASE WHEN event = 0 AND time BETWEEN start AND stop THEN 1 ELSE 0 END) AS BIGINT) AS censored, CAST(sum(CASE WHEN event = 1 AND time BETWEEN start AND stop THEN 1 ELSE 0 END) AS BIGINT) AS events FROM c JOIN grid ON time >= start GROUP BY 1, 2")

@@ -355,9 +355,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return S.pair_overlaps(s, "g", "feature", known).select("a", "b", tidy("expected").alias("expected"), tidy("beyond_chance").alias("beyond_chance"))
 
 
-@query("st_hypergeom", "SELECT k, round(list_sum(list_transform(range(k, 21), lambda i: exp(lgamma(31) - lgamma(i + 1) - lgamma(31 - i) + lgamma(71) - lgamma(21 - i) - lgamma(71 - 20 + i) - (lgamma(101) - lgamma(21) - lgamma(81))))), 6) AS p FROM (SELECT unnest(range(1, 15)) AS k)")
+@query(
+    "st_hypergeom",
+    """WITH b AS (SELECT p_brand, count(*) AS drawn, count(*) FILTER (p_size <= 15) AS overlap FROM part GROUP BY 1), t AS (SELECT count(*) AS population, count(*) FILTER (p_size <= 15) AS marked FROM part)
+ SELECT p_brand, drawn, overlap, round(CASE WHEN overlap <= 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(greatest(overlap, drawn + marked - population), least(marked, drawn) + 1), lambda i: exp(lgamma(marked + 1) - lgamma(i + 1) - lgamma(marked - i + 1) + lgamma(population - marked + 1) - lgamma(drawn - i + 1) - lgamma(population - marked - drawn + i + 1) - lgamma(population + 1) + lgamma(drawn + 1) + lgamma(population - drawn + 1))))) END, 6) AS p FROM b, t""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1, 15).select(F.col("id").alias("k"), tidy(C.hypergeometric_tail("id", F.lit(100), F.lit(30), F.lit(20))).alias("p"))
+    """The chance of as many small parts in each brand."""
+    part = table(spark, d, "part")
+    small = F.count_if(F.col("p_size") <= 15)
+    whole = part.agg(F.count("*").alias("population"), small.alias("marked"))
+    brands = part.groupBy("p_brand").agg(F.count("*").alias("drawn"), small.alias("overlap")).join(F.broadcast(whole))  # one row
+    return brands.select("p_brand", "drawn", "overlap", tidy(C.hypergeometric_tail("overlap", "population", "marked", "drawn")).alias("p"))
 
 
 @query(
@@ -454,10 +463,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return A.impute_scale(t, F.pmod("k", F.lit(5)) != 0, ["x"]).select("k", tidy("x").alias("x"))
 
 
-@query("prj_status_5y", f"WITH {COHORT} SELECT id, CASE WHEN time > 1095 THEN 'alive' WHEN event = 1 THEN 'death' ELSE 'censored' END AS status FROM c")
+@query("prj_status_5y", f"WITH {COHORT}, k AS (SELECT id, event, CASE WHEN id % 7 <> 0 THEN time - id % 40 END AS time FROM c) SELECT id, CASE WHEN time IS NULL OR time < 0 THEN 'invalid' WHEN time > 1095 THEN 'alive' WHEN event = 1 THEN 'death' ELSE 'censored' END AS status FROM k")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """Times counted from a later day, so that some lie before it; a seventh has none."""
     status = F.when(F.col("time").isNull() | (F.col("time") < 0), "invalid").when(F.col("time") > 1095, "alive").when(F.col("event") == 1, "death").otherwise("censored")
-    return cohort(spark, d).select("id", status.alias("status"))
+    later = F.when(F.pmod("id", F.lit(7)) != 0, F.col("time") - F.pmod("id", F.lit(40)))
+    return cohort(spark, d).withColumn("time", later).select("id", status.alias("status"))
 
 
 @query("prj_bins", "SELECT o_orderkey, CASE WHEN y <= 1993 THEN 'early' WHEN y <= 1996 THEN 'middle' ELSE 'late' END AS era FROM (SELECT o_orderkey, year(o_orderdate) AS y FROM orders)")

@@ -223,11 +223,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return S.assayability(m, m.where("p_partkey % 2 = 0"), ["modality"], "symbol").withColumn("share", tidy("share"))
 
 
-@query("xo_probe_mapping", "SELECT upper(s_name) AS probe, 'G' || s_nationkey AS genes, CAST(1 AS BIGINT) AS n_genes FROM supplier WHERE s_suppkey % 3 = 0")
+@query(
+    "xo_probe_mapping",
+    """WITH l AS (SELECT DISTINCT l_suppkey, 'B' || split_part(p_brand, '#', 2) AS gene FROM lineitem JOIN part ON p_partkey = l_partkey)
+ SELECT upper(s_name) AS probe, string_agg(gene, ' | ' ORDER BY gene) AS genes, count(gene) AS n_genes FROM supplier JOIN l ON l_suppkey = s_suppkey GROUP BY s_name""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as probes, the brands that they deliver as genes, several for each; one row of annotation a supplier and brand."""
+    brands = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("b"), F.split("p_brand", "#")[1]).alias("g"))
+    sold = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("s_suppkey")).join(brands, "l_partkey").select("s_suppkey", "g").distinct()
     s = table(spark, d, "supplier")
-    notes = s.select(F.col("s_suppkey").alias("row"), F.lower("s_name").alias("probe_id"), F.concat(F.lit("g"), F.col("s_nationkey").cast("string"), F.lit("; ?")).alias("Gene_Symbol"))
-    return S.map_by_best_column(notes, s.where("s_suppkey % 3 = 0"), "s_name")
+    notes = sold.join(s, "s_suppkey").select(F.xxhash64("s_suppkey", "g").alias("row"), F.lower("s_name").alias("probe_id"), F.concat(F.col("g"), F.lit("; ?")).alias("Gene_Symbol"))
+    return S.map_by_best_column(notes, s, "s_name")
 
 
 @query("rs_truths", f"WITH {OUTCOMES} SELECT arm, round(avg(mu1 - mu0), 6) AS average, round(sum(e * (mu1 - mu0)) / sum(e), 6) AS treated, round(sum(e * (1 - e) * (mu1 - mu0)) / sum(e * (1 - e)), 6) AS overlap, round(sum(e * (1 - e) * (mu1 - mu0)) / sum(e * (1 - e)) - avg(mu1 - mu0), 6) AS drift FROM o GROUP BY 1")

@@ -18,6 +18,39 @@ from cohortforge.operators import resample as R
 from cohortforge.operators import survival as V
 
 
+@pytest.fixture(autouse=True)
+def small_pieces(monkeypatch):
+    """Orders are cut into pieces here, as those of large tables are; the queries run without."""
+    from cohortforge.operators import running
+
+    monkeypatch.setattr(running, "PIECE_ROWS", 20)
+
+
+def test_lookup_where_most_rows_stand_at_one_time(spark):
+    from cohortforge.operators.joins import step_lookup
+
+    points = [(i, "a" if i % 3 else None, 7.0 if i % 10 else float(i)) for i in range(300)] + [(999, "a", None)]
+    curve = [(g, float(t), t / 100) for g in ("a", None) for t in range(3, 200, 7)]
+    df, steps = spark.createDataFrame(points, "id int, g string, t double"), spark.createDataFrame(curve, "g string, time double, v double")
+    for left in (False, True):
+        got = {r.id: r.v for r in step_lookup(df, steps, ["g"], "t", "time", "v", before=-1.0, left_limit=left).collect()}
+        want = lambda t: max((v for g, x, v in curve if t is not None and (x < t if left else x <= t)), default=-1.0)  # noqa: B023, E731
+        assert got == {i: want(t) for i, _, t in points}
+
+
+def test_pieces_follow_the_rows(spark, monkeypatch):
+    from cohortforge.operators import running
+
+    df = spark.range(3000).withColumn("x", F.col("id") * 1.5)
+    monkeypatch.setattr(running, "PIECE_ROWS", 10)
+    assert len(running.cut_points(df, F.col("x"))[0]) == 1023
+    monkeypatch.setattr(running, "PIECE_ROWS", 100)
+    assert len(running.cut_points(df, F.col("x"))[0]) == 63
+    monkeypatch.setattr(running, "PIECE_ROWS", 3000)
+    assert running.cut_points(df, F.col("x")) == [[]] and len(running.cut_points(df, F.col("x"), least=64)[0]) == 63
+
+
+
 def test_no_events_gives_the_horizon(spark):
     rows = spark.createDataFrame([(0, 1.0, 0, 0.0, 10.0, "a"), (0, 2.0, 0, 0.0, 10.0, "b")], "arm int, w double, event int, start double, stop double, clone string")
     curve = V.counting_curve(rows, ["arm"], "start", "stop", "event", "w")
