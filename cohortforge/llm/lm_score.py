@@ -3,10 +3,10 @@
 Every word of the corpus is placed by the exchange criterion.  The commonest words and
 the endings of the others are exchanged one by one on the driver, which gives the
 classes to start from.  Then all other words move at once, in Spark, each to the class
-that most raises the likelihood of the class bigrams, by the classes to its left and
-right over the whole corpus: first the head words, whose class every task then holds,
-then the rest, from all places where they stand.  Only a word that was never learned
-from has the class of its ending.
+that most raises the likelihood of the class bigrams, by the starting classes to its left
+and right over the whole corpus.  Head words are placed from counts that tasks hold, the rest from
+all places where they stand, by the same tables, so results do not depend on how many
+words a task holds.  Only a word that was never learned from has the class of its ending.
 """
 
 from __future__ import annotations
@@ -99,8 +99,10 @@ class Items:
         return self.by_ending.get(ending(word), _REST) if found is None else found
 
 
-def choose_items(counts: DataFrame, head: list[bytes], n: int) -> Items:
-    words = [w for w in head if w != END][: n // 2]
+def choose_items(counts: DataFrame, n: int) -> Items:
+    """The n / 2 commonest words, by name among equals, and the commonest endings of all others."""
+    common = counts.where(F.col("word") != END.decode()).orderBy(F.desc("c"), "word").limit(n // 2)
+    words = [r["word"].encode() for r in common.collect()]  # items
     own = set(words) | {END}
 
     def run(batches):
@@ -226,7 +228,7 @@ def place(contexts: np.ndarray, c: np.ndarray, bigrams: np.ndarray) -> np.ndarra
     gain = contexts @ np.concatenate((log_g.T, log_g), axis=0) - 2 * c[:, None] * np.log(g.sum(axis=1))[None, :]
     if gain.shape[1] > 1:
         gain[:, 0] = -np.inf
-    return gain.argmax(axis=1)
+    return gain.round(9).argmax(axis=1)
 
 
 def class_bigrams(cls: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
@@ -243,7 +245,8 @@ class Classes:
         self.items, self.cls, self.k = items, cls, int(cls.max()) + 1
         self.index = {w: i for i, w in enumerate(head)}
         self.head_c = head_c
-        self.head_class = np.array([cls[items.item(w)] for w in head], dtype=np.int64)
+        #: Classes of the head words to start from, and those that they get.
+        self.seed = self.head_class = np.array([cls[items.item(w)] for w in head], dtype=np.int64)
         self.end_at = self.index.get(END, -1)
         #: Head words that were exchanged one by one, and the end.
         self.settled = np.array([w in items.of for w in head], dtype=bool)
@@ -312,14 +315,14 @@ def head_classes(learned: DataFrame, start: Classes, bigrams: np.ndarray) -> np.
     return out
 
 
-_TAIL = "kind int, d long, h long, pos int, word string, left int, right int, learned boolean, pair int, n long"
+_TAIL = "kind int, d long, h long, pos int, word string, left int, right int, beside int, learned boolean, pair int, n long"
 
 
 def _scan(texts: DataFrame, classes: Classes) -> DataFrame:
     """Kind 0: class bigrams of neighbouring head words (pair, n) in the texts learned from.  Kind 1: every place of another word.
 
     ``left`` and ``right`` are the classes beside it; of a neighbour that is no head word
-    either, minus one less the class of its ending.
+    either, minus one less the class of its ending.  ``beside``: the starting classes to the left, times k, and to the right.
     """
     k = classes.k
     held = texts.sparkSession.sparkContext.broadcast(classes)
@@ -330,7 +333,7 @@ def _scan(texts: DataFrame, classes: Classes) -> DataFrame:
         pairs = np.zeros(k * k, dtype=np.int64)
         for batch in chunks(batches, 1 << 20):
             d, h, learned = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "h", "learned"))
-            rows, pos, word, left, right = [], [], [], [], []
+            rows, pos, word, left, right, beside = [], [], [], [], [], []
             for row, words in enumerate(words_of(batch)):
                 at, of = model.tokens(words)
                 known = np.append(at[:-1] >= 0, True)
@@ -345,15 +348,19 @@ def _scan(texts: DataFrame, classes: Classes) -> DataFrame:
                     word += [words[i] for i in tail.tolist()]
                     left.append(np.where(known_before[tail], before[tail], -1 - before[tail]))
                     right.append(np.where(known[tail + 1], of[tail + 1], -1 - of[tail + 1]))
+                    seed = of.copy()
+                    inner = np.flatnonzero(at[:-1] >= 0)
+                    seed[inner] = model.seed[at[inner]]
+                    beside.append(np.concatenate(([model.cls[_END]], seed[:-1]))[tail] * k + seed[tail + 1])
             if rows:
                 row = np.concatenate(rows)
                 n = len(row)
-                columns = [np.ones(n, np.int32), d[row], h[row], np.concatenate(pos).astype(np.int32), None, np.concatenate(left).astype(np.int32), np.concatenate(right).astype(np.int32), learned[row], np.zeros(n, np.int32), np.zeros(n, np.int64)]
+                columns = [np.ones(n, np.int32), d[row], h[row], np.concatenate(pos).astype(np.int32), None, np.concatenate(left).astype(np.int32), np.concatenate(right).astype(np.int32), np.concatenate(beside).astype(np.int32), learned[row], np.zeros(n, np.int32), np.zeros(n, np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()).cast(pa.string()) if c is None else pa.array(c) for c in columns], names)
         used = np.flatnonzero(pairs)
         if len(used):
             n, none = len(used), np.zeros(len(used), np.int64)
-            columns = [np.zeros(n, np.int32), none, none, none.astype(np.int32), pa.array([""] * n), none.astype(np.int32), none.astype(np.int32), np.zeros(n, bool), used.astype(np.int32), pairs[used]]
+            columns = [np.zeros(n, np.int32), none, none, none.astype(np.int32), pa.array([""] * n), none.astype(np.int32), none.astype(np.int32), none.astype(np.int32), np.zeros(n, bool), used.astype(np.int32), pairs[used]]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
     return texts.select("d", "h", "learned", "text").mapInArrow(run, _TAIL)
@@ -380,15 +387,15 @@ def _placed(tail: DataFrame, classes: Classes, bigrams: np.ndarray) -> DataFrame
             word = table.column("word").combine_chunks()
             code = word.dictionary_encode()
             of, names = code.indices.to_numpy(), code.dictionary.to_pylist()
-            left, right, learned = (table.column(c).to_numpy() for c in ("left", "right", "learned"))
-            bare = lambda x: np.where(x < 0, -1 - x, x)
+            beside, learned = (table.column(c).to_numpy() for c in ("beside", "learned"))
             c = np.bincount(of[learned], minlength=len(names))
             contexts = np.zeros((len(names), 2 * k))
-            np.add.at(contexts, (of[learned], bare(right[learned])), 1)
-            np.add.at(contexts, (of[learned], k + bare(left[learned])), 1)
+            np.add.at(contexts, (of[learned], beside[learned] % k), 1)
+            np.add.at(contexts, (of[learned], k + beside[learned] // k), 1)
             found = place(contexts, c, bigrams)
-            for i in np.flatnonzero(c == 0).tolist():
-                found[i] = model.cls[model.items.item(names[i].encode())]
+            for i, name in enumerate(names):
+                if not c[i] or name.encode() in model.items.of:  # never learned from, or exchanged one by one
+                    found[i] = model.cls[model.items.item(name.encode())]
             lead = np.zeros(len(of), np.int64)
             first = np.unique(of, return_index=True)[1]
             lead[first] = c
@@ -460,15 +467,16 @@ def score(docs: DataFrame, train: Column, head_size: int = HEAD, n_items: int =
     counts = materialise(word_counts(learned))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
     head, head_c, _ = head_words(counts, head_size)
-    items = choose_items(counts, head, n_items)
+    items = choose_items(counts, n_items)
     pairs = item_bigrams(learned, items)
     cls = exchange_clusters(pairs, classes, SWEEPS)
     start = Classes(items, cls, head, head_c)
     k = start.k
-    start.head_class = head_classes(learned, start, class_bigrams(cls, pairs))
+    first = class_bigrams(cls, pairs)
+    start.head_class = head_classes(learned, start, first)
     scanned = materialise(_scan(texts, start))
     near = _bigram_table(scanned.where("kind = 0"), k)
-    placed = materialise(_placed(scanned.where("kind = 1"), start, near))
+    placed = materialise(_placed(scanned.where("kind = 1"), start, first))
     ordered = materialise(_in_order(placed, k))
     seen = ordered.where("learned")
     both = seen.select(F.col("into").alias("pair"), F.col("times").alias("n")).union(seen.where("out >= 0").select(F.col("out").alias("pair"), F.col("times").alias("n")))
