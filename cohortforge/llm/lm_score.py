@@ -12,7 +12,7 @@ words a task holds.  Only a word that was never learned from has the class of it
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -251,15 +251,30 @@ class Classes:
         #: Head words that were exchanged one by one, and the end.
         self.settled = np.array([w in items.of for w in head], dtype=bool)
 
-    def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Head index (-1: none) and class (without one: of the ending) of each word of a text, then of the end."""
-        get, items, cls = self.index.get, self.items, self.cls
-        at = np.array([get(w, -1) for w in words] + [self.end_at], dtype=np.int64)
+        self.tail_class: dict[bytes, int] = {}
+
+    def class_of(self, word: bytes) -> int:
+        """Starting class of a word that is no head word; a task remembers some."""
+        found = self.tail_class.get(word)
+        if found is None:
+            if len(self.tail_class) > 200_000:
+                self.tail_class.clear()
+            found = self.tail_class[word] = int(self.cls[self.items.item(word)])
+        return found
+
+    def tokens(self, texts: list[list[bytes]], tails: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Words of all texts, an end behind each text; head index (-1: none) and class (without one the starting class, if ``tails``) of each; where ends stand."""
+        flat = list(chain.from_iterable(chain.from_iterable((words, (END,)) for words in texts)))
+        ends = np.cumsum([len(words) + 1 for words in texts]) - 1
+        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
         of = self.head_class[at] if len(self.head_class) else np.zeros(len(at), np.int64)
-        of[-1] = cls[_END]
-        for i in np.flatnonzero(at[:-1] < 0).tolist():
-            of[i] = cls[items.item(words[i])]
-        return at, of
+        of[ends] = self.cls[_END]
+        if tails:
+            none = at < 0
+            none[ends] = False
+            none = np.flatnonzero(none)
+            of[none] = np.fromiter((self.class_of(flat[i]) for i in none.tolist()), np.int64, len(none))
+        return flat, at, of, ends
 
 
 #: Parts that the contexts of head words are dealt out in.
@@ -273,18 +288,15 @@ def head_classes(learned: DataFrame, start: Classes, bigrams: np.ndarray) -> np.
 
     def run(batches):
         model = held.value
-        total = np.zeros(n * 2 * k, dtype=np.int32)
+        total, one = np.zeros(n * 2 * k, dtype=np.int32), np.int32(1)
         for batch in chunks(batches, 1 << 20):
-            keys = []
-            for words in words_of(batch):
-                at, of = model.tokens(words)
-                left = np.concatenate(([model.cls[_END]], of[:-2]))
-                mine = at[:-1]
-                some = mine >= 0
-                keys += [mine[some] * (2 * k) + of[1:][some], mine[some] * (2 * k) + k + left[: len(mine)][some]]
-            if keys:
-                key, times = np.unique(np.concatenate(keys), return_counts=True)
-                total[key] += times.astype(np.int32)
+            _, at, of, ends = model.tokens(list(words_of(batch)))
+            some = at >= 0
+            some[ends] = False
+            mine = np.flatnonzero(some)
+            left = np.concatenate(([model.cls[_END]], of[:-1]))  # ahead of a text stands the end of the one before
+            np.add.at(total, at[mine] * (2 * k) + of[mine + 1], one)
+            np.add.at(total, at[mine] * (2 * k) + k + left[mine], one)
         used = np.flatnonzero(total)
         for at in range(0, len(used), 1 << 20):
             key = used[at : at + (1 << 20)]
@@ -333,30 +345,28 @@ def _scan(texts: DataFrame, classes: Classes) -> DataFrame:
         pairs = np.zeros(k * k, dtype=np.int64)
         for batch in chunks(batches, 1 << 20):
             d, h, learned = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "h", "learned"))
-            rows, pos, word, left, right, beside = [], [], [], [], [], []
-            for row, words in enumerate(words_of(batch)):
-                at, of = model.tokens(words)
-                known = np.append(at[:-1] >= 0, True)
-                before, known_before = np.concatenate(([model.cls[_END]], of[:-1])), np.concatenate(([True], known[:-1]))
-                if learned[row]:
-                    both = known & known_before
-                    pairs += np.bincount(before[both] * k + of[both], minlength=k * k)
-                tail = np.flatnonzero(~known)
-                if len(tail):
-                    rows.append(np.full(len(tail), row))
-                    pos.append(tail)
-                    word += [words[i] for i in tail.tolist()]
-                    left.append(np.where(known_before[tail], before[tail], -1 - before[tail]))
-                    right.append(np.where(known[tail + 1], of[tail + 1], -1 - of[tail + 1]))
-                    seed = of.copy()
-                    inner = np.flatnonzero(at[:-1] >= 0)
-                    seed[inner] = model.seed[at[inner]]
-                    beside.append(np.concatenate(([model.cls[_END]], seed[:-1]))[tail] * k + seed[tail + 1])
-            if rows:
-                row = np.concatenate(rows)
-                n = len(row)
-                columns = [np.ones(n, np.int32), d[row], h[row], np.concatenate(pos).astype(np.int32), None, np.concatenate(left).astype(np.int32), np.concatenate(right).astype(np.int32), np.concatenate(beside).astype(np.int32), learned[row], np.zeros(n, np.int32), np.zeros(n, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()).cast(pa.string()) if c is None else pa.array(c) for c in columns], names)
+            texts_of = list(words_of(batch))
+            flat, at, of, ends = model.tokens(texts_of)
+            size = np.array([len(words) + 1 for words in texts_of])
+            row = np.repeat(np.arange(len(size)), size)
+            known = at >= 0
+            known[ends] = True
+            before, known_before = np.concatenate(([model.cls[_END]], of[:-1])), np.concatenate(([True], known[:-1]))
+            both = known & known_before & learned[row]
+            pairs += np.bincount(before[both] * k + of[both], minlength=k * k)
+            tail = np.flatnonzero(~known)
+            if len(tail):
+                seed = of.copy()
+                inner = at >= 0
+                inner[ends] = False
+                seed[inner] = model.seed[at[inner]]
+                beside = np.concatenate(([model.cls[_END]], seed[:-1]))[tail] * k + seed[tail + 1]
+                left = np.where(known_before[tail], before[tail], -1 - before[tail])
+                right = np.where(known[tail + 1], of[tail + 1], -1 - of[tail + 1])
+                pos = tail - (ends - size + 1)[row[tail]]
+                n, own = len(tail), row[tail]
+                columns = [np.ones(n, np.int32), d[own], h[own], pos.astype(np.int32), None, left.astype(np.int32), right.astype(np.int32), beside.astype(np.int32), learned[own], np.zeros(n, np.int32), np.zeros(n, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([flat[i] for i in tail.tolist()], pa.binary()).cast(pa.string()) if c is None else pa.array(c) for c in columns], names)
         used = np.flatnonzero(pairs)
         if len(used):
             n, none = len(used), np.zeros(len(used), np.int64)
@@ -492,17 +502,16 @@ def score(docs: DataFrame, train: Column, head_size: int = HEAD, n_items: int =
         model, transition, divisor = held.value
         log_c = np.log10(model.head_c + 1.0)
         for batch in chunks(batches, 1 << 20):
-            size, known, base, own = [], [], [], []
-            for words in words_of(batch):
-                at, of = model.tokens(words)
-                inside = at >= 0
-                here = np.append(inside[:-1], True)
-                before = np.concatenate(([model.cls[_END]], of[:-1]))
-                both = here & np.concatenate(([True], here[:-1]))
-                size.append(len(at))
-                known.append(int(inside.sum()))
-                base.append(float(log_c[at[inside]].sum()))
-                own.append(float(transition[before[both], of[both]].sum() - divisor[of[here]].sum()))
+            _, at, of, ends = model.tokens(list(words_of(batch)), tails=False)
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            inside = at >= 0
+            here = inside.copy()
+            here[ends] = True
+            before = np.concatenate(([model.cls[_END]], of[:-1]))
+            both = here & np.concatenate(([True], here[:-1]))
+            per = np.where(both, transition[before, of], 0.0) - np.where(here, divisor[of], 0.0)
+            add = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
+            size, known, base, own = ends - starts + 1, add(inside.astype(np.int64)), add(np.where(inside, log_c[at] if len(log_c) else 0.0, 0.0)), add(per)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "d", "h")), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], ["doc_id", "d", "h", "n_tokens", "known", "base", "own"])
 
     def tails(batches):
