@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortforge.functions.columns import finite, numeric, ratio
+from cohortforge.functions.status import level_of
 from cohortforge.operators.aggregates import balance_table
 
 
@@ -54,6 +55,64 @@ def baseline_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> DataFram
     return df.select(key, *(numeric(c).alias(f"W_{c}") for c in keep), *(numeric(c).isNull().cast("int").alias(f"W_{c}_missing") for c in gaps))
 
 
+#: The named baseline features: how each is read and the parts of column names that it is taken from; fixed values of the data dictionaries.
+#: A number comes from the first column that holds the first part found; a level from all columns of 0/1 flags that hold every part.
+NAMED = (
+    ("age", "number", ("age_at_index", "age_at_diagnosis", "diagnosis_age", "age.demographic")),
+    ("stage", "stage", ("ajcc_pathologic_stage",)),
+    ("T", "t", ("ajcc_pathologic_t",)),
+    ("N", "n", ("ajcc_pathologic_n",)),
+    ("M", "m", ("ajcc_pathologic_m",)),
+    ("nodes_positive", "number", ("pathology_details.lymph_nodes_positive", "lymph_nodes_positive")),
+    ("nodes_tested", "number", ("pathology_details.lymph_nodes_tested", "lymph_nodes_tested")),
+    ("grade", "grade", ("grade",)),
+    ("ER", "receptor", ("ER_status",)),
+    ("PR", "receptor", ("PR_status",)),
+    ("HER2", "receptor", ("HER2_status",)),
+)
+#: Columns of a level that are none: editions of the staging system, and words with "grade" in them.
+_NO_LEVEL = {"grade": ("degrade", "upgrade"), **dict.fromkeys(("stage", "t", "n", "m"), ("staging_system", "edition"))}
+#: A grade in one column, read as a number where at least half of its rows are one.
+_GRADE_NUMBERS = ("tumor_grade", "histologic_grade", "neoplasm_histologic_grade")
+
+
+def named_features(df: DataFrame, key: str) -> tuple[DataFrame, list[tuple[str, str, list[str]]]]:
+    """The compact baseline matrix: key, W_<feature> and W_<feature>_missing of ``NAMED``, and (name, kind, source columns) of each that stays.
+
+    A level is the greatest among the flags of a row above one half, missing where none names a level.  What is empty or constant
+    is left out; of a receptor that is constant the mark of missing values too.  Treatments, outcomes and molecular columns are never read.
+    """
+    names, quoted = df.columns, lambda c: "`" + c.replace("`", "``") + "`"
+    first = lambda parts: next((c for p in parts for c in names if p.lower() in c.lower()), None)
+    graded = first(_GRADE_NUMBERS)
+    numbers = bool(graded) and (df.agg(F.avg(numeric(F.col(quoted(graded))).isNotNull().cast("double"))).first()[0] or 0.0) >= 0.5
+    built: dict[str, Column] = {}
+    manifest: list[tuple[str, str, list[str]]] = []
+    for name, kind, parts in NAMED:
+        if kind == "receptor":
+            sources = [c for c in parts if c in names]
+        elif kind == "number" or (kind == "grade" and numbers):
+            source = graded if kind == "grade" else first(parts)
+            sources = [source] if source else []
+        else:
+            sources = sorted(c for c in names if all(p in c.lower() for p in parts) and not any(p in c.lower() for p in _NO_LEVEL[kind]))
+            levels = [(c, level_of(c, kind)) for c in sources]
+            flags = [F.when(numeric(F.col(quoted(c))) > 0.5, F.lit(v)) for c, v in levels if v is not None]
+            value = F.array_max(F.array(*flags)) if flags else None
+        if kind in ("receptor", "number") or (kind == "grade" and numbers):
+            value = numeric(F.col(quoted(sources[0]))) if sources else None
+        if value is not None:
+            built |= {f"W_{name}": value, f"W_{name}_missing": value.isNull().cast("int")}
+            manifest += [(f"W_{name}", kind, sources), (f"W_{name}_missing", "missing", sources)]
+    if not built:
+        return df.select(key), []
+    wide = df.select(key, *(v.alias(n) for n, v in built.items()))
+    facts = {r["column"]: r for r in column_facts(wide, list(built)).collect()}  # a row per column
+    varies = {n for n in built if n in facts and facts[n]["n_numeric"] and facts[n]["low"] != facts[n]["high"]}
+    varies -= {f"W_{name}_missing" for name, kind, _ in NAMED if kind == "receptor" and f"W_{name}" not in varies}
+    return wide.select(key, *(n for n in built if n in varies)), [m for m in manifest if m[0] in varies]
+
+
 def frequent_features(long: DataFrame, feature: str, flag: str, least: float, most: int) -> DataFrame:
     """Features whose mean flag reaches ``least``: the ``most`` commonest, by name among equals."""
     share = long.groupBy(feature).agg(F.avg(F.col(flag).cast("double")).alias("frequency")).where(F.col("frequency") >= least)

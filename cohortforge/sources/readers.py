@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortforge.functions.columns import MISSING, numeric
+from cohortforge.functions.status import normalise_name
 
 
 def read_table(spark: SparkSession, path: str, txt_separator: str = "\t", schema: T.StructType | None = None, limit: int | None = None) -> DataFrame:
@@ -89,6 +90,23 @@ def resolve_column(names: Sequence[str], candidates: Sequence[str], tokens: Sequ
     return best[2] if best and best[0] < 0 else None
 
 
+def choose_column(names: Sequence[str], exact: Sequence[str], contains: Sequence[str] = (), excludes: Sequence[str] = ()) -> str | None:
+    """The name of the highest score, the shortest and then the first by name among equals; null if none scores.
+
+    Names are compared as ``normalise_name`` writes them.  A name scores 1,000 less its place among ``exact``, 40 for
+    each token of ``contains`` that it holds, and 20 if it begins with any; one that holds a token of ``excludes`` is out.
+    """
+    tidy = lambda words: [w for w in map(normalise_name, words) if w]
+    whole, parts, banned = [normalise_name(x) for x in exact], tidy(contains), tidy(excludes)
+    ranked = []
+    for name in names:
+        n = normalise_name(name)
+        score = (1000 - whole.index(n) if n in whole else 0) + 40 * sum(t in n for t in parts) + 20 * n.startswith(tuple(parts))
+        if score and not any(t in n for t in banned):
+            ranked.append((-score, len(name), name))
+    return min(ranked)[2] if ranked else None
+
+
 def id_column(df: DataFrame, candidates: Sequence[str], pattern: str, least: float = 0.5) -> str | None:
     """The id column: one of the candidates, else the text column whose share of matches is highest and reaches ``least``; one pass."""
     named = resolve_column(df.columns, candidates)
