@@ -42,8 +42,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _made.append(path)  # first, so that what a write that fails leaves goes with the rest
     df.write.parquet(path)
-    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
@@ -65,12 +65,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFrame]]:
-    """Delete the tables of ``materialise`` that are made inside, but those put in the list that it gives."""
+    """Delete the tables of ``materialise`` that are made inside, also after an error, but those put in the list that it gives."""
     before, kept = set(_made), list(keep)
-    yield kept
-    stay = {getattr(df, "_shared_path", None) for df in kept}
-    for path in [p for p in _made if p not in before and p not in stay]:
-        _delete(spark, path)
+    try:
+        yield kept
+    finally:
+        stay = {getattr(df, "_shared_path", None) for df in kept}
+        for path in [p for p in _made if p not in before and p not in stay]:
+            _delete(spark, path)
 
 
 def join_keys(rows: DataFrame, keys: DataFrame, on: str, count: str) -> DataFrame:

@@ -84,3 +84,20 @@ def test_one_query_for_each_number():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_tables_of_a_stage_that_fails_are_deleted(spark):
+    from pyspark.errors import PySparkException
+
+    from cohortforge.llm import shared
+
+    before = list(shared._made)
+    with shared.scratch(spark) as kept:
+        kept.append(shared.materialise(spark.range(5)))
+    with pytest.raises(PySparkException), shared.scratch(spark):
+        gone = shared.materialise(spark.range(3))
+        shared.materialise(spark.range(3).selectExpr("raise_error('no')"))
+    assert not os.path.exists(gone._shared_path)
+    assert kept[0].count() == 5
+    shared.release(kept[0])
+    assert shared._made == before
