@@ -7,6 +7,9 @@ that most raises the likelihood of the class bigrams, by the starting classes to
 and right over the whole corpus.  Head words are placed from counts that tasks hold, the rest from
 all places where they stand, by the same tables, so results do not depend on how many
 words a task holds.  Only a word that was never learned from has the class of its ending.
+
+Texts are split twice, to count their words and to number them; all else reads the numbers.
+Counts of cells and places of words travel packed, a row for each part or text.
 """
 
 from __future__ import annotations
@@ -16,12 +19,13 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortforge.llm.arrowtext import LOWER, chunks, utf8
+from cohortforge.llm.arrowtext import LOWER, SPACE, chunks, utf8
 from cohortforge.llm.grouped import bounds, whole_groups
-from cohortforge.llm.shared import materialise, small_batches
+from cohortforge.llm.shared import materialise, release, small_batches
 
 #: Words, of the highest counts, whose counts every task holds; the others are joined.
 HEAD = 1 << 18
@@ -34,7 +38,10 @@ ALPHA = 0.5  # added to each class transition
 #: The end of a text among the words; a word never holds a space.
 END = b" "
 _END, _REST = 0, 1
-_LOWER_TABLE = LOWER.tobytes()
+#: Distinct words, and bytes of them, that a task counts before it sends them on.
+_COUNTED, _COUNTED_BYTES = 400_000, 32 << 20
+#: Bytes of text, and numbers of words, that a task works on at once.
+_TEXT, _NUMBERS = 2 << 20, 1 << 18
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
@@ -44,32 +51,58 @@ def ending(word: bytes) -> bytes:
     return core[-3:] + b" " + word[len(core) : len(core) + 1]
 
 
-def words_of(batch: pa.RecordBatch):
-    """The words of each text of a batch."""
-    data, offs = utf8(batch.column("text"))
-    raw = data.tobytes().translate(_LOWER_TABLE)
-    for i in range(batch.num_rows):
-        yield raw[offs[i] : offs[i + 1]].split()
+def words_of(column) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words of all texts of a column, and how many each text has."""
+    data, offs = utf8(column)
+    data = LOWER[data]
+    inside = ~SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    at = offs[:-1][offs[:-1] < len(data)]
+    first[at] = inside[at]  # a word never goes on in the next text
+    starts = np.flatnonzero(first)
+    body = data[inside]
+    offsets = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, len(body)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+    return words, np.diff(np.searchsorted(starts, offs))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and c: how often each word, and the end, stands in the texts."""
 
     def run(batches):
-        seen: Counter[bytes] = Counter()
+        words: list[pa.Array] = []
+        times: list[np.ndarray] = []
+
+        def add(some: pa.Array, n: np.ndarray | None):
+            code = some.dictionary_encode()
+            words.append(code.dictionary)
+            times.append(np.bincount(code.indices.to_numpy(), weights=n, minlength=len(code.dictionary)).astype(np.int64))
+
+        def merge():
+            some, n = pa.concat_arrays(words), np.concatenate(times)
+            words.clear()
+            times.clear()
+            add(some, n)
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()).cast(pa.string()), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["word", "n"])
-            seen.clear()
+            out = pa.RecordBatch.from_arrays([words[0].cast(pa.string()), pa.array(times[0])], ["word", "n"])
+            words.clear()
+            times.clear()
             return out
 
-        for batch in chunks(batches, 1 << 20):
-            for words in words_of(batch):
-                seen.update(words)
-                seen[END] += 1
-            if len(seen) > 400_000:
-                yield flush()
-        if seen:
+        ends = 0
+        for batch in chunks(batches, _TEXT):
+            add(words_of(batch.column("text"))[0], None)
+            ends += batch.num_rows
+            if sum(map(len, words)) > 2 * _COUNTED or sum(w.nbytes for w in words) > 2 * _COUNTED_BYTES:
+                merge()
+                if len(words[0]) > _COUNTED or words[0].nbytes > _COUNTED_BYTES:
+                    yield flush()
+        if ends:
+            words.append(pa.array([END], pa.binary()))
+            times.append(np.array([ends]))
+            merge()
             yield flush()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
@@ -125,36 +158,127 @@ def choose_items(counts: DataFrame, n: int) -> Items:
     return Items(words, [bytes(e) for e in top.column("ending").to_pylist()])
 
 
+def numbered(texts: DataFrame, head: list[bytes], items: Items) -> DataFrame:
+    """The words of each text by number, in ``ids`` (binary, 32-bit integers), and its words that are no head words, in ``tails``.
+
+    The number of a head word is its place among these, that of another word minus one less its item.
+    ``texts`` has doc_id, d, h, learned and text; all but the text are kept.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(head) if w != END}, items))
+
+    def run(batches):
+        index, items = held.value
+        none = len(index) + 1  # the end is a head word as well
+        for batch in chunks(batches, _TEXT):
+            words, size = words_of(batch.column("text"))
+            code = words.dictionary_encode()
+            names = code.dictionary.to_pylist()
+            number = np.fromiter(map(index.get, names, repeat(none)), np.int32, len(names))
+            for i in np.flatnonzero(number == none).tolist():
+                number[i] = -1 - items.item(names[i])
+            ids = number[code.indices.to_numpy()]
+            tail = np.concatenate(([0], np.cumsum(ids < 0)))
+            ends = np.concatenate(([0], np.cumsum(size)))
+            own = pa.ListArray.from_arrays(pa.array(tail[ends], pa.int32()), words.take(pa.array(np.flatnonzero(ids < 0))).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "d", "h", "learned")), packed(ids, ends), pc.binary_join(own, " ")], ["doc_id", "d", "h", "learned", "ids", "tails"])
+
+    return texts.select("doc_id", "d", "h", "learned", "text").mapInArrow(run, "doc_id long, d long, h long, learned boolean, ids binary, tails string")
+
+
+def packed(values: np.ndarray, at: np.ndarray) -> pa.BinaryArray:
+    """The values from each place of ``at`` up to the next, as bytes."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def unpacked(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of a column of ``packed``, and where each row begins, and the last ends."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.cast(pa.binary()).buffers()
+    offs = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(kind), (offs - offs[0]) // size
+
+
+def numbers_of(batches):
+    """Slices of the batches of about ``_NUMBERS`` words, texts never cut; the numbers of their words, an end (-1) behind each text; where ends stand."""
+    for batch in batches:
+        ids, offs = unpacked(batch.column("ids"), np.int32)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(offs, offs[start] + _NUMBERS, "right")) - 1)
+            ends = offs[start + 1 : stop + 1] - offs[start] + np.arange(stop - start)
+            word = np.ones(int(ends[-1]) + 1, bool)
+            word[ends] = False
+            out = np.full(len(word), -1 - _END, np.int64)
+            out[word] = ids[offs[start] : offs[stop]]
+            yield batch.slice(start, stop - start), out, ends
+            start = stop
+
+
+def by_number(of_items: np.ndarray, of_head: np.ndarray) -> np.ndarray:
+    """A table of what items and head words have, looked up at number + how many items there are."""
+    return np.concatenate((of_items[::-1], of_head))
+
+
+def cell_sums(rows: DataFrame, width: int) -> DataFrame:
+    """part and cells (binary, ``width`` 64-bit integers): counts of ``packed_cells``, added up by part."""
+
+    def run(batches):
+        for table in whole_groups(batches, ["part"], 1):
+            part, cell, n = (table.column(c) for c in ("part", "cell", "n"))
+            part = part.to_numpy()
+            at = bounds(part)
+            (cell, offs), n = unpacked(cell, np.int32), unpacked(n, np.int32)[0]
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own = slice(offs[lo], offs[hi])
+                total = np.zeros(width, np.int64)
+                np.add.at(total, cell[own], n[own].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(part[lo : lo + 1]), packed(total, np.array([0, width]))], ["part", "cells"])
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, cells binary")
+
+
+def packed_cells(total: np.ndarray, width: int):
+    """A row for each part, of ``width`` cells, in which something is counted: part, cell and n (binary, 32-bit integers)."""
+    used = np.flatnonzero(total)
+    part = used // width
+    at = bounds(part)
+    for lo in range(0, len(at) - 1, 64):
+        some = at[lo : lo + 65]
+        key = used[some[0] : some[-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(part[some[:-1]].astype(np.int32)), *(packed(x.astype(np.int32), some - some[0]) for x in (key % width, total[key]))], ["part", "cell", "n"])
+
+
+_CELLS = "part int, cell binary, n binary"
+
+
 def item_bigrams(docs: DataFrame, items: Items) -> np.ndarray:
     """How often one item follows another in the texts, each text between two ends."""
+    texts = docs.select(*(F.lit(0).cast("long").alias(c) for c in ("doc_id", "d", "h")), F.lit(True).alias("learned"), "text")
+    return numbered_bigrams(numbered(texts, [], items), items, np.zeros(0, np.int64))
+
+
+def numbered_bigrams(learned: DataFrame, items: Items, of_head: np.ndarray) -> np.ndarray:
+    """The same from the numbers of words and the items of head words."""
     m = items.n
-    held = docs.sparkSession.sparkContext.broadcast(items)
+    held = learned.sparkSession.sparkContext.broadcast(by_number(np.arange(m), of_head))
 
     def run(batches):
-        items = held.value
+        item = held.value
         total = np.zeros(m * m, dtype=np.int64)
-        known = dict(items.of)
-        for batch in chunks(batches):
-            ids: list[int] = [_END]
-            for words in words_of(batch):
-                for w in words:
-                    i = known.get(w)
-                    if i is None:
-                        i = items.item(w)
-                        if len(known) < 300_000:
-                            known[w] = i
-                    ids.append(i)
-                ids.append(_END)
-            at = np.array(ids)
-            total += np.bincount(at[:-1] * m + at[1:], minlength=m * m)
-        used = np.flatnonzero(total)
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["pair", "n"])
-
-    table = docs.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(m * m, dtype=np.int64)
-    out[table.column("pair").to_numpy()] = table.column("n").to_numpy()
-    return out.reshape(m, m)
+        for _, numbers, _ in numbers_of(batches):
+            at = item[np.concatenate(([-1 - _END], numbers)) + m]
+            np.add.at(total, at[:-1] * m + at[1:], 1)
+        yield from packed_cells(total, m)
+
+    table = cell_sums(learned.select("ids").mapInArrow(run, _CELLS), m).toArrow()  # a row for each item
+    out = np.zeros((m, m), dtype=np.int64)
+    for part, cells in zip(table.column("part").to_pylist(), table.column("cells").to_pylist(), strict=True):
+        out[part] = np.frombuffer(cells, np.int64)
+    return out
 
 
 def exchange_clusters(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
@@ -239,148 +363,114 @@ def class_bigrams(cls: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
 
 
 class Classes:
-    """What every task holds: the head words and the classes of these and of endings."""
+    """The items, the head words and the classes of both."""
 
     def __init__(self, items: Items, cls: np.ndarray, head: list[bytes], head_c: np.ndarray):
-        self.items, self.cls, self.k = items, cls, int(cls.max()) + 1
-        self.index = {w: i for i, w in enumerate(head)}
+        self.items, self.cls, self.k, self.m = items, cls, int(cls.max()) + 1, len(cls)
         self.head_c = head_c
+        self.head_item = np.array([items.item(w) for w in head], dtype=np.int64)
         #: Classes of the head words to start from, and those that they get.
-        self.seed = self.head_class = np.array([cls[items.item(w)] for w in head], dtype=np.int64)
-        self.end_at = self.index.get(END, -1)
+        self.seed = self.head_class = cls[self.head_item]
         #: Head words that were exchanged one by one, and the end.
         self.settled = np.array([w in items.of for w in head], dtype=bool)
-
-        self.tail_class: dict[bytes, int] = {}
-
-    def class_of(self, word: bytes) -> int:
-        """Starting class of a word that is no head word; a task remembers some."""
-        found = self.tail_class.get(word)
-        if found is None:
-            if len(self.tail_class) > 200_000:
-                self.tail_class.clear()
-            found = self.tail_class[word] = int(self.cls[self.items.item(word)])
-        return found
-
-    def tokens(self, texts: list[list[bytes]], tails: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Words of all texts, an end behind each text; head index (-1: none) and class (without one the starting class, if ``tails``) of each; where ends stand."""
-        flat = list(chain.from_iterable(chain.from_iterable((words, (END,)) for words in texts)))
-        ends = np.cumsum([len(words) + 1 for words in texts]) - 1
-        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
-        of = self.head_class[at] if len(self.head_class) else np.zeros(len(at), np.int64)
-        of[ends] = self.cls[_END]
-        if tails:
-            none = at < 0
-            none[ends] = False
-            none = np.flatnonzero(none)
-            of[none] = np.fromiter((self.class_of(flat[i]) for i in none.tolist()), np.int64, len(none))
-        return flat, at, of, ends
+        self.end_c = int(head_c[head.index(END)]) if END in head else 0
 
 
 #: Parts that the contexts of head words are dealt out in.
-_PARTS = 4096
+_PARTS = 1024
 
 
 def head_classes(learned: DataFrame, start: Classes, bigrams: np.ndarray) -> np.ndarray:
     """Class of each head word, from the classes beside it in all texts; settled words keep theirs."""
-    spark, n, k = learned.sparkSession, len(start.index), start.k
-    held = spark.sparkContext.broadcast(start)
+    spark, n, k, m = learned.sparkSession, len(start.seed), start.k, start.m
+    size = -(-n // _PARTS)
+    width = size * 2 * k
+    held = spark.sparkContext.broadcast((by_number(start.cls, start.seed), start.head_c))
 
     def run(batches):
-        model = held.value
-        total, one = np.zeros(n * 2 * k, dtype=np.int32), np.int32(1)
-        for batch in chunks(batches, 1 << 20):
-            _, at, of, ends = model.tokens(list(words_of(batch)))
-            some = at >= 0
-            some[ends] = False
-            mine = np.flatnonzero(some)
-            left = np.concatenate(([model.cls[_END]], of[:-1]))  # ahead of a text stands the end of the one before
-            np.add.at(total, at[mine] * (2 * k) + of[mine + 1], one)
-            np.add.at(total, at[mine] * (2 * k) + k + left[mine], one)
-        used = np.flatnonzero(total)
-        for at in range(0, len(used), 1 << 20):
-            key = used[at : at + (1 << 20)]
-            yield pa.RecordBatch.from_arrays([pa.array((key // (2 * k) % _PARTS).astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(total[key])], ["part", "key", "n"])
+        cls = held.value[0]
+        total, one = np.zeros(_PARTS * width, dtype=np.int32), np.int32(1)
+        for _, at, _ in numbers_of(batches):
+            of = cls[at + m]
+            mine = np.flatnonzero(at >= 0)
+            left = np.concatenate((cls[[m - 1 - _END]], of[:-1]))  # ahead of a text stands the end of the one before
+            row = (at[mine] % _PARTS * size + at[mine] // _PARTS) * (2 * k)
+            np.add.at(total, row + of[mine + 1], one)
+            np.add.at(total, row + k + left[mine], one)
+        yield from packed_cells(total, max(width, 1))
 
     def choose(batches):
-        model = held.value
-        sums: dict[int, np.ndarray] = {}
-        size = -(-n // _PARTS)
+        head_c = held.value[1]
         for batch in batches:
-            part, key, times = (batch.column(c).to_numpy() for c in ("part", "key", "n"))
-            order = np.argsort(part, kind="stable")
-            at = bounds(part[order])
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                own = order[lo:hi]
-                own_sums = sums.setdefault(int(part[own[0]]), np.zeros(size * 2 * k))
-                np.add.at(own_sums, (key[own] // (2 * k) // _PARTS) * (2 * k) + key[own] % (2 * k), times[own])
-        for p, flat in sums.items():
-            word = np.arange(size) * _PARTS + p
-            word = word[word < n]
-            found = place(flat.reshape(size, 2 * k)[: len(word)], model.head_c[word], bigrams)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(found)], ["word", "class"])
-
-    found = learned.select("text").mapInArrow(run, "part int, key long, n int").repartition("part").mapInArrow(choose, "word long, class long").toArrow()  # a row for each head word
+            for p, cells in zip(batch.column("part").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                word = np.arange(size) * _PARTS + p
+                word = word[word < n]
+                found = place(np.frombuffer(cells, np.int64).reshape(size, 2 * k)[: len(word)].astype(np.float64), head_c[word], bigrams)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(found)], ["word", "class"])
+
+    cells = cell_sums(learned.select("ids").mapInArrow(run, _CELLS), max(width, 1))
+    found = cells.mapInArrow(choose, "word long, class long").toArrow()  # a row for each head word
     out = start.head_class.copy()
     word, new = found.column("word").to_numpy(), found.column("class").to_numpy()
     out[word] = np.where(start.settled[word], out[word], new)
     return out
 
 
-_TAIL = "kind int, d long, h long, pos int, word string, left int, right int, beside int, learned boolean, pair int, n long"
+def _near(learned: DataFrame, classes: Classes) -> np.ndarray:
+    """Class bigrams of neighbours that are head words or ends."""
+    k, m = classes.k, classes.m
+    held = learned.sparkSession.sparkContext.broadcast(by_number(classes.cls, classes.head_class))
+
+    def run(batches):
+        cls = held.value
+        pairs = np.zeros(k * k, dtype=np.int64)
+        for _, numbers, _ in numbers_of(batches):
+            at = np.concatenate(([-1 - _END], numbers))
+            known, of = at >= -1 - _END, cls[at + m]
+            both = known[:-1] & known[1:]
+            pairs += np.bincount(of[:-1][both] * k + of[1:][both], minlength=k * k)
+        used = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(pairs[used])], ["pair", "n"])
+
+    return _summed(learned.select("ids").mapInArrow(run, "pair int, n long"), k * k).reshape(k, k)
+
+
+def _summed(rows: DataFrame, most: int) -> np.ndarray:
+    table = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most ``most`` rows
+    out = np.zeros(most)
+    out[table.column("pair").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+_TAIL = "d long, h long, pos int, word string, left int, right int, beside int, learned boolean"
 
 
-def _scan(texts: DataFrame, classes: Classes) -> DataFrame:
-    """Kind 0: class bigrams of neighbouring head words (pair, n) in the texts learned from.  Kind 1: every place of another word.
+def _scan(coded: DataFrame, classes: Classes) -> DataFrame:
+    """Every place of a word that is no head word.
 
     ``left`` and ``right`` are the classes beside it; of a neighbour that is no head word
     either, minus one less the class of its ending.  ``beside``: the starting classes to the left, times k, and to the right.
     """
-    k = classes.k
-    held = texts.sparkSession.sparkContext.broadcast(classes)
+    k, m = classes.k, classes.m
+    held = coded.sparkSession.sparkContext.broadcast((by_number(classes.cls, classes.head_class), by_number(classes.cls, classes.seed)))
     names = [c.split()[0] for c in _TAIL.split(", ")]
 
     def run(batches):
-        model = held.value
-        pairs = np.zeros(k * k, dtype=np.int64)
-        for batch in chunks(batches, 1 << 20):
-            d, h, learned = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "h", "learned"))
-            texts_of = list(words_of(batch))
-            flat, at, of, ends = model.tokens(texts_of)
-            size = np.array([len(words) + 1 for words in texts_of])
-            row = np.repeat(np.arange(len(size)), size)
-            known = at >= 0
-            known[ends] = True
-            before, known_before = np.concatenate(([model.cls[_END]], of[:-1])), np.concatenate(([True], known[:-1]))
-            both = known & known_before & learned[row]
-            pairs += np.bincount(before[both] * k + of[both], minlength=k * k)
-            tail = np.flatnonzero(~known)
-            if len(tail):
-                seed = of.copy()
-                inner = at >= 0
-                inner[ends] = False
-                seed[inner] = model.seed[at[inner]]
-                beside = np.concatenate(([model.cls[_END]], seed[:-1]))[tail] * k + seed[tail + 1]
-                left = np.where(known_before[tail], before[tail], -1 - before[tail])
-                right = np.where(known[tail + 1], of[tail + 1], -1 - of[tail + 1])
-                pos = tail - (ends - size + 1)[row[tail]]
-                n, own = len(tail), row[tail]
-                columns = [np.ones(n, np.int32), d[own], h[own], pos.astype(np.int32), None, left.astype(np.int32), right.astype(np.int32), beside.astype(np.int32), learned[own], np.zeros(n, np.int32), np.zeros(n, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array([flat[i] for i in tail.tolist()], pa.binary()).cast(pa.string()) if c is None else pa.array(c) for c in columns], names)
-        used = np.flatnonzero(pairs)
-        if len(used):
-            n, none = len(used), np.zeros(len(used), np.int64)
-            columns = [np.zeros(n, np.int32), none, none, none.astype(np.int32), pa.array([""] * n), none.astype(np.int32), none.astype(np.int32), none.astype(np.int32), np.zeros(n, bool), used.astype(np.int32), pairs[used]]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
-
-    return texts.select("d", "h", "learned", "text").mapInArrow(run, _TAIL)
+        final, start = held.value
+        for batch, at, ends in numbers_of(batches):
+            tail = np.flatnonzero(at < -1 - _END)
+            if not len(tail):
+                continue
+            words, _ = words_of(batch.column("tails"))
+            row = np.searchsorted(ends, tail)
+            left, right = np.where(tail > 0, at[tail - 1], -1 - _END), at[tail + 1]
+            beside = start[left + m] * k + start[right + m]
+            left, right = (np.where(x < -1 - _END, -1 - final[x + m], final[x + m]) for x in (left, right))
+            pos = tail - np.concatenate(([0], ends[:-1] + 1))[row]
+            d, h, learned = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("d", "h", "learned"))
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(pos.astype(np.int32)), words.cast(pa.string()), *(pa.array(x.astype(np.int32)) for x in (left, right, beside)), pa.array(learned)], names)
 
-
-def _bigram_table(rows: DataFrame, k: int) -> np.ndarray:
-    table = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most k * k rows
-    out = np.zeros(k * k)
-    out[table.column("pair").to_numpy()] = table.column("n").to_numpy()
-    return out.reshape(k, k)
+    return coded.where("tails != ''").select("d", "h", "learned", "ids", "tails").mapInArrow(run, _TAIL)
 
 
 def _placed(tail: DataFrame, classes: Classes, bigrams: np.ndarray) -> DataFrame:
@@ -389,26 +479,23 @@ def _placed(tail: DataFrame, classes: Classes, bigrams: np.ndarray) -> DataFrame
     ``lead``: the count at one place of each word, else 0.
     """
     k = classes.k
-    held = tail.sparkSession.sparkContext.broadcast(classes)
+    held = tail.sparkSession.sparkContext.broadcast((classes.items, classes.cls))
 
     def run(batches):
-        model = held.value
+        items, cls = held.value
+        own = pa.array([w for w in items.of if w != END], pa.binary()).cast(pa.string())
         for table in whole_groups(batches, ["word"], 1 << 15):
-            word = table.column("word").combine_chunks()
-            code = word.dictionary_encode()
-            of, names = code.indices.to_numpy(), code.dictionary.to_pylist()
+            code = table.column("word").combine_chunks().dictionary_encode()
+            of, names = code.indices.to_numpy(), code.dictionary
             beside, learned = (table.column(c).to_numpy() for c in ("beside", "learned"))
+            some, near = of[learned].astype(np.int64) * (2 * k), beside[learned]
             c = np.bincount(of[learned], minlength=len(names))
-            contexts = np.zeros((len(names), 2 * k))
-            np.add.at(contexts, (of[learned], beside[learned] % k), 1)
-            np.add.at(contexts, (of[learned], k + beside[learned] // k), 1)
-            found = place(contexts, c, bigrams)
-            for i, name in enumerate(names):
-                if not c[i] or name.encode() in model.items.of:  # never learned from, or exchanged one by one
-                    found[i] = model.cls[model.items.item(name.encode())]
+            contexts = np.bincount(np.concatenate((some + near % k, some + k + near // k)), minlength=len(names) * 2 * k)
+            found = place(contexts.reshape(len(names), 2 * k).astype(np.float64), c, bigrams)
+            for i in np.flatnonzero((c == 0) | pc.is_in(names, own).to_numpy(zero_copy_only=False)).tolist():  # never learned from, or exchanged one by one
+                found[i] = cls[items.item(names[i].as_py().encode())]
             lead = np.zeros(len(of), np.int64)
-            first = np.unique(of, return_index=True)[1]
-            lead[first] = c
+            lead[np.unique(of, return_index=True)[1]] = c
             yield pa.RecordBatch.from_arrays([*(table.column(x).combine_chunks() for x in ("d", "h", "pos", "left", "right", "learned")), pa.array(c[of]), pa.array(found[of].astype(np.int32)), pa.array(lead)], _PLACED_NAMES)
 
     # whole_groups keeps the places of one word together: fewer than the least head word has, but for texts not learned from
@@ -420,22 +507,28 @@ _PLACED_NAMES = [c.split()[0] for c in _PLACED.split(", ")]
 
 
 def _in_order(placed: DataFrame, k: int) -> DataFrame:
-    """The same with the class bigrams that each place adds: ``into`` (from the left) and ``out`` (to a head word on the right, else -1).
+    """Places packed by text, and sums over all of them.
+
+    A text (d, h) has a row, or several if it goes over batches: ``known`` and ``base`` of its places, and packed in ``into`` and
+    ``out`` the class bigrams that each place adds, from the left and to a head word on the right (else -1).
+    In rows with ``pair``, ``n`` is to be added up: how often a class bigram is learned, then (from k * k on) the
+    counts of the words of each class, then (from k * k + k on) the words.
 
     Places come in the order of their text, so the class of a left neighbour that is no
     head word is that of the place before.  A row of the table that is repeated gives each place
-    several times: one is kept, with ``times``.
+    several times: one is kept, but all are learned from.
     """
     keys = ["d", "h", "pos"]
 
     def run(batches):
         last, held = 0, None
+        sums = np.zeros(k * k + 2 * k, np.int64)
         for batch in chain(batches, [None]):
             parts = ([] if held is None else held.to_batches()) + ([] if batch is None else [batch])
             table = pa.Table.from_batches(parts).combine_chunks() if parts else None
             if table is None or not len(table):
                 continue
-            d, h, pos, left, right, cls, c, learned = (np.asarray(table.column(x)) for x in ("d", "h", "pos", "left", "right", "class", "c", "learned"))
+            d, h, pos, left, right, cls, c, learned, lead = (np.asarray(table.column(x)) for x in ("d", "h", "pos", "left", "right", "class", "c", "learned", "lead"))
             at = bounds(d, h, pos)
             if batch is not None:  # the last place may go on in the next batch
                 held = table.slice(int(at[-2]))
@@ -448,12 +541,27 @@ def _in_order(placed: DataFrame, k: int) -> DataFrame:
             before = np.where(before < 0, previous, before)
             after = right[first].astype(np.int64)
             last = int(own[-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d[first]), pa.array(h[first]), pa.array((before * k + own).astype(np.int32)), pa.array(np.where(after < 0, -1, own * k + after).astype(np.int32)), pa.array(cls[first]), pa.array(c[first]), pa.array(learned[first]), pa.array(times)],
-                ["d", "h", "into", "out", "class", "c", "learned", "times"],
-            )
+            into, out = before * k + own, np.where(after < 0, -1, own * k + after)
+            seen = learned[first]
+            np.add.at(sums, into[seen], times[seen])
+            seen = seen & (out >= 0)
+            np.add.at(sums, out[seen], times[seen])
+            whole = slice(0, at[-1])
+            np.add.at(sums, k * k + cls[whole], lead[whole])
+            np.add.at(sums, k * k + k + cls[whole], (lead[whole] > 0).astype(np.int64))
+            text = bounds(d[first], h[first])
+            begin, n = text[:-1], len(text) - 1
+            add = lambda x: pa.array(np.add.reduceat(x, begin))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(d[first][begin]), pa.array(h[first][begin]), add((c[first] > 0).astype(np.int64)), add(np.log10(c[first] + 1.0)), packed(into.astype(np.int32), text), packed(out.astype(np.int32), text), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], _ORDERED_NAMES)
+        used = np.flatnonzero(sums)
+        n = len(used)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())), pa.array(used.astype(np.int32)), pa.array(sums[used])], _ORDERED_NAMES)
+
+    return placed.repartition("d", "h").sortWithinPartitions(*keys).mapInArrow(run, _ORDERED)
 
-    return placed.drop("lead").repartition("d", "h").sortWithinPartitions(*keys).mapInArrow(run, "d long, h long, into int, out int, class int, c long, learned boolean, times long")
+
+_ORDERED = "d long, h long, known long, base double, into binary, out binary, pair int, n long"
+_ORDERED_NAMES = [c.split()[0] for c in _ORDERED.split(", ")]
 
 
 def score(docs: DataFrame, train: Column, head_size: int = HEAD, n_items: int = ITEMS, classes: int = CLASSES) -> DataFrame:
@@ -473,71 +581,67 @@ def score(docs: DataFrame, train: Column, head_size: int = HEAD, n_items: int =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(train, F.lit(False)).alias("learned"))
     texts = texts.withColumns({"d": F.coalesce("doc_id", F.lit(0).cast("long")), "h": F.xxhash64("doc_id", "text")})
-    learned = texts.where("learned")
-    counts = materialise(word_counts(learned))
+    counts = materialise(word_counts(texts.where("learned")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
     head, head_c, _ = head_words(counts, head_size)
     items = choose_items(counts, n_items)
-    pairs = item_bigrams(learned, items)
+    release(counts)
+    coded = materialise(numbered(texts, head, items))
+    learned = coded.where("learned")
+    pairs = numbered_bigrams(learned, items, np.array([items.item(w) for w in head], dtype=np.int64))
     cls = exchange_clusters(pairs, classes, SWEEPS)
     start = Classes(items, cls, head, head_c)
-    k = start.k
+    k, m = start.k, start.m
     first = class_bigrams(cls, pairs)
     start.head_class = head_classes(learned, start, first)
-    scanned = materialise(_scan(texts, start))
-    near = _bigram_table(scanned.where("kind = 0"), k)
-    placed = materialise(_placed(scanned.where("kind = 1"), start, first))
-    ordered = materialise(_in_order(placed, k))
-    seen = ordered.where("learned")
-    both = seen.select(F.col("into").alias("pair"), F.col("times").alias("n")).union(seen.where("out >= 0").select(F.col("out").alias("pair"), F.col("times").alias("n")))
-    bigrams = near + _bigram_table(both, k) + ALPHA
+    near = _near(learned, start)
+    ordered = materialise(_in_order(_placed(_scan(coded, start), start, first), k))
+    sums = _summed(ordered.where("pair is not null"), k * k + 2 * k)
+    bigrams = near + sums[: k * k].reshape(k, k) + ALPHA
     transition = np.log10(bigrams / bigrams.sum(axis=1, keepdims=True))
     total = np.bincount(start.head_class, weights=head_c + 1.0, minlength=k) if len(head) else np.zeros(k)
-    for r in placed.where("lead > 0").groupBy("class").agg(F.sum("lead").alias("n"), F.count("*").alias("v")).collect():  # a row for each class
-        total[r["class"]] += r.n + r.v
-    divisor = np.log10(total + 1)
-    held = spark.sparkContext.broadcast((start, transition, divisor))
+    divisor = np.log10(total + sums[k * k :].reshape(2, k).sum(axis=0) + 1)
+    known = np.zeros(m, bool)
+    known[_END] = start.end_c > 0
+    log_c = np.zeros(m)
+    log_c[_END] = np.log10(start.end_c + 1.0)
+    tables = by_number(cls, start.head_class), by_number(known, np.ones(len(head), bool)), by_number(log_c, np.log10(head_c + 1.0))
+    held = spark.sparkContext.broadcast((tables, transition, divisor))
 
     def heads(batches):
-        model, transition, divisor = held.value
-        log_c = np.log10(model.head_c + 1.0)
-        for batch in chunks(batches, 1 << 20):
-            _, at, of, ends = model.tokens(list(words_of(batch)), tails=False)
+        (cls, known, log_c), transition, divisor = held.value
+        for batch, at, ends in numbers_of(batches):
             starts = np.concatenate(([0], ends[:-1] + 1))
-            inside = at >= 0
-            here = inside.copy()
-            here[ends] = True
-            before = np.concatenate(([model.cls[_END]], of[:-1]))
+            of, here = cls[at + m], at >= -1 - _END
+            before = np.concatenate((cls[[m - 1 - _END]], of[:-1]))
             both = here & np.concatenate(([True], here[:-1]))
             per = np.where(both, transition[before, of], 0.0) - np.where(here, divisor[of], 0.0)
             add = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-            size, known, base, own = ends - starts + 1, add(inside.astype(np.int64)), add(np.where(inside, log_c[at] if len(log_c) else 0.0, 0.0)), add(per)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "d", "h")), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], ["doc_id", "d", "h", "n_tokens", "known", "base", "own"])
+            size, own_known, base, own = ends - starts + 1, add(known[at + m].astype(np.int64)), add(log_c[at + m]), add(per)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "d", "h")), pa.array(size, pa.int64()), pa.array(own_known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], ["doc_id", "d", "h", "n_tokens", "known", "base", "own"])
 
     def tails(batches):
         _, transition, divisor = held.value
         flat = np.append(transition.ravel(), 0.0)  # -1 is nothing
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            d, h, into, out, of, c = (batch.column(x).to_numpy() for x in ("d", "h", "into", "out", "class", "c"))
-            at = bounds(d, h)[:-1]
-            add = lambda x: pa.array(np.add.reduceat(x, at))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(h[at]), add((c > 0).astype(np.int64)), add(np.log10(c + 1.0)), add(flat[into] + flat[out] - divisor[of])], ["d", "h", "known", "base", "own"])
+            if batch.num_rows:
+                (into, offs), out = unpacked(batch.column("into"), np.int32), unpacked(batch.column("out"), np.int32)[0]
+                own = np.add.reduceat(flat[into] + flat[out] - divisor[into % k], offs[:-1])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("d", "h", "known", "base")), pa.array(own)], ["d", "h", "known", "base", "own"])
 
-    rest = ordered.select("d", "h", "into", "out", "class", "c").mapInArrow(tails, "d long, h long, known long, base double, own double")
+    rest = ordered.where("pair is null").select("d", "h", "known", "base", "into", "out").mapInArrow(tails, "d long, h long, known long, base double, own double")
     rest = rest.groupBy("d", "h").agg(F.sum("known").alias("k2"), F.sum("base").alias("b2"), F.sum("own").alias("o2"))
-    base = texts.select("doc_id", "d", "h", "text").mapInArrow(heads, "doc_id long, d long, h long, n_tokens long, known long, base double, own double")
+    base = coded.select("doc_id", "d", "h", "ids").mapInArrow(heads, "doc_id long, d long, h long, n_tokens long, known long, base double, own double")
     joined = base.join(rest, ["d", "h"], "left")
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    log_c = plus("base", "b2")
-    whole = log_c + plus("own", "o2")
+    log_base = plus("base", "b2")
+    whole = log_base + plus("own", "o2")
     return joined.select(
         "doc_id",
         "n_tokens",
         plus("known", "k2").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (log_c - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
+        (log_base - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
         whole.alias("score"),
         F.pow(F.lit(10.0), -whole / F.col("n_tokens")).alias("perplexity"),
     )

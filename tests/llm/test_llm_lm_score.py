@@ -154,3 +154,42 @@ def test_odd_tables(spark):
     rows = [(1, "x y x"), (1, "x y x"), (1, "other text"), (2, None)]
     got = lm_score.score(documents(spark, rows), F.lit(True)).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 3), (1, 4), (1, 4), (2, 1)]
+
+
+def test_texts_are_read_twice(spark):
+    """Once to count the words and once to number them; all other steps, and the result, read the numbers."""
+    rows = [(i, f"some words of text {i}") for i in range(30)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = documents(spark, rows).select("doc_id", "text")
+    got = lm_score.score(docs.mapInArrow(seen, docs.schema), F.lit(True), n_items=8, classes=4).collect()
+    assert len(got) == len(rows)
+    assert read.value == 2 * len(rows)
+
+
+def test_texts_that_go_over_batches(spark, monkeypatch):
+    """Counts that are sent on early, short slices and batches of three rows change nothing."""
+    rng = random.Random(5)
+    rows = [*odd_texts(), *((i, prose(rng, rng.randrange(1, 90))) for i in range(100, 130))]
+    docs = documents(spark, rows)
+    docs = docs.union(docs.where("doc_id in (105, 106)"))
+
+    def get():
+        found = lm_score.score(docs, fold("doc_id", 7) != 2, head_size=30, n_items=40, classes=8).collect()
+        return sorted(((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found), key=lambda r: (r[:4], r[5]))
+
+    want = get()
+    batches = lm_score.small_batches
+    monkeypatch.setattr(lm_score, "small_batches", lambda spark, rows: batches(spark, 3))
+    monkeypatch.setattr(lm_score, "_COUNTED", 7)
+    monkeypatch.setattr(lm_score, "_TEXT", 50)
+    monkeypatch.setattr(lm_score, "_NUMBERS", 20)
+    got = get()
+    assert len(got) == len(want) == len(rows) + 2
+    for a, b in zip(got, want):
+        assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], rtol=1e-9)
