@@ -241,15 +241,14 @@ def cell_sums(rows: DataFrame, width: int) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, cells binary")
 
 
-def packed_cells(total: np.ndarray, width: int):
-    """A row for each part, of ``width`` cells, in which something is counted: part, cell and n (binary, 32-bit integers)."""
-    used = np.flatnonzero(total)
-    part = used // width
+def packed_cells(key: np.ndarray, n: np.ndarray, width: int):
+    """Counts of cells (``key``, rising) as a row for each part, of ``width`` cells: part, cell and n (binary, 32-bit integers)."""
+    part = key // width
     at = bounds(part)
     for lo in range(0, len(at) - 1, 64):
         some = at[lo : lo + 65]
-        key = used[some[0] : some[-1]]
-        yield pa.RecordBatch.from_arrays([pa.array(part[some[:-1]].astype(np.int32)), *(packed(x.astype(np.int32), some - some[0]) for x in (key % width, total[key]))], ["part", "cell", "n"])
+        own = slice(some[0], some[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(part[some[:-1]].astype(np.int32)), *(packed(x.astype(np.int32), some - some[0]) for x in (key[own] % width, n[own]))], ["part", "cell", "n"])
 
 
 _CELLS = "part int, cell binary, n binary"
@@ -272,7 +271,8 @@ def numbered_bigrams(learned: DataFrame, items: Items, of_head: np.ndarray) -> n
         for _, numbers, _ in numbers_of(batches):
             at = item[np.concatenate(([-1 - _END], numbers)) + m]
             np.add.at(total, at[:-1] * m + at[1:], 1)
-        yield from packed_cells(total, m)
+        used = np.flatnonzero(total)
+        yield from packed_cells(used, total[used], m)
 
     table = cell_sums(learned.select("ids").mapInArrow(run, _CELLS), m).toArrow()  # a row for each item
     out = np.zeros((m, m), dtype=np.int64)
@@ -376,28 +376,37 @@ class Classes:
         self.end_c = int(head_c[head.index(END)]) if END in head else 0
 
 
-#: Parts that the contexts of head words are dealt out in.
-_PARTS = 1024
+#: Parts that the contexts of head words are dealt out in, and places of cells that a task holds before it counts them and sends them on.
+_PARTS, _PLACES = 1024, 1 << 22
 
 
 def head_classes(learned: DataFrame, start: Classes, bigrams: np.ndarray) -> np.ndarray:
     """Class of each head word, from the classes beside it in all texts; settled words keep theirs."""
     spark, n, k, m = learned.sparkSession, len(start.seed), start.k, start.m
     size = -(-n // _PARTS)
-    width = size * 2 * k
+    width = max(size * 2 * k, 1)
+    kind = np.int32 if _PARTS * width < 1 << 31 else np.int64
     held = spark.sparkContext.broadcast((by_number(start.cls, start.seed), start.head_c))
 
     def run(batches):
         cls = held.value[0]
-        total, one = np.zeros(_PARTS * width, dtype=np.int32), np.int32(1)
+        keys: list[np.ndarray] = []
+
+        def counted():
+            found = np.unique(np.concatenate(keys), return_counts=True)
+            keys.clear()
+            return packed_cells(*found, width)
+
         for _, at, _ in numbers_of(batches):
             of = cls[at + m]
             mine = np.flatnonzero(at >= 0)
             left = np.concatenate((cls[[m - 1 - _END]], of[:-1]))  # ahead of a text stands the end of the one before
             row = (at[mine] % _PARTS * size + at[mine] // _PARTS) * (2 * k)
-            np.add.at(total, row + of[mine + 1], one)
-            np.add.at(total, row + k + left[mine], one)
-        yield from packed_cells(total, max(width, 1))
+            keys += [(row + of[mine + 1]).astype(kind), (row + k + left[mine]).astype(kind)]
+            if sum(map(len, keys)) > _PLACES:
+                yield from counted()
+        if keys:
+            yield from counted()
 
     def choose(batches):
         head_c = held.value[1]
@@ -408,7 +417,7 @@ def head_classes(learned: DataFrame, start: Classes, bigrams: np.ndarray) -> np.
                 found = place(np.frombuffer(cells, np.int64).reshape(size, 2 * k)[: len(word)].astype(np.float64), head_c[word], bigrams)
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(found)], ["word", "class"])
 
-    cells = cell_sums(learned.select("ids").mapInArrow(run, _CELLS), max(width, 1))
+    cells = cell_sums(learned.select("ids").mapInArrow(run, _CELLS), width)
     found = cells.mapInArrow(choose, "word long, class long").toArrow()  # a row for each head word
     out = start.head_class.copy()
     word, new = found.column("word").to_numpy(), found.column("class").to_numpy()

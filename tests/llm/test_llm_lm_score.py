@@ -189,6 +189,7 @@ def test_texts_that_go_over_batches(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "_COUNTED", 7)
     monkeypatch.setattr(lm_score, "_TEXT", 50)
     monkeypatch.setattr(lm_score, "_NUMBERS", 20)
+    monkeypatch.setattr(lm_score, "_PLACES", 30)
     got = get()
     assert len(got) == len(want) == len(rows) + 2
     for a, b in zip(got, want):
