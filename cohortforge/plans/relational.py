@@ -320,7 +320,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tk_argmin", "SELECT c_nationkey, arg_min(c_custkey, c_acctbal) AS poorest, arg_max(c_custkey, c_acctbal) AS richest FROM customer GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.min_by("c_custkey", "c_acctbal").alias("poorest"), F.max_by("c_custkey", "c_acctbal").alias("richest"))
+    """Of customers with equal balances the one with the smallest key, which SQL meets first; without a balance none counts."""
+    key, balance = F.col("c_custkey"), F.col("c_acctbal")
+    place = lambda tie: F.when(balance.isNotNull() & key.isNotNull(), F.struct(balance, tie))
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.min_by(key, place(key)).alias("poorest"), F.max_by(key, place(-key)).alias("richest"))
 
 
 @query("tk_reindex", "SELECT s.pos, s.segment, count(c_custkey) AS n FROM (SELECT unnest([0, 1, 2]) AS pos, unnest(['HOUSEHOLD', 'ABSENT', 'BUILDING']) AS segment) s LEFT JOIN customer ON c_mktsegment = s.segment GROUP BY 1, 2")
