@@ -248,15 +248,20 @@ def censor_survival(rows: DataFrame, key: str, hazard: str, outcome: str, interv
 
 
 def clone_weights(rows: DataFrame, by: Sequence[str], order: str, factor: str | Column, low: float = 0.01, high: float = 25.0, name: str = "weight") -> DataFrame:
-    """Adds to each row the product of the factors of the earlier rows of its clone, held in [low, high] after each; 1 for the first."""
-    from pyspark.sql import Window as W
-
-    from cohortforge.operators.survival import clipped_weights
+    """Adds to each row the product of the factors of the earlier rows of its clone, held in [low, high] after each; 1 for the first.
 
-    f = F.col(factor) if isinstance(factor, str) else factor
-    after = clipped_weights(rows.select(*by, order, f.alias("_f")), by, order, "_f", low, high, "_w")
-    joined = rows.join(after.withColumn(order, F.col(order).cast(rows.schema[order].dataType)), [*by, order])
-    return joined.withColumn(name, F.coalesce(F.lag("_w").over(W.partitionBy(*by).orderBy(order)), F.lit(1.0))).drop("_w")
+    The rows of a clone (bounded by its intervals) are gathered once and folded in order; they join nothing.
+    """
+    f = (F.col(factor) if isinstance(factor, str) else factor).cast("double")
+    own = F.struct(*(c for c in rows.columns if c not in by))
+    clones = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), f.alias("f"), own.alias("r")))).alias("_s"))
+    held = F.aggregate(
+        "_s",
+        F.struct(F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("out")),
+        lambda a, s: F.struct(F.greatest(F.lit(low), F.least(F.lit(high), a["w"] * s["f"])).alias("w"), F.concat(a["out"], F.array(a["w"])).alias("out")),
+    )
+    each = clones.select(*by, F.explode(F.zip_with("_s", held["out"], lambda s, w: F.struct(s["r"].alias("r"), w.alias("w")))).alias("_x"))
+    return each.select(*(F.col(c) if c in by else F.col(f"_x.r.{c}").alias(c) for c in rows.columns), F.col("_x.w").alias(name))
 
 
 def weighted_interval_curve(rows: DataFrame, by: Sequence[str], weight: str, event: str) -> DataFrame:

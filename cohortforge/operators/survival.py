@@ -118,8 +118,8 @@ def ipcw_pseudo(df: DataFrame, censoring: DataFrame, key: str, time: str, horizo
     return df.select(key).join(summed, key, "left").withColumn("pseudo", F.coalesce("pseudo", F.lit(0.0)))
 
 
-def clone_censor(df: DataFrame, key: str, time: str, event: str, started: str, landmark: float, horizon: float, width: float) -> DataFrame:
-    """Two clones of each subject, by strategy, over the interval grid.
+def clone_censor(df: DataFrame, key: str, time: str, event: str, started: str, landmark: float, horizon: float, width: float, keep: Sequence[str] = ()) -> DataFrame:
+    """Two clones of each subject, by strategy, over the interval grid; ``keep``: columns of the subject that go along.
 
     Strategy 0 (not to start) is artificially censored when treatment starts by the
     landmark; strategy 1 (to start) at the landmark if it has not.  A row stands for
@@ -142,6 +142,7 @@ def clone_censor(df: DataFrame, key: str, time: str, event: str, started: str, l
         (last & ~F.col("_cutoff") & (F.col(event) == 1) & within).cast("int").alias("event"),
         (last & ~F.col("_cutoff") & (F.col(event) == 0) & within).cast("int").alias("natural_censor"),
         (last & F.col("_cutoff") & (F.col("_cut") <= horizon)).cast("int").alias("artificial_censor"),
+        *keep,
     )
 
 

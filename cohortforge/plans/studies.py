@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortforge.functions import columns as C
@@ -21,9 +22,7 @@ from cohortforge.plans.shapes import COHORT, OUTCOMES, RECORDS, REPLICATES, SELE
 
 
 def clone_rows(spark: SparkSession, d: str) -> DataFrame:
-    s = starts(spark, d)
-    rows = V.clone_censor(s, "id", "time", "event", "started", 180.0, 730.0, 90.0)
-    return rows.join(s.select("id", "x2"), "id")
+    return V.clone_censor(starts(spark, d), "id", "time", "event", "started", 180.0, 730.0, 90.0, ["x2"])
 
 
 _SHARES = "(sum(c) + 0.5::DOUBLE) / (count(*) + 1.0::DOUBLE)"
@@ -41,12 +40,13 @@ _SHARES = "(sum(c) + 0.5::DOUBLE) / (count(*) + 1.0::DOUBLE)"
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = clone_rows(spark, d).withColumn("c", F.col("natural_censor") + F.col("artificial_censor"))
-    num = V.empirical_hazard(rows, ["strategy"], "interval", "c").select("strategy", "interval", F.col("hazard").alias("num"))
-    den = V.empirical_hazard(rows, ["strategy", "x2"], "interval", "c").select("strategy", "x2", "interval", F.col("hazard").alias("den"))
-    each = rows.join(num, ["strategy", "interval"]).join(den, ["strategy", "x2", "interval"]).withColumn("factor", (1 - F.col("num")) / (1 - F.col("den")))
+    cells = V.empirical_hazard(rows, ["strategy", "x2"], "interval", "c")
+    every = W.partitionBy("strategy", "interval")  # strategies by intervals by values of x2: a small table
+    factors = cells.withColumn("_all", (F.sum("s").over(every) + 0.5) / (F.sum("n").over(every) + 1.0)).select("strategy", "x2", "interval", ((1 - F.col("_all")) / (1 - F.col("hazard"))).alias("factor"))
+    each = rows.select("id", "strategy", "interval", "x2", "event").join(F.broadcast(factors), ["strategy", "x2", "interval"])
     weighted = X.clone_weights(each, ["id", "strategy"], "interval", "factor")
     grid = spark.range(1).select(F.explode(V.interval_grid(730.0, 90.0)).alias("x")).select("x.interval", F.col("x.start").alias("start"), F.col("x.end").alias("stop"))
-    curve = X.weighted_interval_curve(weighted.drop("start", "stop").join(F.broadcast(grid), "interval"), ["strategy"], "weight", "event")  # nine intervals
+    curve = X.weighted_interval_curve(weighted.join(F.broadcast(grid), "interval"), ["strategy"], "weight", "event")  # nine intervals
     return curve.select("strategy", "interval", tidy("risk", 4).alias("risk"), tidy("hazard").alias("hazard"), tidy("survival").alias("survival"), tidy("area", 4).alias("area"))
 
 

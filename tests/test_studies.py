@@ -201,3 +201,20 @@ def test_curve_mappings_put_the_true_reading_first(spark):
     off = {a: [value(late[a], x) - value(base[a], x) for x in grid] for a in (0, 1)}
     row = next(r for r in got if r.mapping == "late")
     assert row.area == pytest.approx(sum(abs(v) / 2 for a in off for v in off[a])) and row.mean_error == pytest.approx(sum(abs(sum(off[a])) / 2 for a in off))
+
+
+def test_clones_and_their_weights_join_nothing(spark):
+    """A join of the clones by subject became a broadcast of all of them, and so went through the driver."""
+    from cohortforge.operators import survival as V
+
+    s = spark.createDataFrame([(i, 100.0 * i, i % 2, 50.0 if i % 3 else None, float(i)) for i in range(1, 9)], "id long, time double, event int, started double, x2 double")
+    rows = V.clone_censor(s, "id", "time", "event", "started", 180.0, 730.0, 90.0, ["x2"]).withColumn("f", F.lit(2.0) - F.col("interval") % 2)
+    weighted = X.clone_weights(rows, ["id", "strategy"], "interval", "f", 0.01, 3.0)
+    assert "Join" not in weighted._jdf.queryExecution().optimizedPlan().toString()
+    assert weighted.columns == [*rows.columns, "weight"] and weighted.count() == rows.count()
+    got = {(r.id, r.strategy, r.interval): (r.weight, r.x2) for r in weighted.collect()}
+    for (i, strategy, k), (w, x2) in got.items():
+        want = 1.0
+        for j in range(k):
+            want = min(3.0, want * (2.0 - j % 2))
+        assert (w, x2) == (want, float(i))
