@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortforge.operators.refits import MODELS, Subjects, expit, propensities, subjects, totals, with_multiplicities
+from cohortforge.operators.resample import with_places
 from cohortforge.operators.running import exact_quantiles
 
 
@@ -27,6 +28,8 @@ class Gates:
     balance_failures: float = 0.05
 
 
+#: Bins of the propensities of a replicate between its least and its largest; only those that hold a quantile are looked into.
+BINS = 2048
 _QUANTILES = {"p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
 _ROW = (
     "replicate int, success boolean, error string, max_abs_coefficient double, max_abs_difference double, worst_feature string, tail_pass boolean, balance_pass boolean, least double, most double, below double, above double, "
@@ -36,9 +39,14 @@ _ROW = (
 
 def imputed(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Features as doubles, missing ones at the table's exact median, 0 where all are missing."""
-    spread = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in features))).alias("x")).select("x.*")
-    middle = {r["f"]: r["m"] for r in exact_quantiles(spread.where("not isnan(v)"), ["f"], "v", {"m": 0.5}).collect()}  # a row for each feature
-    return df.withColumns({c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(float(middle.get(c, 0.0)))) for c in features})
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    n, *there = df.agg(F.count("*"), *(F.count(known(c)) for c in features)).first()
+    broken = [c for c, k in zip(features, there, strict=True) if k < n]
+    middle = {}
+    if broken:
+        spread = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in broken))).alias("x")).select("x.*")
+        middle = {r["f"]: r["m"] for r in exact_quantiles(spread.where("not isnan(v)"), ["f"], "v", {"m": 0.5}).collect()}  # a row for each feature
+    return df.withColumns({c: F.coalesce(known(c), F.lit(float(middle.get(c, 0.0)))) for c in features})
 
 
 def _difference(n1, s1, q1, n0, s0, q0) -> np.ndarray:
@@ -65,15 +73,18 @@ def propensity_feasibility(df: DataFrame, key: str, arm: str, features: Sequence
     filled = imputed(df, features)
     facts = filled.agg(*(x for c in features for x in (F.avg(c), F.stddev_pop(c)))).first()
     centred = filled.withColumns({c: (F.col(c) - F.lit(float(facts[2 * i] or 0.0))) / F.lit(float(facts[2 * i + 1] or 1.0)) for i, c in enumerate(features)})
-    base = subjects(centred.withColumns({"_zero": F.lit(0.0)}), key, "_zero", arm, arm, features, 1, seed).withColumn("_f", F.array(F.lit(0))).persist()
+    base = subjects(centred.withColumns({"_zero": F.lit(0.0)}), key, "_zero", arm, arm, features, 1, seed).withColumn("_f", F.array(F.lit(0)))
+    base = with_places(base, key)[0].persist()
     rows, spread = [], None
     for first in range(1, replicates + 1, models):
         wave = list(range(first, min(first + models, replicates + 1)))
         held = with_multiplicities(base, key, wave, seed).drop(key).persist()
         beta, settled = propensities(held, p, len(wave))
         rows += _judged(held, p, wave, beta, settled, features, gates)
-        told = _propensity_rows(held, p, wave, beta)
+        ends = [(r[8], r[9]) if r[8] is not None else (0.0, 1.0) for r in rows[-len(wave) :]]  # least and most
+        told = _propensity_rows(held, p, wave, beta, np.array(ends)).persist()
         middle = spark.createDataFrame(exact_quantiles(told, ["replicate"], "e", _QUANTILES, "times").collect(), f"replicate int, {', '.join(f'{n} double' for n in _QUANTILES)}")  # a row for each replicate
+        told.unpersist()
         spread = middle if spread is None else spread.unionByName(middle)
         held.unpersist()
     base.unpersist()
@@ -89,18 +100,41 @@ def propensity_feasibility(df: DataFrame, key: str, arm: str, features: Sequence
     return out, verdict.withColumn("feasible", fine)
 
 
-def _propensity_rows(rows: DataFrame, p: int, wave: Sequence[int], beta: np.ndarray) -> DataFrame:
-    """replicate, e and times of every subject that is drawn."""
+def _propensity_rows(rows: DataFrame, p: int, wave: Sequence[int], beta: np.ndarray, ends: np.ndarray) -> DataFrame:
+    """replicate, e and times, of the same quantiles as all subjects that are drawn: where no quantile can be, a bin of them is one row at its middle."""
+    reps, (low, high) = len(wave), ends.T
+    wide = high - low > 1e-9
+    scale = np.where(wide, BINS / np.where(wide, high - low, 1.0), 0.0)
+
+    def placed(s):
+        e = expit(s.one @ beta.T)
+        return e, np.clip(((e - low) * scale).astype(np.int64), 0, BINS - 1)
+
+    def counts(batch):
+        out = np.zeros(reps * BINS)
+        for s in Subjects.of(batch, p).parts(reps):
+            _, at = placed(s)
+            out += np.bincount((at + np.arange(reps) * BINS).ravel(), weights=s.times.ravel(), minlength=reps * BINS)
+        return out, np.zeros(0)
+
+    table = totals(rows, reps * BINS, 0, counts)[0].reshape(reps, BINS)
+    upto = table.cumsum(axis=1)
+    looked = np.zeros((reps, BINS), bool)
+    for i in range(reps):
+        for q in _QUANTILES.values():
+            place = q * (upto[i, -1] - 1)
+            looked[i, np.searchsorted(upto[i], [np.floor(place), np.ceil(place)], side="right").clip(0, BINS - 1)] = True
+    others = [(int(wave[i]), float(low[i] + (k + 0.5) / scale[i]), int(table[i, k])) for i, k in zip(*np.nonzero(~looked & (table > 0)), strict=True)]
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                s = Subjects.of(batch, p)
-                i, r = np.nonzero(s.times)
-                e = expit(s.one @ beta.T)
+            for s in Subjects.of(batch, p).parts(reps) if batch.num_rows else ():
+                e, at = placed(s)
+                i, r = np.nonzero((s.times > 0) & looked[np.arange(reps), at])
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(wave, np.int32)[r]), pa.array(e[i, r]), pa.array(s.times[i, r].astype(np.int64))], ["replicate", "e", "times"])
 
-    return rows.mapInArrow(run, "replicate int, e double, times long")
+    kind = "replicate int, e double, times long"
+    return rows.mapInArrow(run, kind).unionByName(rows.sparkSession.createDataFrame(others, kind))  # BINS rows for each replicate
 
 
 def _judged(rows: DataFrame, p: int, wave: Sequence[int], beta: np.ndarray, settled: np.ndarray, features: Sequence[str], gates: Gates) -> list[tuple]:
